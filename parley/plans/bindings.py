@@ -1,7 +1,7 @@
 """Input tables of the operators, derived from the supplied parquet tables.
 
-One SQL text per view serves both engines: ``@name`` is a supplied table and
-``@ts`` the engine's constructor of a timestamp without zone.  Every view reads
+One SQL text per view serves both engines: ``@{name}`` is a supplied table
+and ``@{ts}`` the engine's constructor of a timestamp without zone.  Every view reads
 whole tables.
 """
 
@@ -32,13 +32,13 @@ select s_suppkey as tenant_id, s_name as name, s_nationkey as nation_id,
   cast(case when s_suppkey % 3 = 0 then 0 else 1 + s_suppkey % 7 end as int) as monthly_message_limit,
   cast(case when s_suppkey % 2 = 0 then 120 else 3 end as int) as idle_rating_wait_seconds,
   case when s_suppkey % 7 = 0 then '*' when s_suppkey % 7 = 1 then null else ' https://a.example.com , https://b.example.com' end as cors_allowed_origins,
-  @ts(2023, cast(1 + s_suppkey % 12 as int), cast(1 + s_suppkey % 28 as int), 0, 0, 0) as created_at
-from @supplier""",
+  @{ts}(2023, cast(1 + s_suppkey % 12 as int), cast(1 + s_suppkey % 28 as int), 0, 0, 0) as created_at
+from @{supplier}""",
     "b_messages": """
 select conv_id * 1000 + turn as message_id, conv_id as session_id, conv_id % 25 as tenant_id, role as sender_type, text as content,
   case when role = 'assistant' and turn % 4 = 1 then concat('{"total_tokens":', cast(length(text) as string), '}') else null end as token_usage_json,
-  @ts(2024, cast(1 + conv_id % 3 as int), cast(1 + conv_id % 28 as int), cast(turn % 24 as int), cast(conv_id % 60 as int), 0) as created_at
-from @conversations""",
+  @{ts}(2024, cast(1 + conv_id % 3 as int), cast(1 + conv_id % 28 as int), cast(turn % 24 as int), cast(conv_id % 60 as int), 0) as created_at
+from @{conversations}""",
     "b_sessions": """
 select session_id, tenant_id, min(created_at) as started_at, max(created_at) as last_message_at, count(*) as n_messages,
   case when session_id % 7 = 0 then null else concat('v', cast(session_id % 75 as string)) end as visitor_id,
@@ -64,28 +64,28 @@ select event_id as usage_id, user_id % 25 as tenant_id,
   case event_type when 'click' then 'chat_completion' when 'view' then 'chat_embedding' when 'purchase' then 'index_embedding' else event_type end as usage_type,
   cast(floor(value) as bigint) as prompt_tokens, cast(floor(value / 2) as bigint) as completion_tokens,
   cast(floor(value) as bigint) + cast(floor(value / 2) as bigint) as total_tokens, props as meta_json, ts as created_at
-from @events""",
+from @{events}""",
     # model calls before they become usage rows; token fields may be missing
     "b_calls": """
 select event_id as call_id, user_id % 25 as tenant_id, user_id as session_id, concat('model-', event_type) as model_name,
   case when event_type = 'error' then null else cast(floor(value) as bigint) end as prompt_tokens,
   case when event_type in ('view', 'purchase') then null else cast(floor(value / 2) as bigint) end as completion_tokens,
   case when event_type = 'error' then null else cast(floor(value) as bigint) end as total_tokens, ts as created_at
-from @events""",
+from @{events}""",
     "b_visitors": """
 select c_custkey as id, c_custkey % 25 as tenant_id, concat('v', cast(c_custkey as string)) as visitor_id, c_name as name,
   case when c_custkey % 11 = 0 then ' '
     else concat(case when c_custkey % 2 = 0 then ' User' else 'user' end, cast(c_custkey % 50 as string), '@Example.com') end as email,
-  @ts(2024, cast(1 + c_custkey % 3 as int), cast(1 + c_custkey % 28 as int), cast(c_custkey % 24 as int), cast(c_custkey % 60 as int), 0) as created_at,
-  @ts(2024, 4, cast(1 + c_custkey % 27 as int), cast(c_custkey % 23 as int), cast(c_custkey % 59 as int), 0) as updated_at
-from @customer""",
+  @{ts}(2024, cast(1 + c_custkey % 3 as int), cast(1 + c_custkey % 28 as int), cast(c_custkey % 24 as int), cast(c_custkey % 60 as int), 0) as created_at,
+  @{ts}(2024, 4, cast(1 + c_custkey % 27 as int), cast(c_custkey % 23 as int), cast(c_custkey % 59 as int), 0) as updated_at
+from @{customer}""",
     "b_users": """
 select s_suppkey as user_id, concat('staff', cast(s_suppkey as string), '@example.com') as email,
   case when s_suppkey % 10 = 0 then 'superadmin' when s_suppkey % 3 = 0 then 'manager' else 'admin' end as role,
   s_suppkey % 7 <> 0 as is_active,
   case when s_suppkey % 4 = 0 then s_suppkey % 25 else null end as token_tenant_id,
-  @ts(2024, 1, cast(1 + s_suppkey % 28 as int), 0, 0, 0) as created_at
-from @supplier""",
+  @{ts}(2024, 1, cast(1 + s_suppkey % 28 as int), 0, 0, 0) as created_at
+from @{supplier}""",
     # managers belong to one tenant, other staff to up to two
     "b_memberships": """
 select user_id, tenant_id, min(ord) as ord from (
@@ -95,21 +95,21 @@ group by user_id, tenant_id""",
     # requested memberships: kept, moved and surplus rows; overdrawn suppliers ask for none
     "b_target_memberships": """
 select distinct user_id, tenant_id from (
-  select s_suppkey as user_id, s_suppkey % 25 as tenant_id from @supplier where s_acctbal >= 0
-  union all select s_suppkey, (s_suppkey * 11 + 5) % 25 from @supplier where s_acctbal > 5000) t""",
+  select s_suppkey as user_id, s_suppkey % 25 as tenant_id from @{supplier} where s_acctbal >= 0
+  union all select s_suppkey, (s_suppkey * 11 + 5) % 25 from @{supplier} where s_acctbal > 5000) t""",
     "b_urls": """
 select page_id as id, page_id % 25 as tenant_id, case page_id % 6
   when 0 then url when 1 then concat('@@', url)
   when 2 then concat('HTTPS://h', cast(page_id % 9 as string), '.example.com/?p=', cast(page_id as string))
   when 3 then concat('https://h', cast(page_id % 9 as string), '.example.com/a/field_6846a4e998b8')
   when 4 then concat('www.h', cast(page_id % 9 as string), '.example.com/x') else '' end as url
-from @pages""",
+from @{pages}""",
     # CMS option rows; some sites never set their URL
     "b_options": """
 select c_custkey as option_id, c_custkey % 29 as tenant_id,
   case when c_custkey % 29 > 20 then 'home' when c_custkey % 3 = 0 then 'blogname' else 'siteurl' end as option_name,
   concat('https://site', cast(c_custkey % 29 as string), '.example.com', case when c_custkey % 2 = 0 then '/' else '' end) as option_value
-from @customer""",
+from @{customer}""",
     "b_posts": """
 select doc_id as id, doc_id % 25 as tenant_id, concat('Doc ', cast(doc_id as string)) as title,
   case when doc_id % 13 = 0 then '' else concat('<p class="x">', text, '&nbsp;&amp; <b>end</b></p>') end as content,
@@ -117,33 +117,33 @@ select doc_id as id, doc_id % 25 as tenant_id, concat('Doc ', cast(doc_id as str
   case when doc_id % 5 = 0 then 'draft' else 'publish' end as status,
   case doc_id % 7 when 0 then '' when 1 then 'field_6846a4e998b80' when 2 then concat('/a/doc-', cast(doc_id as string), '/')
     else concat('doc-', cast(doc_id as string)) end as post_name,
-  @ts(2024, cast(1 + doc_id % 12 as int), cast(1 + doc_id % 28 as int), 0, 0, 0) as post_date
-from @documents""",
+  @{ts}(2024, cast(1 + doc_id % 12 as int), cast(1 + doc_id % 28 as int), 0, 0, 0) as post_date
+from @{documents}""",
     # vector collection: one point per document
     "b_vectors": """
 select d.doc_id as vec_id, d.doc_id % 25 as tenant_id, case when e.label % 2 = 0 then 'primary' else 'external' end as source_type,
   e.embedding, d.text as content, d.source,
   case when d.doc_id % 9 = 0 then 'not a url' else concat('https://', d.source, '.example.com/d/', cast(d.doc_id as string)) end as url
-from (select *, doc_id % (select count(*) from @embeddings) as e_id from @documents) d
-join @embeddings e on e.vec_id = d.e_id""",
+from (select *, doc_id % (select count(*) from @{embeddings}) as e_id from @{documents}) d
+join @{embeddings} e on e.vec_id = d.e_id""",
     # one query vector per user message
     "b_query_vectors": """
 select m.message_id as query_id, m.tenant_id, m.content as question, e.embedding as qe
-from (select *, (session_id * 8 + message_id) % (select count(*) from @embeddings) as e_id from b_messages where sender_type = 'user') m
-join @embeddings e on e.vec_id = m.e_id""",
+from (select *, (session_id * 8 + message_id) % (select count(*) from @{embeddings}) as e_id from b_messages where sender_type = 'user') m
+join @{embeddings} e on e.vec_id = m.e_id""",
     "b_requests": """
 select event_id as request_id, user_id % 25 as tenant_id,
   case event_id % 4 when 0 then '' when 1 then 'unknown, 10.0.0.1'
     else concat(' 10.', cast(user_id % 4 as string), '.', cast(event_id % 256 as string), '.', cast(user_id % 256 as string), ' , 172.16.0.1') end as forwarded_for,
   concat('192.168.', cast(user_id % 8 as string), '.', cast(event_id % 256 as string)) as peer,
   case event_id % 3 when 0 then null when 1 then 'https://a.example.com' else 'https://c.example.com' end as origin, ts
-from @events""",
+from @{events}""",
     "b_geo_ranges": """
 select * from (values (cast(167772160 as bigint), cast(167837695 as bigint), 'AA'), (167837696, 167903231, 'BB'),
   (167903232, 168001535, 'CC'), (3232235520, 3232301055, 'DD')) t(ip_start, ip_end, country_code)""",
     "b_blocked_ips": """
 select distinct user_id % 25 as tenant_id, concat('192.168.', cast(user_id % 8 as string), '.', cast(event_id % 256 as string)) as ip_address
-from @events where event_type = 'error'""",
+from @{events} where event_type = 'error'""",
     "b_blocked_countries": """
 select tenant_id, case when nation_id % 2 = 0 then 'BB' else 'CC' end as country_code from b_tenants
 union all select tenant_id, 'DD' from b_tenants where status = 'suspended'""",
@@ -173,30 +173,30 @@ select event_id as job_id, case when event_id % 3 = 0 then null else user_id % 2
   case when event_id % 3 = 0 then 'all' else 'tenant' end as scope,
   case event_id % 4 when 0 then 'running' when 1 then 'failed' else 'completed' end as status,
   concat('{"target_tenant_id":"', cast(user_id % 127 as string), '"}') as meta_json, ts as created_at
-from @events""",
+from @{events}""",
     # per-document outcome of an ingest run, for summaries and progress
     "b_ingest_status": """
 select doc_id, doc_id % 25 as tenant_id, concat('run-', lang) as run_id,
   case when n_chars % 10 = 0 then 'failed' else 'succeeded' end as status
-from @documents""",
+from @{documents}""",
     # profile forms: known id, new id with a known e-mail, all new
     "b_profile_submissions": """
 select c_custkey as seq, c_custkey % 25 as tenant_id,
   case when c_custkey % 3 = 0 then concat('v', cast(c_custkey as string)) else concat('n', cast(c_custkey as string)) end as visitor_id,
   concat('New ', c_name) as name,
   case when c_custkey % 3 = 1 then concat('USER', cast(c_custkey % 50 as string), '@example.com') else concat('fresh', cast(c_custkey as string), '@example.com') end as email,
-  @ts(2024, 5, cast(1 + c_custkey % 28 as int), cast(c_custkey % 24 as int), 0, 0) as submitted_at
-from @customer""",
+  @{ts}(2024, 5, cast(1 + c_custkey % 28 as int), cast(c_custkey % 24 as int), 0, 0) as submitted_at
+from @{customer}""",
     # older event store: sparse rows, JSON or plain text in the source column
     "b_chat_events": """
 select event_id, user_id as session_no, event_type, ts as event_timestamp,
   case when event_type in ('click', 'view') then concat('text ', cast(event_id as string)) else null end as user_message_text,
   case when event_id % 5 = 0 then 'plain note' when event_id % 5 = 1 then null else props end as bot_response_source,
   case when event_type = 'view' then value / 1000 else null end as bot_response_confidence
-from @events""",
+from @{events}""",
 }
 
-_TOKEN = re.compile(r"@(ts\b|[a-z]+)")
+_TOKEN = re.compile(r"@\{(\w+)\}")
 _VIEW_NAME = re.compile(r"\bb_[a-z_]+\b")
 
 
