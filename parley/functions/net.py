@@ -23,7 +23,7 @@ def _canonical_ipv6(values: pd.Series) -> pd.Series:
             return None
 
     known = {v: parse(v) for v in values.dropna().unique()}
-    return values.map(known)
+    return pd.Series([known.get(v) for v in values], dtype=object)
 
 
 def canonical_ip(col: Column, ipv6: bool = True) -> Column:

@@ -71,3 +71,14 @@ def oldest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys and c not in order]
     best = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_best"))
     return best.select(*keys, "_best.*").select(*df.columns)
+
+
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], slice_on: str) -> DataFrame:
+    """Left join to a side that is unique per key, safe when one key holds much of ``left``.
+
+    The distinct keys of ``left`` (combined before the shuffle) pick up the
+    right columns once; only then do they fan out to the slices of their rows.
+    """
+    sliced = left.withColumn("_slice", F.pmod(F.xxhash64(slice_on), F.lit(SLICES)).cast("int"))
+    found = sliced.select(*keys, "_slice").distinct().join(right, keys)
+    return sliced.join(found, [*keys, "_slice"], "left").drop("_slice")
