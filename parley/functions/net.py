@@ -7,12 +7,13 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 IPV4 = f"^{_OCTET}(?:[.]{_OCTET}){{3}}$"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_ipv6(values: pd.Series) -> pd.Series:
     """Canonical IPv6 text, NULL when it does not parse; one parse per distinct value of a batch."""
 
