@@ -188,29 +188,33 @@ def _strategies(category: Category, triggers: TriggerSet) -> list[tuple[str, Col
     ]
 
 
+def _labelled(category: str, method: str):
+    return lambda m: F.when(
+        m.isNotNull(), F.struct(F.lit(category).alias("category"), F.lit(method).alias("method"), m.alias("m"))
+    )
+
+
+def _ordered(order: int, method: str):
+    """Sorts by confidence, then by the order of the strategies."""
+    return lambda m: F.when(
+        m.isNotNull(),
+        F.struct(m["confidence"].alias("confidence"), F.lit(-order).alias("order"), F.lit(method).alias("method"), m["phrase"].alias("phrase")),
+    )
+
+
 def strategy_matches(messages: DataFrame, triggers: TriggerSet) -> DataFrame:
     """One row per message, category and strategy that matches (before thresholds)."""
     rows = []
     for category in triggers.categories:
         for method, match in _strategies(category, triggers):
-            named = [F.lit(category.name).alias("category"), F.lit(method).alias("method")]
-            rows.append(let(match, lambda m, named=named: F.when(m.isNotNull(), F.struct(*named, m.alias("m")))))
+            rows.append(let(match, _labelled(category.name, method)))
     exploded = with_words(messages).select("message_id", F.explode(F.array_compact(F.array(*rows))).alias("r"))
     return exploded.select("message_id", "r.category", "r.method", "r.m.phrase", "r.m.confidence")
 
 
 def _best_strategy(category: Category, position: int, triggers: TriggerSet) -> Column:
     """Winning strategy of a category as a struct that sorts by priority, NULL below the minimum."""
-    options = [
-        let(
-            match,
-            lambda m, order=order, method=method: F.when(
-                m.isNotNull(),
-                F.struct(m["confidence"].alias("confidence"), F.lit(-order).alias("order"), F.lit(method).alias("method"), m["phrase"].alias("phrase")),
-            ),
-        )
-        for order, (method, match) in enumerate(_strategies(category, triggers))
-    ]
+    options = [let(match, _ordered(i, method)) for i, (method, match) in enumerate(_strategies(category, triggers))]
     return let(
         F.greatest(*options),
         lambda best: F.when(
