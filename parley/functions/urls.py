@@ -61,7 +61,9 @@ def is_valid_url(col: Column) -> Column:
 
 def _site_root(col: Column, path: str) -> Column:
     root = F.concat(url_scheme(col), F.lit("://"), url_netloc(col), F.lit(path))
-    return F.when(F.coalesce(col, F.lit("")) == "", F.lit("")).otherwise(root)
+    host = _part(col, 2)
+    lone_bracket = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
+    return F.when((F.coalesce(col, F.lit("")) == "") | lone_bracket, F.lit("")).otherwise(root)
 
 
 def base_url(col: Column) -> Column:

@@ -1 +1,232 @@
-"""Placeholder."""
+"""Queries over retrieval, context building, routing and ingestion."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from parley.operators import ingest, rules
+from parley.operators import retrieval as rt
+from parley.plans import cascade
+from parley.plans import sql_parts as sql
+from parley.plans.access_queries import DEFAULTS
+from parley.plans.document_queries import SITE_DEFAULT
+from parley.plans.matching_queries import BLOCKED_SQL
+from parley.plans.registry import _ORACLES, query
+from parley.session import shared_dir
+from parley.sources import cms, vectors
+
+_DOUBLES = "list_transform({}, lambda x: cast(x as double))"
+_SCORED = f"""
+select q.query_id, q.tenant_id, v.source_type, v.vec_id,
+  round(list_cosine_similarity({_DOUBLES.format('q.qe')}, {_DOUBLES.format('v.embedding')}), 6) as score
+from b_query_vectors q join b_vectors v on v.tenant_id = q.tenant_id
+"""
+_BUCKETS = f"""
+select query_id, source_type, vec_id, score, rank from (
+  select *, row_number() over (partition by query_id, source_type order by score desc, vec_id) as rank from ({_SCORED}))
+where rank <= 3
+"""
+_TWO = f"""
+select query_id, source_type, vec_id, score, position from (
+  select *, row_number() over (partition by query_id order by score desc, source_type = 'primary' desc, rank) as position from (
+    select *, count(*) filter (where source_type = 'primary') over (partition by query_id) as n,
+      coalesce(max(case when source_type = 'primary' then score end) over (partition by query_id), 0) as best from ({_BUCKETS}))
+  where source_type = 'primary' or n < 3 or best < 0.7)
+where position <= 3
+"""
+_FILTERED = f"select * from ({_TWO}) where score >= 0.3"
+_CITED = f"""
+select * from (
+  select h.query_id, h.position, h.vec_id, h.score, v.source, v.content, concat(left(v.content, 200), '...') as snippet,
+    coalesce(nullif({sql.fixed('v.url')}, ''), nullif({sql.root('v.url', '/')}, '')) as url
+  from ({_FILTERED}) h join b_vectors v using (vec_id))
+where url is not null
+"""
+_CONTEXTS = f"select query_id, position, concat('Source: ', source, chr(10), 'URL: ', url, chr(10), content) as context from ({_CITED})"
+
+
+def _cut(c: str, n: str) -> str:
+    head = f"cast(floor(({n}) * 0.8) as int)"
+    return (
+        f"case when length({c}) <= ({n}) then {c} else concat(left({c}, {head}), chr(10), '...[content truncated]...', chr(10), "
+        f"right({c}, ({n}) - {head})) end"
+    )
+
+
+_PACKED = f"""
+select query_id, string_agg(case when total > 14000 then {_cut('context', 'greatest(cast(floor(share * (14000.0::double / total)) as int), 500)')} else cut end,
+  concat(chr(10), chr(10), '---', chr(10), chr(10)) order by position) as context, count(*) as n_hits
+from (
+  select *, sum(length(cut)) over (partition by query_id) as total from (
+    select *, {_cut('context', 'share')} as cut from (
+      select *, cast(floor(14000 / count(*) over (partition by query_id)) as int) as share from ({_CONTEXTS}))))
+group by 1
+"""
+
+
+@query("vector_topk", f"""
+select query_id, source_type, vec_id, score, rank from (
+  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({_SCORED}))
+where rank <= 5
+""")
+def vector_topk(b):
+    return rt.topk(b.query_vectors, b.vectors, k=5)
+
+
+@query("two_bucket_search", _TWO)
+def two_bucket_search(b):
+    return rt.two_bucket(b.query_vectors, b.vectors).drop("rank")
+
+
+@query("bucket_union_rerank", f"""
+select query_id, source_type, vec_id, score, position from (
+  select *, row_number() over (partition by query_id order by score desc, source_type = 'primary' desc, rank) as position from ({_BUCKETS}))
+where position <= 3
+""")
+def bucket_union_rerank(b):
+    primary = rt.topk(b.query_vectors, b.vectors, source_type=rt.PRIMARY)
+    external = rt.topk(b.query_vectors, b.vectors, source_type=rt.EXTERNAL)
+    return rt.union_rerank(primary, external).drop("rank")
+
+
+def _filtered(b):
+    return rt.min_score(rt.two_bucket(b.query_vectors, b.vectors))
+
+
+def _cited(b):
+    return rt.citations(rt.with_payload(_filtered(b), b.vectors, "source", "content", "url"))
+
+
+@query("score_filter", f"select query_id, vec_id, score from ({_FILTERED})")
+def score_filter(b):
+    return _filtered(b).select("query_id", "vec_id", "score")
+
+
+@query("citations", f"select query_id, vec_id, position, source, snippet, url, score from ({_CITED})")
+def citations(b):
+    return _cited(b).select("query_id", "vec_id", "position", "source", "snippet", "url", "score")
+
+
+@query("context_block", _CONTEXTS)
+def context_block(b):
+    return rt.context_text(_cited(b)).select("query_id", "position", "context")
+
+
+@query("context_budget", _PACKED)
+def context_budget(b):
+    return rt.pack_context(rt.context_text(_cited(b)))
+
+
+_OPENING, _REST = rt.SYSTEM_PROMPT.split("{brand}")
+_MIDDLE, _ENDING = _REST.split("{site}")
+_SITE_HEAD, _SITE_TAIL = rt.SITE_CLAUSE.split("{site}")
+_SITE = f"coalesce({sql.strip('t.widget_website_url')}, '')"
+
+
+@query("prompt_assemble", f"""
+select q.query_id, concat('{_OPENING}', {sql.brand('t.brand_name', 't.name')}, '{_MIDDLE}',
+  case when {_SITE} <> '' then concat('{_SITE_HEAD}', {_SITE}, '{_SITE_TAIL}') else '' end, '{_ENDING}') as system_prompt,
+  concat('Question: ', q.question, chr(10), chr(10), 'Context: ', c.context) as user_prompt
+from ({_PACKED}) c join b_query_vectors q using (query_id) join b_tenants t on t.tenant_id = q.tenant_id
+""")
+def prompt_assemble(b):
+    packed = rt.pack_context(rt.context_text(_cited(b)))
+    asked = b.query_vectors.select("query_id", "tenant_id", "question")
+    labels = b.tenants.select("tenant_id", "brand_name", "name", "widget_website_url")
+    ready = packed.join(asked, "query_id").join(labels, "tenant_id")
+    return rt.build_prompts(ready).select("query_id", "system_prompt", "user_prompt")
+
+
+_CONFIDENCE = f"""
+select q.query_id, case when exists (select 1 from ({_CITED}) c where c.query_id = q.query_id) then f.best else 0.0 end as confidence
+from b_query_vectors q left join (select query_id, max(score) as best from ({_FILTERED}) group by 1) f using (query_id)
+"""
+
+
+@query("answer_confidence", _CONFIDENCE)
+def answer_confidence(b):
+    filtered = _filtered(b)
+    cited = rt.citations(rt.with_payload(filtered, b.vectors, "url", "content"))
+    return rt.answer_confidence(b.query_vectors, filtered, cited)
+
+
+_ROUTED = f"""
+select m.message_id, m.session_id, m.tenant_id, m.created_at,
+  case when bw.message_id is not null then 'block_word' when qr.message_id is not null then 'fuzzy' else 'vector_search' end as source,
+  case when bw.message_id is not null then 1.0 when qr.message_id is not null then qr.confidence else c.confidence end as confidence,
+  case when bw.message_id is not null then bw.response_message when qr.message_id is not null then qr.response
+    when c.confidence = 0 then 'I could not find high-confidence context for that request.' end as response
+from b_short_messages m
+left join ({BLOCKED_SQL}) bw on bw.message_id = m.message_id
+left join ({_ORACLES['quick_reply_match'].replace('with q as', 'with qs as').replace('from q join', 'from qs q join')}) qr on qr.message_id = m.message_id
+left join ({_CONFIDENCE}) c on c.query_id = m.message_id
+"""
+
+
+def _routed(b):
+    merged = rules.merge_rules(b.quick_replies, DEFAULTS, b.tenants)
+    return cascade.route(b.short_messages, b.query_vectors, b.block_rules, merged, b.tenants, b.vectors)
+
+
+@query("message_route", _ROUTED)
+def message_route(b):
+    return _routed(b)
+
+
+@query("session_block_flag", f"""
+select s.session_id, s.tenant_id, coalesce(r.blocked, false) as block_triggered, greatest(s.last_message_at, r.last_at) as last_message_at
+from b_sessions s left join (
+  select m.session_id, bool_or(bw.message_id is not null) as blocked, max(m.created_at) as last_at
+  from b_short_messages m left join ({BLOCKED_SQL}) bw on bw.message_id = m.message_id group by 1) r using (session_id)
+""")
+def session_block_flag(b):
+    from parley.operators.block_words import match_block_words
+
+    # the flag needs only the first stage of the cascade
+    hits = match_block_words(b.short_messages, b.block_rules).select("message_id", F.lit(cascade.BLOCK).alias("source"))
+    staged = b.short_messages.join(hits, "message_id", "left").select(
+        "session_id", "created_at", F.coalesce("source", F.lit(cascade.VECTOR)).alias("source")
+    )
+    flagged = cascade.flag_sessions(b.sessions, staged)
+    return flagged.select("session_id", "tenant_id", "block_triggered", "last_message_at")
+
+
+# ---- ingestion -------------------------------------------------------------
+
+
+def _post_docs(b):
+    sites = cms.site_url(b.options, b.tenants, SITE_DEFAULT)
+    return ingest.cms_documents(b.posts, sites, cms.payload_tags(b.tenants))
+
+
+def _url_docs(b):
+    return ingest.external_documents(b.raw("pages"), cms.scan_urls(b.urls))
+
+
+@query("embed_documents")
+def embed_documents(b):
+    embedded = ingest.embed(_post_docs(b))
+    return embedded.select("tenant_id", "point_id", F.size("embedding").alias("dims"), "prompt_tokens", "status")
+
+
+@query("ingest_cms")
+def ingest_cms(b):
+    path = shared_dir(b.spark, "collection")
+    ingest.run(_post_docs(b), path, "cms")
+    return vectors.read_vectors(b.spark, path).select("tenant_id", "source_type", "point_id", "title", "url")
+
+
+@query("ingest_external")
+def ingest_external(b):
+    path = shared_dir(b.spark, "collection")
+    ingest.run(_url_docs(b), path, "external")
+    return vectors.read_vectors(b.spark, path).select("tenant_id", "source_type", "point_id", "title", "url")
+
+
+@query("reindex_all")
+def reindex_all(b):
+    path, jobs = shared_dir(b.spark, "collection"), shared_dir(b.spark, "jobs")
+    due = cms.due_tenants(b.tenants).select("tenant_id")
+    documents = _post_docs(b).unionByName(_url_docs(b)).join(due, "tenant_id", "left_semi")
+    ingest.reindex(documents, path, jobs, "nightly", due)
+    return b.spark.read.parquet(jobs).select("tenant_id", "run_id", "status", "total", "succeeded", "failed", "error")

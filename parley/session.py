@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Settings worth having on any cluster.  AQE coalesces small shuffles, splits
 #: skewed join partitions and turns a join into a broadcast only when the
@@ -44,3 +44,10 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         os.makedirs(root, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
