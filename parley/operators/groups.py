@@ -56,7 +56,8 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column,
 def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, name: str = "rn") -> DataFrame:
     """First ``n`` rows per group; Spark cuts each map side to ``n`` rows per key before the shuffle."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+    leading = df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= n)
+    return leading.withColumn(name, F.col(name).cast("bigint"))
 
 
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
