@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+import warnings
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -18,7 +19,7 @@ _COMMON_SYNTAX = re.compile(
         [^\\\[\](){}.*+?^$|\#&~-]            # plain character
       | \\[dDwWsSbB.\[\](){}*+?^$|\\/-]      # class escape or escaped punctuation
       | \[\^?(?:[^\\\[\]&~|-]|[a-zA-Z0-9]-[a-zA-Z0-9]|\\[dDwWsS.\-\]\[\\])+\]
-      | \((?:\?:)? | \)
+      | \((?:\?:|(?!\?)) | \)
       | [.*+?|^$\#&~-]
       | \{[0-9]+(?:,[0-9]*)?\}
     )*""",
@@ -31,7 +32,9 @@ JVM_FLAGS = "(?iudU)"
 
 def _compile(pattern: str) -> re.Pattern | None:
     try:
-        return re.compile(pattern, re.IGNORECASE)
+        with warnings.catch_warnings():
+            warnings.simplefilter("ignore")
+            return re.compile(pattern, re.IGNORECASE)
     except (re.error, RecursionError, OverflowError):
         return None
 
@@ -80,7 +83,9 @@ def match_block_words(messages: DataFrame, rules: DataFrame) -> DataFrame:
     contained = texts.join(inside, "tenant_id").where(F.contains("lowered", "needle"))
 
     regex = words.where(F.col("match_mode") == "regex").withColumn("engine", regex_engine("word"))
-    in_jvm = regex.where(F.col("engine") == "jvm").withColumn("pattern", F.concat(F.lit(JVM_FLAGS), F.col("word")))
+    # the pattern depends on the verdict, so no plan can compile an unchecked one
+    pattern = F.when(F.col("engine") == "jvm", F.concat(F.lit(JVM_FLAGS), F.col("word")))
+    in_jvm = regex.where(F.col("engine") == "jvm").withColumn("pattern", pattern)
     searched = texts.join(in_jvm, "tenant_id").where(F.rlike("body", F.col("pattern")))
     in_python = regex.where(F.col("engine") == "python")
     walked = texts.join(in_python, "tenant_id").where(_python_search("body", "word"))
