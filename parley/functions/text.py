@@ -17,15 +17,37 @@ ASSET_MARKER = "/api/assets/"
 VISITOR_ID_MAX = 64
 
 
+# White space as Unicode-aware text tools see it; a plain \\s is ASCII.
+SPACE_CLASS = r"(?U)[\s\x1c-\x1f]"
+SPACE = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+)
+
+
 def strip_ws(col: Column) -> Column:
-    """Remove leading and trailing white space of any script (``trim`` drops spaces only)."""
-    return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing white space of any script (``trim`` alone drops spaces only)."""
+    return F.btrim(col, F.lit(SPACE))
+
+
+def _collapse(col: Column, unicode: bool = True) -> Column:
+    """White-space runs to one space."""
+    return F.regexp_replace(col, f"{SPACE_CLASS}+" if unicode else r"\s+", " ")
+
+
+def _blank_spans(col: Column, opening: str, closing: str) -> Column:
+    """Spans from ``opening`` to the next ``closing``, with something between, to one space.
+
+    Only the text up to the last ``closing`` is searched: after it no span can
+    end, and looking for one from every ``opening`` there takes quadratic time.
+    """
+    tail = F.substring_index(col, closing, -1)
+    head = F.left(col, F.length(col) - F.length(tail))
+    return F.concat(F.regexp_replace(head, f"{opening}[^{closing}]+{closing}", " "), tail)
 
 
 def squash_ws(col: Column, unicode: bool = True) -> Column:
     """Collapse white-space runs to one space and trim."""
-    flag = "(?U)" if unicode else ""
-    return F.trim(F.regexp_replace(col, flag + r"\s+", " "))
+    return F.trim(_collapse(col, unicode))
 
 
 def strip_html(col: Column, unicode: bool = True) -> Column:
@@ -34,10 +56,8 @@ def strip_html(col: Column, unicode: bool = True) -> Column:
     Entities go last, so doubled spaces may remain and a bare ``&`` swallows the
     text up to the next ``;``.
     """
-    flag = "(?U)" if unicode else ""
-    no_tags = F.regexp_replace(col, r"<[^>]+>", " ")
-    one_space = F.regexp_replace(no_tags, flag + r"\s+", " ")
-    return strip_ws(F.regexp_replace(one_space, r"&[^;]+;", " "))
+    one_space = _collapse(_blank_spans(col, "<", ">"), unicode)
+    return strip_ws(_blank_spans(one_space, "&", ";"))
 
 
 def blank_to_null(col: Column) -> Column:
@@ -87,7 +107,7 @@ def norm_trigger(col: Column) -> Column:
 
 def norm_trigger_text(col: Column) -> Column:
     """Classifier text: lower case, hyphen and white-space runs to one space, trimmed."""
-    return strip_ws(F.regexp_replace(F.lower(col), r"(?U)[-\s]+", " "))
+    return strip_ws(F.regexp_replace(F.lower(col), r"(?U)[-\s\x1c-\x1f]+", " "))
 
 
 def valid_visitor_id(col: Column) -> Column:

@@ -140,14 +140,14 @@ def visitor_sessions(b):
 
 
 @query("paginate", """
-select tenant_id, session_id, position, total from (
-  select tenant_id, session_id, row_number() over (partition by tenant_id order by last_message_at desc, session_id) as position,
-    count(*) over (partition by tenant_id) as total from b_sessions)
-where position between 3 and 4
+select tenant_id, message_id, position, total from (
+  select tenant_id, message_id, row_number() over (partition by tenant_id order by created_at desc, message_id) as position,
+    count(*) over (partition by tenant_id) as total from b_messages)
+where position between 4 and 6
 """)
 def paginate(b):
-    order = [F.desc("last_message_at"), F.asc("session_id")]
-    return an.paginate(b.sessions, ["tenant_id"], order, page=2, size=2).select("tenant_id", "session_id", "position", "total")
+    order = [F.desc("created_at"), F.asc("message_id")]
+    return an.paginate(b.messages, ["tenant_id"], order, page=2, size=3).select("tenant_id", "message_id", "position", "total")
 
 
 @query("reindex_job_counts", """

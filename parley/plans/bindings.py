@@ -229,10 +229,7 @@ def duckdb_sql(text: str) -> str:
     return _with_views(text, lambda m: "make_timestamp" if m.group(1) == "ts" else m.group(1))
 
 
-def spark_sql(text: str, sf_dir: str) -> str:
-    return _with_views(
-        text, lambda m: "make_timestamp_ntz" if m.group(1) == "ts" else f"parquet.`{sf_dir}/{m.group(1)}.parquet`"
-    )
+_SCHEMAS: dict[str, object] = {}
 
 
 class Bindings:
@@ -243,10 +240,27 @@ class Bindings:
         self.sf_dir = sf_dir.rstrip("/")
 
     def raw(self, table: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{table}.parquet")
+        """A supplied table; its schema is read from the files once per process."""
+        path = f"{self.sf_dir}/{table}.parquet"
+        if path not in _SCHEMAS:
+            _SCHEMAS[path] = self.spark.read.parquet(path).schema
+        return self.spark.read.schema(_SCHEMAS[path]).parquet(path)
 
     def sql(self, text: str) -> DataFrame:
-        return self.spark.sql(spark_sql(text, self.sf_dir))
+        """A query over the views; each call scans tables of its own, so results can be joined freely."""
+
+        def resolve(match: re.Match) -> str:
+            name = match.group(1)
+            if name == "ts":
+                return "make_timestamp_ntz"
+            tables.add(name)
+            return f"parley_{name}"
+
+        tables: set[str] = set()
+        full = _with_views(text, resolve)
+        for name in tables:
+            self.raw(name).createOrReplaceTempView(f"parley_{name}")
+        return self.spark.sql(full)
 
     def __getattr__(self, name: str) -> DataFrame:
         if f"b_{name}" not in VIEWS:

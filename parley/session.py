@@ -19,6 +19,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # no stack capture per column expression: long expressions build several times faster
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
