@@ -16,6 +16,25 @@ from pyspark.sql import functions as F
 SLICES = 48
 
 
+def with_slice(df: DataFrame, on: str) -> DataFrame:
+    """Add ``_slice``, a hash of ``on`` in 0..47."""
+    return df.withColumn("_slice", F.pmod(F.xxhash64(on), F.lit(SLICES)).cast("int"))
+
+
+def slice_mask() -> Column:
+    """Aggregate: which slices a group has, one bit each."""
+    return F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_slice"))).alias("_mask")
+
+
+def spread_slices(groups: DataFrame) -> DataFrame:
+    """Repeat each group once per slice it has, so that rows can join on key and slice."""
+    bits = F.filter(
+        F.sequence(F.lit(0), F.lit(SLICES - 1)),
+        lambda i: F.call_function("getbit", F.col("_mask"), i) == 1,
+    )
+    return groups.withColumn("_slice", F.explode(bits)).drop("_mask")
+
+
 def attach_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], slice_on: str) -> DataFrame:
     """Add group aggregates to every row without bringing a group together.
 
@@ -24,15 +43,9 @@ def attach_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], slice_
     repeated once per slice present, so the join runs on ``keys + slice``: a hot
     group spreads over up to 48 partitions and a small one costs no extra rows.
     """
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(slice_on), F.lit(SLICES)).cast("int"))
-    mask = F.bit_or(F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("_slice")))
-    groups = sliced.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()], mask.alias("_mask"))
-    bits = F.filter(
-        F.sequence(F.lit(0), F.lit(SLICES - 1)),
-        lambda i: F.call_function("getbit", F.col("_mask"), i) == 1,
-    )
-    spread = groups.withColumn("_slice", F.explode(bits)).drop("_mask")
-    return sliced.join(spread, [*keys, "_slice"]).drop("_slice")
+    sliced = with_slice(df, slice_on)
+    groups = sliced.groupBy(*keys).agg(*[c.alias(n) for n, c in aggs.items()], slice_mask())
+    return sliced.join(spread_slices(groups), [*keys, "_slice"]).drop("_slice")
 
 
 def ranked(df: DataFrame, keys: list[str], order: list[Column], bucket: Column, name: str = "rn") -> DataFrame:
@@ -60,18 +73,20 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], n: int, n
     return leading.withColumn(name, F.col(name).cast("bigint"))
 
 
+def _first_by(pick, df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    row = F.struct(*[c for c in df.columns if c not in keys])
+    best = df.groupBy(*keys).agg(pick(row, F.struct(*order)).alias("_best"))
+    return best.select(*keys, "_best.*").select(*df.columns)
+
+
 def newest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the greatest ``order`` per key, as an aggregate that combines before the shuffle."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(F.max(F.struct(*order, *rest)).alias("_best"))
-    return best.select(*keys, "_best.*").select(*df.columns)
+    return _first_by(F.max_by, df, keys, order)
 
 
 def oldest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The row with the smallest ``order`` per key; see :func:`newest`."""
-    rest = [c for c in df.columns if c not in keys and c not in order]
-    best = df.groupBy(*keys).agg(F.min(F.struct(*order, *rest)).alias("_best"))
-    return best.select(*keys, "_best.*").select(*df.columns)
+    return _first_by(F.min_by, df, keys, order)
 
 
 def lookup(left: DataFrame, right: DataFrame, keys: list[str], slice_on: str) -> DataFrame:
@@ -80,6 +95,6 @@ def lookup(left: DataFrame, right: DataFrame, keys: list[str], slice_on: str) ->
     The distinct keys of ``left`` (combined before the shuffle) pick up the
     right columns once; only then do they fan out to the slices of their rows.
     """
-    sliced = left.withColumn("_slice", F.pmod(F.xxhash64(slice_on), F.lit(SLICES)).cast("int"))
+    sliced = with_slice(left, slice_on)
     found = sliced.select(*keys, "_slice").distinct().join(right, keys)
     return sliced.join(found, [*keys, "_slice"], "left").drop("_slice")

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text
@@ -201,6 +201,7 @@ def first_ratings(submissions: DataFrame, stored: DataFrame, sessions: DataFrame
 
 _NUMBERED = "^(.+)-([2-9]|[1-9][0-9]+)$"
 _ID_RANGE = 100_000
+_SPAN_RANGE = 1_000
 
 
 def _stem(slug):
@@ -232,17 +233,28 @@ def _closed_form(names: DataFrame, existing: DataFrame) -> DataFrame:
     )
     nth = ranked(taken, ["base"], [F.asc("number")], F.floor(F.col("number") / _ID_RANGE), "j")
     # free numbers below the j-th taken one: names ranked past them shift by at least j
-    spans = nth.groupBy("base", (F.col("number") - F.col("j")).alias("free")).agg(F.max("j").alias("shift"))
-    following = Window.partitionBy("base").orderBy("free")
-    spans = spans.select(
-        F.col("base").alias("_base"), "shift", "free", F.lead("free").over(following).alias("free_end")
+    steps = nth.groupBy("base", (F.col("number") - F.col("j")).alias("free")).agg(F.max("j").alias("shift"))
+    placed = ranked(steps, ["base"], [F.asc("free")], F.floor(F.col("free") / _ID_RANGE), "step")
+    following = placed.select("base", (F.col("step") - 1).alias("step"), F.col("free").alias("free_end"))
+    counts = names.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
+    until = F.least(F.coalesce("free_end", "n"), F.col("n"))
+    rank_range = lambda c: F.floor(c / _SPAN_RANGE)
+    # each step is listed under every range of ranks it covers, so a busy base joins range by range
+    spans = (
+        placed.join(following, ["base", "step"], "left")
+        .join(counts, "base")
+        .select(F.col("base").alias("_base"), "shift", "free", until.alias("free_end"))
+        .where(F.col("free") < F.col("free_end"))
+        .withColumn("_range", F.explode(F.sequence(rank_range(F.col("free") + 1), rank_range(F.col("free_end")))))
     )
     ranks = ranked(names, ["base"], [F.asc("id")], F.floor(F.col("id") / _ID_RANGE), "r")
-    inside = (F.col("r") > F.col("free")) & (F.col("free_end").isNull() | (F.col("r") <= F.col("free_end")))
-    placed = ranks.join(spans, (F.col("base") == F.col("_base")) & inside, "left")
+    ranks = ranks.withColumn("_in_range", rank_range(F.col("r")))
+    inside = (F.col("r") > F.col("free")) & (F.col("r") <= F.col("free_end"))
+    same = (F.col("base") == F.col("_base")) & (F.col("_in_range") == F.col("_range"))
+    shifted = ranks.join(spans, same & inside, "left")
     number = F.col("r") + F.coalesce("shift", F.lit(0))
     slug = F.when(number == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string")))
-    return placed.select("id", "name", slug.alias("slug"))
+    return shifted.select("id", "name", slug.alias("slug"))
 
 
 def _one_by_one(names: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:

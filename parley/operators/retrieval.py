@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text, urls
-from parley.operators.groups import top_per_group
+from parley.operators.groups import slice_mask, spread_slices, top_per_group, with_slice
 
 # Fixed values
 TOP_K = 3
@@ -93,28 +93,29 @@ def bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, floor: f
     ``k`` rows per query, never the pairs.  Ties go to the lower vec_id.
     """
     bucket = ["tenant_id", "source_type"]
-    n_vectors = vectors.groupBy(*bucket).agg(F.count(F.lit(1)).alias("nv"))
-    n_queries = queries.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("nq"))
+    points = with_slice(vectors.select(*bucket, "vec_id", "embedding"), "vec_id")
+    asked = with_slice(queries.select("tenant_id", "query_id", "qe"), "query_id")
+    n_points = points.groupBy(*bucket).agg(F.count(F.lit(1)).alias("nv"), slice_mask())
+    n_asked = asked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("nq"), slice_mask())
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
-    grid = n_vectors.join(n_queries, "tenant_id").select(
-        *bucket, blocks("nv", VECTOR_BLOCK).alias("vector_blocks"), blocks("nq", QUERY_BLOCK).alias("query_blocks")
-    )
+    sizes = [blocks("nv", VECTOR_BLOCK).alias("vector_blocks"), blocks("nq", QUERY_BLOCK).alias("query_blocks")]
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    slot = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    slot = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
+    right_grid = n_points.join(n_asked.drop("_mask"), "tenant_id").select(*bucket, "_mask", *sizes)
+    left_grid = n_asked.join(n_points.drop("_mask"), "tenant_id").select(*bucket, "_mask", *sizes)
     right = (
-        vectors.select(*bucket, "vec_id", "embedding")
-        .join(grid, bucket)
+        points.join(spread_slices(right_grid), [*bucket, "_slice"])
         .withColumn("vector_block", slot("vec_id", "vector_blocks"))
         .withColumn("query_block", upto("query_blocks"))
     )
     left = (
-        queries.select("tenant_id", "query_id", "qe")
-        .join(grid, "tenant_id")
+        asked.join(spread_slices(left_grid), ["tenant_id", "_slice"])
         .withColumn("query_block", slot("query_id", "query_blocks"))
         .withColumn("vector_block", upto("vector_blocks"))
     )
     cell = [*bucket, "vector_block", "query_block"]
-    # both sides carry the grid's columns, so the query side gets names of its own
+    right = right.select(*cell, "vec_id", "embedding")
+    # both sides carry columns of the same grid, so the query side gets names of its own
     left = left.select("query_id", "qe", *[F.col(c).alias(f"q_{c}") for c in cell])
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
     schema = f"query_id {types['query_id']}, source_type string, vec_id {types['vec_id']}, score double"
