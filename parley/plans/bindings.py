@@ -155,19 +155,10 @@ select message_id, session_id, tenant_id, created_at,
 from b_messages where sender_type = 'user'""",
     # tenant reply rules: some tenants have none, one rule is off, one has its own threshold
     "b_quick_replies": """
-select t.tenant_id, r.category, r.trigger_phrase, r.response_template, r.similarity_threshold, r.priority, r.enabled, r.ord
-from (select tenant_id from b_tenants where nation_id < 18) t cross join
-  (values ('greet', 'hello', concat('Welcome to $', '{brand_name}.'), cast(null as int), 10, true, 1),
-          ('thanks', 'thank you', concat('Any time. See $', '{website_url}'), 95, 5, true, 2),
-          ('thanks', 'thanks', concat('Glad to help, says $', '{assistant_name}.'), null, 5, false, 3)) r(category, trigger_phrase, response_template, similarity_threshold, priority, enabled, ord)""",
+select tenant_id, @{rows:replies} from b_tenants where nation_id < 18""",
     # block rules: one regex is invalid on purpose
     "b_block_rules": """
-select t.tenant_id, r.category_ord, r.category, r.match_mode, r.word_ord, r.word, r.response_message
-from (select tenant_id from b_tenants where nation_id > 6) t cross join
-  (values (1, 'topics', 'exact', 1, 'Forbidden Topic', 'This topic is closed.'),
-          (2, 'phrases', 'substring', 1, 'STOP-NOW', 'Request noted.'),
-          (3, 'patterns', 'regex', 1, '(', 'never'),
-          (3, 'patterns', 'regex', 2, 'no[.] [0-9]{4}', 'Numbers are not accepted.')) r(category_ord, category, match_mode, word_ord, word, response_message)""",
+select tenant_id, @{rows:blocks} from b_tenants where nation_id > 6""",
     "b_jobs": """
 select event_id as job_id, case when event_id % 3 = 0 then null else user_id % 25 end as tenant_id,
   case when event_id % 3 = 0 then 'all' else 'tenant' end as scope,
@@ -196,7 +187,42 @@ select event_id, user_id as session_no, event_type, ts as event_timestamp,
 from @{events}""",
 }
 
-_TOKEN = re.compile(r"@\{(\w+)\}")
+#: Rule rows repeated for each tenant of a view: column names, then values as SQL text.
+ROWS: dict[str, tuple[list[str], list[list[str]]]] = {
+    "replies": (
+        ["category", "trigger_phrase", "response_template", "similarity_threshold", "priority", "enabled", "ord"],
+        [
+            ["'greet'", "'hello'", "concat('Welcome to $', '{brand_name}.')", "cast(null as int)", "10", "true", "1"],
+            ["'thanks'", "'thank you'", "concat('Any time. See $', '{website_url}')", "95", "5", "true", "2"],
+            ["'thanks'", "'thanks'", "concat('Glad to help, says $', '{assistant_name}.')", "cast(null as int)", "5", "false", "3"],
+        ],
+    ),
+    "blocks": (
+        ["category_ord", "category", "match_mode", "word_ord", "word", "response_message"],
+        [
+            ["1", "'topics'", "'exact'", "1", "'Forbidden Topic'", "'This topic is closed.'"],
+            ["2", "'phrases'", "'substring'", "1", "'STOP-NOW'", "'Request noted.'"],
+            ["3", "'patterns'", "'regex'", "1", "'('", "'never'"],
+            ["3", "'patterns'", "'regex'", "2", "'no[.] [0-9]{4}'", "'Numbers are not accepted.'"],
+        ],
+    ),
+}
+
+
+def _spark_rows(name: str) -> str:
+    """The rows exploded beside each tenant: one scan, no join."""
+    columns, rows = ROWS[name]
+    structs = ["named_struct(" + ", ".join(f"'{c}', {v}" for c, v in zip(columns, row)) + ")" for row in rows]
+    return f"inline(array({', '.join(structs)}))"
+
+
+def _duckdb_rows(name: str) -> str:
+    columns, rows = ROWS[name]
+    structs = ["{" + ", ".join(f"'{c}': {v}" for c, v in zip(columns, row)) + "}" for row in rows]
+    return f"unnest([{', '.join(structs)}], recursive := true)"
+
+
+_TOKEN = re.compile(r"@\{([\w:]+)\}")
 _VIEW_NAME = re.compile(r"\bb_[a-z_]+\b")
 
 
@@ -226,7 +252,14 @@ def _with_views(text: str, resolve) -> str:
 
 def duckdb_sql(text: str) -> str:
     """Self-contained DuckDB text for a query over the views."""
-    return _with_views(text, lambda m: "make_timestamp" if m.group(1) == "ts" else m.group(1))
+
+    def resolve(match: re.Match) -> str:
+        name = match.group(1)
+        if name.startswith("rows:"):
+            return _duckdb_rows(name[5:])
+        return "make_timestamp" if name == "ts" else name
+
+    return _with_views(text, resolve)
 
 
 _SCHEMAS: dict[str, object] = {}
@@ -253,6 +286,8 @@ class Bindings:
             name = match.group(1)
             if name == "ts":
                 return "make_timestamp_ntz"
+            if name.startswith("rows:"):
+                return _spark_rows(name[5:])
             tables.add(name)
             return f"parley_{name}"
 
