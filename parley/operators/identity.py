@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from parley.functions import text
 from parley.operators.groups import attach_group, lookup, newest, oldest, ranked
+from parley.session import materialize
 
 
 # ---- duplicate visitors ----------------------------------------------------
@@ -209,34 +210,20 @@ def _stem(slug):
 
 
 def _closed_form(names: DataFrame, existing: DataFrame) -> DataFrame:
-    """The r-th name of a base takes its r-th free number; taken numbers become intervals of constant shift."""
-    taken = (
-        existing.select(
-            F.explode(
-                F.array_compact(
-                    F.array(
-                        F.struct(F.col("slug").alias("base"), F.lit(1).cast("bigint").alias("number")),
-                        F.when(
-                            F.col("slug").rlike(_NUMBERED),
-                            F.struct(
-                                F.regexp_extract("slug", _NUMBERED, 1).alias("base"),
-                                F.regexp_extract("slug", _NUMBERED, 2).try_cast("bigint").alias("number"),
-                            ),
-                        ),
-                    )
-                )
-            ).alias("t")
-        )
-        .select("t.*")
-        .distinct()
-        .join(names.select("base").distinct(), "base", "left_semi")
+    """The ``r``-th name of a base takes its r-th free number; taken numbers become steps of constant shift."""
+    own = F.struct(F.col("slug").alias("base"), F.lit(1).cast("bigint").alias("number"))
+    numbered = F.struct(
+        F.regexp_extract("slug", _NUMBERED, 1).alias("base"),
+        F.regexp_extract("slug", _NUMBERED, 2).try_cast("bigint").alias("number"),
     )
+    under = F.array_compact(F.array(own, F.when(F.col("slug").rlike(_NUMBERED), numbered)))
+    counts = names.groupBy("base").agg(F.max("r").alias("n"))
+    taken = existing.select(F.explode(under).alias("t")).select("t.*").distinct().join(counts.select("base"), "base", "left_semi")
     nth = ranked(taken, ["base"], [F.asc("number")], F.floor(F.col("number") / _ID_RANGE), "j")
     # free numbers below the j-th taken one: names ranked past them shift by at least j
     steps = nth.groupBy("base", (F.col("number") - F.col("j")).alias("free")).agg(F.max("j").alias("shift"))
-    placed = ranked(steps, ["base"], [F.asc("free")], F.floor(F.col("free") / _ID_RANGE), "step")
+    placed = materialize(ranked(steps, ["base"], [F.asc("free")], F.floor(F.col("free") / _ID_RANGE), "step"), "slug-steps")
     following = placed.select("base", (F.col("step") - 1).alias("step"), F.col("free").alias("free_end"))
-    counts = names.groupBy("base").agg(F.count(F.lit(1)).alias("n"))
     until = F.least(F.coalesce("free_end", "n"), F.col("n"))
     rank_range = lambda c: F.floor(c / _SPAN_RANGE)
     # each step is listed under every range of ranks it covers, so a busy base joins range by range
@@ -247,14 +234,11 @@ def _closed_form(names: DataFrame, existing: DataFrame) -> DataFrame:
         .where(F.col("free") < F.col("free_end"))
         .withColumn("_range", F.explode(F.sequence(rank_range(F.col("free") + 1), rank_range(F.col("free_end")))))
     )
-    ranks = ranked(names, ["base"], [F.asc("id")], F.floor(F.col("id") / _ID_RANGE), "r")
-    ranks = ranks.withColumn("_in_range", rank_range(F.col("r")))
     inside = (F.col("r") > F.col("free")) & (F.col("r") <= F.col("free_end"))
-    same = (F.col("base") == F.col("_base")) & (F.col("_in_range") == F.col("_range"))
-    shifted = ranks.join(spans, same & inside, "left")
+    same = (F.col("base") == F.col("_base")) & (rank_range(F.col("r")) == F.col("_range"))
     number = F.col("r") + F.coalesce("shift", F.lit(0))
     slug = F.when(number == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number.cast("string")))
-    return shifted.select("id", "name", slug.alias("slug"))
+    return names.join(spans, same & inside, "left").select("id", "name", slug.alias("slug"))
 
 
 def _one_by_one(names: pd.DataFrame, existing: pd.DataFrame) -> pd.DataFrame:
@@ -288,15 +272,17 @@ def unique_slugs(names: DataFrame, existing: DataFrame) -> DataFrame:
     based = names.select("id", "name", text.slugify(F.col("name")).alias("base")).withColumn("stem", _stem(F.col("base")))
     ends = {"_low": F.min("base"), "_high": F.max("base"), "_reach": F.max(number)}
     marked = attach_group(based, ["stem"], ends, slice_on="id")
-    mixed = F.col("_low") != F.col("_high")
-    alone = marked.where(~mixed).select("id", "name", "base")
-    meeting = ranked(marked.where(mixed), ["base"], [F.asc("id")], F.floor(F.col("id") / _ID_RANGE), "r")
-    leading = meeting.where(F.col("r") <= F.col("_reach")).select("id", "name", "base", "stem")
-    trailing = meeting.where(F.col("r") > F.col("_reach")).select("id", "name", "base")
+    # names to walk per base: none where the stem has one base only
+    walk = F.when(F.col("_low") == F.col("_high"), F.lit(0)).otherwise(F.col("_reach"))
+    ordered = ranked(marked, ["base"], [F.asc("id")], F.floor(F.col("id") / _ID_RANGE), "r")
+    ordered = materialize(ordered.select("id", "name", "base", "stem", walk.alias("walk"), "r"), "slug-ranks")
+    leading = ordered.where(F.col("r") <= F.col("walk")).select("id", "name", "base", "stem")
+    others = ordered.where(F.col("r") > F.col("walk")).select("id", "name", "base", (F.col("r") - F.col("walk")).alias("r"))
     rivals = existing.select("slug", _stem(F.col("slug")).alias("stem")).join(
         leading.select("stem").distinct(), "stem", "left_semi"
     )
     schema = names.select("id", "name", F.lit("").alias("slug")).schema
     walked = leading.groupBy("stem").cogroup(rivals.groupBy("stem")).applyInPandas(_one_by_one, schema)
+    walked = materialize(walked, "slug-walk")
     taken = existing.select("slug").unionByName(walked.select("slug"))
-    return _closed_form(alone.unionByName(trailing), taken).unionByName(walked)
+    return _closed_form(others, taken).unionByName(walked)
