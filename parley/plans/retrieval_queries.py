@@ -9,7 +9,7 @@ from parley.operators import retrieval as rt
 from parley.plans import cascade
 from parley.plans import sql_parts as sql
 from parley.plans.access_queries import DEFAULTS
-from parley.plans.document_queries import SITE_DEFAULT
+from parley.plans.document_queries import EXTERNAL_SQL, POSTS_SQL, SITE_DEFAULT
 from parley.plans.matching_queries import BLOCKED_SQL
 from parley.plans.registry import _ORACLES, query
 from parley.session import shared_dir
@@ -203,27 +203,40 @@ def _url_docs(b):
     return ingest.external_documents(b.raw("pages"), cms.scan_urls(b.urls))
 
 
-@query("embed_documents")
+_BODY = sql.cut("concat(title, chr(10), chr(10), content)", 28000, "'...'")
+
+
+# the hashing embedder fails only on a text without words, and every title has some
+@query("embed_documents", f"""
+select tenant_id, point_id, 64 as dims, cast(len(regexp_extract_all({_BODY}, '[\\pL\\pN_]+')) as int) as prompt_tokens, 'succeeded' as status
+from ({POSTS_SQL})
+""")
 def embed_documents(b):
     embedded = ingest.embed(_post_docs(b))
     return embedded.select("tenant_id", "point_id", F.size("embedding").alias("dims"), "prompt_tokens", "status")
 
 
-@query("ingest_cms")
+@query("ingest_cms", f"select tenant_id, source_type, point_id, title, url from ({POSTS_SQL})")
 def ingest_cms(b):
     path = shared_dir(b.spark, "collection")
     ingest.run(_post_docs(b), path, "cms")
     return vectors.read_vectors(b.spark, path).select("tenant_id", "source_type", "point_id", "title", "url")
 
 
-@query("ingest_external")
+@query("ingest_external", f"select distinct tenant_id, source_type, point_id, title, url from ({EXTERNAL_SQL})")
 def ingest_external(b):
     path = shared_dir(b.spark, "collection")
     ingest.run(_url_docs(b), path, "external")
     return vectors.read_vectors(b.spark, path).select("tenant_id", "source_type", "point_id", "title", "url")
 
 
-@query("reindex_all")
+@query("reindex_all", f"""
+select t.tenant_id, 'nightly' as run_id, 'completed' as status, coalesce(d.n, 0) as total, coalesce(d.n, 0) as succeeded,
+  cast(0 as bigint) as failed, cast(null as varchar) as error
+from b_tenants t left join (
+  select tenant_id, count(*) as n from (select tenant_id from ({POSTS_SQL}) union all select tenant_id from ({EXTERNAL_SQL})) group by 1) d using (tenant_id)
+where t.status = 'active' and t.source_db_url <> ''
+""")
 def reindex_all(b):
     path, jobs = shared_dir(b.spark, "collection"), shared_dir(b.spark, "jobs")
     due = cms.due_tenants(b.tenants).select("tenant_id")
