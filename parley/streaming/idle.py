@@ -27,10 +27,15 @@ def idle_sessions(messages: DataFrame, tenants: DataFrame, ratings: DataFrame, l
     configured = F.coalesce(F.nullif(F.col("idle_rating_wait_seconds"), F.lit(0)), F.lit(DEFAULT_WAIT_SECONDS))
     waits = tenants.select("tenant_id", configured.alias("_wait"))
     wait = F.greatest(F.coalesce("_wait", F.lit(DEFAULT_WAIT_SECONDS)), F.lit(MIN_WAIT_SECONDS))
-    timed = sends.join(waits, "tenant_id", "left").withColumn("_gap", F.concat(wait.cast("string"), F.lit(" seconds")))
-    quiet = timed.groupBy("tenant_id", "session_id", F.session_window("ts", F.col("_gap")).alias("w")).agg(
-        F.max("ts").alias("last_activity_at")
+    timed = sends.join(waits, "tenant_id", "left").select(
+        "tenant_id", "session_id", "ts", F.col("ts").alias("last"), wait.cast("bigint").alias("_wait")
     )
+    if not messages.isStreaming:
+        timed = _shrink(timed)
+    gap = F.unix_micros("last") - F.unix_micros("ts") + F.col("_wait") * 1_000_000
+    quiet = timed.withColumn("_gap", F.concat(gap.cast("string"), F.lit(" microseconds"))).groupBy(
+        "tenant_id", "session_id", F.session_window("ts", F.col("_gap")).alias("w")
+    ).agg(F.max("last").alias("last_activity_at"))
     rated = ratings.select("session_id", F.lit(True).alias("_rated"))
     return (
         quiet.join(rated, "session_id", "left")
@@ -42,3 +47,14 @@ def idle_sessions(messages: DataFrame, tenants: DataFrame, ratings: DataFrame, l
             F.col("w.end").cast("timestamp_ntz").alias("prompt_at"),
         )
     )
+
+
+def _shrink(timed: DataFrame) -> DataFrame:
+    """Messages of a session inside one wait-long slot as their first and last time.
+
+    They are closer together than the wait, so they belong to one window anyway;
+    a session with very many messages reaches the window merge as few rows.
+    """
+    slot = F.floor(F.unix_micros("ts") / (F.col("_wait") * 1_000_000))
+    slots = timed.groupBy("tenant_id", "session_id", "_wait", slot.alias("_slot"))
+    return slots.agg(F.min("ts").alias("ts"), F.max("last").alias("last")).drop("_slot")
