@@ -57,20 +57,19 @@ def _block_topk(k: int, floor: float | None):
         norms = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
         with np.errstate(divide="ignore", invalid="ignore"):
             scores = np.round((left @ right.T) / norms, SCORE_DECIMALS)
-        scores[~(norms > 0)] = -np.inf  # a zero vector has no direction
+        usable = norms > 0  # a zero vector has no direction
         if floor is not None:
-            scores[scores < floor] = -np.inf
-        if scores.shape[1] > k:
-            bound = np.partition(scores, -k, axis=1)[:, -k][:, None]
-            rows, cols = np.nonzero((scores >= bound) & np.isfinite(scores))
-        else:
-            rows, cols = np.nonzero(np.isfinite(scores))
-        vec_ids = vectors["vec_id"].to_numpy()
-        order = np.lexsort((vec_ids[cols], -scores[rows, cols], rows))
-        rows, cols = rows[order], cols[order]
-        starts = np.r_[0, np.flatnonzero(np.diff(rows)) + 1] if len(rows) else np.array([], dtype=int)
-        place = np.arange(len(rows)) - np.repeat(starts, np.diff(np.r_[starts, len(rows)]))
-        rows, cols = rows[place < k], cols[place < k]
+            usable &= scores >= floor
+        # score and place by vec_id as one whole number: no ties, however many copies a block holds
+        n = scores.shape[1]
+        by_id = np.empty(n, dtype=np.int64)
+        by_id[np.argsort(vectors["vec_id"].to_numpy(), kind="stable")] = np.arange(n)
+        keys = np.rint(np.where(usable, scores, -2.0) * 10**SCORE_DECIMALS).astype(np.int64) * n - by_id
+        cols = np.argpartition(keys, -k, axis=1)[:, -k:] if n > k else np.tile(np.arange(n), (len(left), 1))
+        rows = np.repeat(np.arange(len(left)), cols.shape[1])
+        cols = cols.ravel()
+        kept = usable[rows, cols]
+        rows, cols = rows[kept], cols[kept]
         return pa.table(
             {
                 "query_id": queries["query_id"].combine_chunks().take(pa.array(rows)),
@@ -135,27 +134,6 @@ def topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, source_type: st
     return top_per_group(merged, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
 
 
-def lsh_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, bucket_length: float = 0.5, tables: int = 4, radius: float = 1.0) -> DataFrame:
-    """Approximate top ``k``: random projections on unit vectors, candidates within Euclidean ``radius``.
-
-    On unit vectors cosine is ``1 - d*d / 2``.  Tenants are kept apart after the
-    candidate join.
-    """
-    from pyspark.ml.feature import BucketedRandomProjectionLSH, Normalizer
-    from pyspark.ml.functions import array_to_vector
-
-    unit = Normalizer(inputCol="raw", outputCol="unit")
-    left = unit.transform(queries.select("query_id", F.col("tenant_id").alias("q_tenant"), array_to_vector("qe").alias("raw")))
-    right = unit.transform(vectors.select("vec_id", "tenant_id", "source_type", array_to_vector("embedding").alias("raw")))
-    model = BucketedRandomProjectionLSH(inputCol="unit", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=7).fit(right)
-    near = model.approxSimilarityJoin(left, right, radius, "distance").where("datasetA.q_tenant = datasetB.tenant_id")
-    scored = near.select(
-        "datasetA.query_id", "datasetB.source_type", "datasetB.vec_id",
-        F.round(1 - F.col("distance") * F.col("distance") / 2, SCORE_DECIMALS).alias("score"),
-    )
-    return top_per_group(scored, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
-
-
 def union_rerank(primary: DataFrame, external: DataFrame, k: int = TOP_K) -> DataFrame:
     """Two hit lists as one: by score, primary first on equal scores, cut to ``k``."""
     both = primary.withColumn("_list", F.lit(0)).unionByName(external.withColumn("_list", F.lit(1)))
