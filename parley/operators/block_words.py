@@ -62,10 +62,10 @@ def match_block_words(messages: DataFrame, rules: DataFrame) -> DataFrame:
 
     * exact: hash join on (tenant, lower-cased text), after texts longer than
       every exact word have left;
-    * substring: join on the tenant with the containment test as a residual, so
-      only hits leave the join;
-    * regex: the same with ``rlike``; a pattern in syntax that only Python has
-      goes through Arrow batches, an invalid one never matches.
+    * substring and regex: one join on the tenant with the tests as a residual,
+      so only hits leave it;
+    * regexes in syntax that only Python has: Arrow batches, in a branch that
+      AQE drops when there are none.  An invalid regex never matches.
 
     Regex rules see the trimmed text in its own case, ignoring case; the other
     modes compare lower-cased.
@@ -79,20 +79,24 @@ def match_block_words(messages: DataFrame, rules: DataFrame) -> DataFrame:
     longest = exact.agg(F.coalesce(F.max(F.length("lowered")), F.lit(0))).scalar()
     equal = texts.where(F.length("lowered") <= longest).join(exact, ["tenant_id", "lowered"])
 
-    inside = words.where(F.col("match_mode") == "substring").withColumn("needle", F.lower("word"))
-    contained = texts.join(inside, "tenant_id").where(F.contains("lowered", "needle"))
-
-    regex = words.where(F.col("match_mode") == "regex").withColumn("engine", regex_engine("word"))
+    is_regex = F.col("match_mode") == "regex"
+    spoken = words.where(F.col("match_mode").isin("substring", "regex")).withColumn(
+        "engine", regex_engine(F.when(is_regex, F.col("word")))
+    )
+    needle = F.when(F.col("match_mode") == "substring", F.lower("word"))
     # the pattern depends on the verdict, so no plan can compile an unchecked one
     pattern = F.when(F.col("engine") == "jvm", F.concat(F.lit(JVM_FLAGS), F.col("word")))
-    in_jvm = regex.where(F.col("engine") == "jvm").withColumn("pattern", pattern)
-    searched = texts.join(in_jvm, "tenant_id").where(F.rlike("body", F.col("pattern")))
-    in_python = regex.where(F.col("engine") == "python")
+    in_jvm = spoken.withColumns({"needle": needle, "pattern": pattern}).where(
+        F.col("needle").isNotNull() | F.col("pattern").isNotNull()
+    )
+    hit = F.coalesce(F.contains("lowered", "needle"), F.lit(False)) | F.coalesce(F.rlike("body", F.col("pattern")), F.lit(False))
+    searched = texts.join(in_jvm, "tenant_id").where(hit)
+    in_python = spoken.where(F.col("engine") == "python")
     walked = texts.join(in_python, "tenant_id").where(_python_search("body", "word"))
 
     found = ["message_id", "tenant_id", "category_ord", "word_ord", "category", "match_mode", "word", "response_message"]
     hits = functools.reduce(
-        DataFrame.unionByName, [part.select(*found) for part in (equal, contained, searched, walked)]
+        DataFrame.unionByName, [part.select(*found) for part in (equal, searched, walked)]
     )
     first = hits.groupBy("message_id", "tenant_id").agg(
         F.min(F.struct("category_ord", "word_ord", "category", "match_mode", "word", "response_message")).alias("f")
