@@ -37,19 +37,35 @@ def build_session(app_name: str = "parley", master: str | None = None, **extra:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder for ``purpose`` below ``spark.checkpoint.dir``.
 
-    The cluster names a folder that all executors share in that setting.  Only
-    where it is unset (local tests) a temporary folder is set up instead.
+    The cluster names a folder that all executors share in that setting.  Only a
+    local session, whose executors are the driver itself, may go without: a
+    temporary folder is set up for it.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = os.path.join(tempfile.mkdtemp(prefix="parley-"), "checkpoints")
         os.makedirs(root, exist_ok=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+#: Shuffle files of a finished write are of no more use; without this they stay until the driver collects garbage.
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
-    path = shared_dir(df.sparkSession, purpose)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    before = spark.conf.get(_DROP_SHUFFLES, None)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_DROP_SHUFFLES)
+        else:
+            spark.conf.set(_DROP_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
