@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from parley.functions.bind import let
+
 # Patterns of broken CMS links.
 BROKEN_PATH = "field_[a-f0-9]|[a-f0-9]{13}|_[0-9a-f]{8}"
 BROKEN_QUERY = r"(?U)\bp=\d"
@@ -23,55 +25,65 @@ def _clean(col: Column) -> Column:
     return F.regexp_replace(text, "^[\\x00-\\x20]+|[\\t\\r\\n]", "")
 
 
-def _part(col: Column, group: int) -> Column:
-    return F.regexp_extract(_clean(col), _GRAMMAR, group)
+def _parsed(col: Column, body) -> Column:
+    """``body(parts)`` with the parts of the URL read once: scheme, host, one_bracket, path, query."""
+
+    def parts(text: Column) -> Column:
+        host = F.regexp_extract(text, _GRAMMAR, 2)
+        one_bracket = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
+        return F.struct(
+            F.lower(F.regexp_extract(text, _GRAMMAR, 1)).alias("scheme"),
+            F.when(one_bracket, F.lit("")).otherwise(host).alias("host"),
+            one_bracket.alias("one_bracket"),
+            F.regexp_replace(F.regexp_extract(text, _GRAMMAR, 3), ";[^/]*$", "").alias("path"),
+            F.regexp_extract(text, _GRAMMAR, 4).alias("query"),
+        )
+
+    return let(_clean(col), lambda text: let(parts(text), body))
 
 
 def url_scheme(col: Column) -> Column:
-    return F.lower(_part(col, 1))
+    return F.lower(F.regexp_extract(_clean(col), _GRAMMAR, 1))
 
 
 def url_netloc(col: Column) -> Column:
     """Network location; a lone bracket makes a URL unparseable, shown here as no location."""
-    host = _part(col, 2)
-    return F.when(F.contains(host, F.lit("[")) == F.contains(host, F.lit("]")), host).otherwise(F.lit(""))
+    return _parsed(col, lambda p: p["host"])
 
 
 def url_path(col: Column) -> Column:
     """Path without the ``;params`` of its last segment."""
-    return F.regexp_replace(_part(col, 3), ";[^/]*$", "")
-
-
-def url_query(col: Column) -> Column:
-    return _part(col, 4)
+    return F.regexp_replace(F.regexp_extract(_clean(col), _GRAMMAR, 3), ";[^/]*$", "")
 
 
 def strip_at(col: Column) -> Column:
     return F.regexp_replace(col, "^@+", "")
 
 
-def _has_host(col: Column) -> Column:
-    return (url_scheme(col) != "") & (url_netloc(col) != "")
+def _has_host(p: Column) -> Column:
+    return (p["scheme"] != "") & (p["host"] != "")
+
+
+def _valid(p: Column) -> Column:
+    return _has_host(p) & ~p["path"].rlike(BROKEN_PATH) & ~p["query"].rlike(BROKEN_QUERY)
 
 
 def is_valid_url(col: Column) -> Column:
     """Scheme and host present, no field id or long hex run in the path, no ``p=<n>`` in the query."""
-    return _has_host(col) & ~url_path(col).rlike(BROKEN_PATH) & ~url_query(col).rlike(BROKEN_QUERY)
+    return _parsed(col, _valid)
 
 
-def _site_root(col: Column, path: str) -> Column:
-    root = F.concat(url_scheme(col), F.lit("://"), url_netloc(col), F.lit(path))
-    host = _part(col, 2)
-    lone_bracket = F.contains(host, F.lit("[")) != F.contains(host, F.lit("]"))
-    return F.when((F.coalesce(col, F.lit("")) == "") | lone_bracket, F.lit("")).otherwise(root)
+def _root(col: Column, p: Column, path: str) -> Column:
+    root = F.concat(p["scheme"], F.lit("://"), p["host"], F.lit(path))
+    return F.when((F.coalesce(col, F.lit("")) == "") | p["one_bracket"], F.lit("")).otherwise(root)
 
 
 def base_url(col: Column) -> Column:
-    return _site_root(col, "/")
+    return _parsed(col, lambda p: _root(col, p, "/"))
 
 
 def contact_url(col: Column) -> Column:
-    return _site_root(col, CONTACT_PATH)
+    return _parsed(col, lambda p: _root(col, p, CONTACT_PATH))
 
 
 def fix_url(col: Column, fallback: Column | None = None) -> Column:
@@ -81,13 +93,12 @@ def fix_url(col: Column, fallback: Column | None = None) -> Column:
     host, and so is its base URL, so the base URL never gets a turn of its own.
     """
     spare = F.coalesce(fallback, F.lit("")) if fallback is not None else F.lit("")
-    return (
-        F.when(F.coalesce(col, F.lit("")) == "", spare)
-        .when(is_valid_url(col), strip_at(col))
-        .when(_has_host(col), contact_url(col))
-        .when(is_valid_url(spare), spare)
-        .otherwise(F.lit(""))
-    )
+    last = F.lit("") if fallback is None else F.when(is_valid_url(spare), spare).otherwise(F.lit(""))
+
+    def fixed(p: Column) -> Column:
+        return F.when(_valid(p), strip_at(col)).when(_has_host(p), _root(col, p, CONTACT_PATH)).otherwise(last)
+
+    return F.when(F.coalesce(col, F.lit("")) == "", spare).otherwise(_parsed(col, fixed))
 
 
 def slug_url(site: Column, slug: Column) -> Column:
@@ -99,13 +110,9 @@ def slug_url(site: Column, slug: Column) -> Column:
     with_slash = F.when(F.endswith(site, F.lit("/")), site).otherwise(F.concat(site, F.lit("/")))
     bare = F.regexp_replace(slug, "^/+|/+$", "")
     joined = F.when(bare.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), bare).otherwise(F.concat(with_slash, bare))
-    return (
-        F.when(F.coalesce(site, F.lit("")) == "", F.lit(""))
-        .when(F.coalesce(slug, F.lit("")) == "", contact_url(site))
-        .when(slug.rlike(BROKEN_PATH), contact_url(site))
-        .when(is_valid_url(joined), joined)
-        .otherwise(contact_url(site))
-    )
+    good = (F.coalesce(slug, F.lit("")) != "") & ~slug.rlike(BROKEN_PATH)
+    made = let(joined, lambda j: F.when(is_valid_url(j), j))
+    return F.when(F.coalesce(site, F.lit("")) == "", F.lit("")).otherwise(F.coalesce(F.when(good, made), contact_url(site)))
 
 
 def title_from_url(url: Column, title: Column | None = None) -> Column:

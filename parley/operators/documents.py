@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import html, ids, text, urls
-from parley.operators.groups import oldest
+from parley.operators.groups import lookup, oldest
 from parley.sources.cms import scan_posts
 
 # Fixed values
@@ -22,7 +22,7 @@ def build_post_docs(posts: DataFrame, sites: DataFrame, tags: DataFrame) -> Data
     tenant table and are otherwise only projected.
     """
     tenant = tags.select("tenant_id", "source_type", "source_label").join(sites, "tenant_id")
-    return scan_posts(posts).join(tenant, "tenant_id").select(
+    return lookup(scan_posts(posts), tenant, ["tenant_id"], "id", "inner").select(
         "tenant_id",
         "id",
         ids.cms_point_id(F.col("id")).alias("point_id"),
@@ -44,11 +44,12 @@ def build_external_docs(pages: DataFrame, url_rows: DataFrame) -> DataFrame:
     """A document per URL row: page text where the page yields any, else the placeholder.
 
     Pages are parsed once per URL, before the join, however many rows point at
-    them.  ``url_rows`` has tenant_id, id, url, title and description; blank
-    URLs give no document.
+    them, and only where a row does.  ``url_rows`` has tenant_id, id, url, title
+    and description; blank URLs give no document.
     """
-    parsed = html.page_text(_one_page_per_url(pages)).select("url", F.nullif("content", F.lit("")).alias("content"))
     rows = url_rows.where(F.coalesce("url", F.lit("")) != "")
+    wanted = pages.join(rows.select("url").distinct(), "url", "left_semi")
+    parsed = html.page_text(_one_page_per_url(wanted)).select("url", F.nullif("content", F.lit("")).alias("content"))
     host = urls.url_netloc(F.col("url"))
     made_title = urls.title_from_url(F.col("url"), F.col("title"))
     spare_title = F.coalesce(text.first_filled(F.col("title")), host)

@@ -89,12 +89,12 @@ def oldest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return _first_by(F.min_by, df, keys, order)
 
 
-def lookup(left: DataFrame, right: DataFrame, keys: list[str], slice_on: str) -> DataFrame:
-    """Left join to a side that is unique per key, safe when one key holds much of ``left``.
+def lookup(left: DataFrame, right: DataFrame, keys: list[str], slice_on: str, how: str = "left") -> DataFrame:
+    """Join to a side that is unique per key, safe when one key holds much of ``left``.
 
     The distinct keys of ``left`` (combined before the shuffle) pick up the
     right columns once; only then do they fan out to the slices of their rows.
     """
     sliced = with_slice(left, slice_on)
     found = sliced.select(*keys, "_slice").distinct().join(right, keys)
-    return sliced.join(found, [*keys, "_slice"], "left").drop("_slice")
+    return sliced.join(found, [*keys, "_slice"], how).drop("_slice")

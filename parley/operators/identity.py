@@ -218,7 +218,8 @@ def _closed_form(names: DataFrame, existing: DataFrame) -> DataFrame:
     )
     under = F.array_compact(F.array(own, F.when(F.col("slug").rlike(_NUMBERED), numbered)))
     counts = names.groupBy("base").agg(F.max("r").alias("n"))
-    taken = existing.select(F.explode(under).alias("t")).select("t.*").distinct().join(counts.select("base"), "base", "left_semi")
+    # numbers that do not fit are out of reach
+    taken = existing.select(F.explode(under).alias("t")).select("t.*").where("number is not null").distinct().join(counts.select("base"), "base", "left_semi")
     nth = ranked(taken, ["base"], [F.asc("number")], F.floor(F.col("number") / _ID_RANGE), "j")
     # free numbers below the j-th taken one: names ranked past them shift by at least j
     steps = nth.groupBy("base", (F.col("number") - F.col("j")).alias("free")).agg(F.max("j").alias("shift"))
@@ -264,11 +265,14 @@ def unique_slugs(names: DataFrame, existing: DataFrame) -> DataFrame:
 
     Where bases such as ``shop`` and ``shop-2`` meet, a slug can depend on the
     order of arrival under either base, but only up to the greatest number
-    ``n`` that ends a base of the stem: a base's names beyond its first ``n``
-    always land past it.  Those first names are walked in order, one stem per
+    ``n`` within reach that ends a base of the stem: a base's names beyond its
+    first ``n`` always land past it, and no name gets past the count of all slugs.  Those first names are walked in order, one stem per
     group; all others are placed by rank.
     """
+    # a number that does not fit, or is greater than the count of all slugs, is out of reach of every rank
+    most = names.count() + existing.count()
     number = F.regexp_extract("base", _NUMBERED, 2).try_cast("bigint")
+    number = F.when(number <= most, number).otherwise(F.lit(0).cast("bigint"))
     based = names.select("id", "name", text.slugify(F.col("name")).alias("base")).withColumn("stem", _stem(F.col("base")))
     ends = {"_low": F.min("base"), "_high": F.max("base"), "_reach": F.max(number)}
     marked = attach_group(based, ["stem"], ends, slice_on="id")

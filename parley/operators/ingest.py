@@ -20,11 +20,13 @@ from parley.sources.vectors import upsert_vectors
 
 SUCCEEDED, FAILED = "succeeded", "failed"
 RETRIES = 3
+#: Fixed value: the usage type of indexing.
+INDEX_USAGE = "index_embedding"
 
 #: Texts in, (vectors or None, token counts) out; called once per Arrow batch.
 EmbedFn = Callable[[list[str]], tuple[list, list[int]]]
 
-_DOC_COLUMNS = ["tenant_id", "seq", "point_id", "title", "content", "url", "source", "source_type"]
+_DOC_COLUMNS = ["tenant_id", "seq", "point_id", "title", "content", "url", "source", "source_type", "type", "date", "description"]
 
 
 def hashing_embedder(dims: int = 64) -> EmbedFn:
@@ -48,12 +50,13 @@ def hashing_embedder(dims: int = 64) -> EmbedFn:
 
 def cms_documents(posts: DataFrame, sites: DataFrame, tags: DataFrame) -> DataFrame:
     made = docs.build_post_docs(posts, sites, tags)
-    return made.withColumn("seq", F.col("id")).select(*_DOC_COLUMNS)
+    return made.withColumns({"seq": F.col("id"), "description": F.lit(None).cast("string")}).select(*_DOC_COLUMNS)
 
 
 def external_documents(pages: DataFrame, url_rows: DataFrame) -> DataFrame:
     made = docs.build_external_docs(pages, url_rows)
-    return made.withColumn("seq", F.col("id")).select(*_DOC_COLUMNS)
+    none = F.lit(None).cast("string")
+    return made.withColumns({"seq": F.col("id"), "type": none, "date": none}).select(*_DOC_COLUMNS)
 
 
 def embed(documents: DataFrame, fn: EmbedFn | None = None, retries: int = RETRIES) -> DataFrame:
@@ -114,29 +117,47 @@ def run(documents: DataFrame, path: str, run_id: str, fn: EmbedFn | None = None)
     """Embed, replace the touched (tenant, source type) partitions, return one status row per document.
 
     Vectors are computed once and kept in a written table; the collection and
-    the status rows both read it.
+    the status rows both read it.  A partition whose documents all fail is
+    emptied.
     """
     embedded = materialize(embed(documents, fn).withColumn("run_id", F.lit(run_id)), "embedded")
     points = embedded.where(F.col("status") == SUCCEEDED).drop("status", "run_id", "prompt_tokens")
-    upsert_vectors(points, path)
+    upsert_vectors(points, path, touched=embedded.select("tenant_id", "source_type"))
     return embedded.select("tenant_id", "source_type", "point_id", "run_id", "prompt_tokens", "status")
 
 
-def reindex(documents: DataFrame, path: str, jobs_path: str, run_id: str, tenants: DataFrame, fn: EmbedFn | None = None) -> None:
-    """One run over the documents of all given tenants; appends a job row per tenant.
+def index_usage(statuses: DataFrame) -> DataFrame:
+    """Tokens of a run as one usage row per tenant and run; runs without tokens give none."""
+    used = statuses.groupBy("tenant_id", "run_id").agg(F.sum("prompt_tokens").cast("bigint").alias("prompt_tokens"))
+    return used.where("prompt_tokens > 0").select(
+        "tenant_id", "run_id", F.lit(INDEX_USAGE).alias("usage_type"), "prompt_tokens", F.lit(0).cast("bigint").alias("completion_tokens"), F.col("prompt_tokens").alias("total_tokens")
+    )
+
 
-    A run that raises leaves failed job rows with the error and raises no
-    further: the next run simply replaces the partitions again.
+def reindex(
+    documents: DataFrame, path: str, jobs_path: str, run_id: str, tenants: DataFrame, fn: EmbedFn | None = None, usage_path: str | None = None
+) -> None:
+    """One run over the documents of all given tenants; appends a job row per tenant, and its usage rows.
+
+    A tenant of whose documents none could be embedded has failed.  A run that
+    raises leaves failed job rows with the whole error and raises no further: the
+    next run simply replaces the partitions again.
     """
     base = tenants.select("tenant_id").withColumn("run_id", F.lit(run_id))
     try:
-        summary = ingest_summary(run(documents, path, run_id, fn))
+        statuses = run(documents, path, run_id, fn)
+        if usage_path:
+            index_usage(statuses).write.mode("append").parquet(usage_path)
+        summary = ingest_summary(statuses)
         jobs = base.join(summary, ["tenant_id", "run_id"], "left").na.fill(0, ["total", "succeeded", "failed"])
-        jobs = jobs.withColumns({"status": F.lit("completed"), "error": F.lit(None).cast("string")})
+        lost = (F.col("total") > 0) & (F.col("succeeded") == 0)
+        jobs = jobs.withColumns(
+            {"status": F.when(lost, "failed").otherwise("completed"), "error": F.when(lost, F.lit("no document could be embedded"))}
+        )
     except Exception as exc:  # recorded on the job, as a scheduler expects
         jobs = base.withColumns(
             {n: F.lit(0).cast("bigint") for n in ("total", "succeeded", "failed")}
-            | {"status": F.lit("failed"), "error": F.lit(str(exc)[:2000])}
+            | {"status": F.lit("failed"), "error": F.lit(str(exc))}
         )
     progress = F.to_json(
         F.struct(

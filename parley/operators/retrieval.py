@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text, urls
-from parley.operators.groups import slice_mask, spread_slices, top_per_group, with_slice
+from parley.operators.groups import lookup, slice_mask, spread_slices, top_per_group, with_slice
 
 # Fixed values
 TOP_K = 3
@@ -27,74 +26,78 @@ SYSTEM_PROMPT = (
 )
 SITE_CLAUSE = " Official website (for grounding references only): {site}."
 
-#: Scores are compared at this many decimals, about single precision.
-SCORE_DECIMALS = 6
 #: Rows of one block of the product; 8192 x 1024 doubles are 64 MB.
 VECTOR_BLOCK = 8_192
 QUERY_BLOCK = 1_024
+#: What a point is known by; ids repeat over tenants and source types.
+POINT = ["tenant_id", "source_type", "vec_id"]
+#: The matrix product may differ from the exact cosine by so much.
+_PRODUCT_ERROR = 1e-9
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     flat = column.combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.float64).reshape(len(column), -1)
+    return np.ascontiguousarray(flat.astype(np.float64).reshape(len(column), -1))
 
 
 def _block_topk(k: int, floor: float | None):
     """Top ``k`` of a block of vectors for each query of a block, as an Arrow function of one grid cell."""
 
     def cell(queries: pa.Table, vectors: pa.Table) -> pa.Table:
-        empty = pa.table(
-            {
-                "query_id": pa.array([], queries["query_id"].type),
-                "source_type": pa.array([], pa.string()),
-                "vec_id": pa.array([], vectors["vec_id"].type),
-                "score": pa.array([], pa.float64()),
-            }
-        )
         if not len(queries) or not len(vectors):
-            return empty
+            return pa.table({n: pa.array([], t) for n, t in (("query_id", queries["query_id"].type), ("vec_id", vectors["vec_id"].type), ("score", pa.float64()))}).append_column(
+                "tenant_id", pa.array([], queries["q_tenant_id"].type)
+            ).append_column("source_type", pa.array([], pa.string())).select(["query_id", *POINT, "score"])
         left, right = _matrix(queries["qe"]), _matrix(vectors["embedding"])
-        norms = np.linalg.norm(left, axis=1)[:, None] * np.linalg.norm(right, axis=1)[None, :]
+        left_norm, right_norm = np.sqrt((left * left).sum(axis=1)), np.sqrt((right * right).sum(axis=1))
         with np.errstate(divide="ignore", invalid="ignore"):
-            scores = np.round((left @ right.T) / norms, SCORE_DECIMALS)
-        usable = norms > 0  # a zero vector has no direction
-        if floor is not None:
-            usable &= scores >= floor
-        # score and place by vec_id as one whole number: no ties, however many copies a block holds
-        n = scores.shape[1]
-        by_id = np.empty(n, dtype=np.int64)
-        by_id[np.argsort(vectors["vec_id"].to_numpy(), kind="stable")] = np.arange(n)
-        keys = np.rint(np.where(usable, scores, -2.0) * 10**SCORE_DECIMALS).astype(np.int64) * n - by_id
-        cols = np.argpartition(keys, -k, axis=1)[:, -k:] if n > k else np.tile(np.arange(n), (len(left), 1))
-        rows = np.repeat(np.arange(len(left)), cols.shape[1])
-        cols = cols.ravel()
-        kept = usable[rows, cols]
-        rows, cols = rows[kept], cols[kept]
+            rough = (left @ right.T) / (left_norm[:, None] * right_norm[None, :])
+        rough = np.where((left_norm[:, None] > 0) & (right_norm[None, :] > 0), rough, -np.inf)  # a zero vector has no direction
+        by_id = np.empty(len(right), dtype=np.int64)
+        by_id[np.argsort(vectors["vec_id"].to_numpy(), kind="stable")] = np.arange(len(right))
+        rows, cols, scores = [], [], []
+        for i in range(len(left)):
+            kth = np.partition(rough[i], -k)[-k] if len(right) > k else -np.inf
+            near = np.flatnonzero((rough[i] >= kth - _PRODUCT_ERROR) & np.isfinite(rough[i]))
+            # pair by pair, so that equal vectors get equal scores
+            exact = (right[near] * left[i]).sum(axis=1) / (left_norm[i] * right_norm[near])
+            best = np.lexsort((by_id[near], -exact))[:k]
+            if floor is not None:
+                best = best[exact[best] >= floor]
+            rows.append(np.full(len(best), i))
+            cols.append(near[best])
+            scores.append(exact[best])
+        rows, cols = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
         return pa.table(
             {
-                "query_id": queries["query_id"].combine_chunks().take(pa.array(rows)),
-                "source_type": vectors["source_type"].combine_chunks().take(pa.array(cols)).cast(pa.string()),
-                "vec_id": vectors["vec_id"].combine_chunks().take(pa.array(cols)),
-                "score": pa.array(scores[rows, cols]),
+                "query_id": queries["query_id"].combine_chunks().take(rows),
+                "tenant_id": queries["q_tenant_id"].combine_chunks().take(rows),
+                "source_type": vectors["source_type"].combine_chunks().take(cols).cast(pa.string()),
+                "vec_id": vectors["vec_id"].combine_chunks().take(cols),
+                "score": pa.array(np.concatenate(scores)),
             }
         )
 
     return cell
 
 
-def bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, floor: float | None = None) -> DataFrame:
+def bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, floor: float | None = None, buckets: DataFrame | None = None) -> DataFrame:
     """Exact cosine top ``k`` per query and source type within the query's tenant.
 
     ``queries``: query_id, tenant_id, qe.  ``vectors``: tenant_id, source_type,
-    vec_id, embedding.  Both sides are cut into blocks by tenant (and source
-    type); block counts follow the group's size, so a tenant with a large part
-    of all vectors becomes many cells and no cell outgrows a task.  A cell emits
-    ``k`` rows per query, never the pairs.  Ties go to the lower vec_id.
+    vec_id, embedding; a point is known by the first three.  ``buckets``
+    (tenant_id, source_type) names the buckets to search, by default all.  Both
+    sides are cut into blocks by tenant (and source type); block counts follow the
+    group's size, so a tenant with a large part of all vectors becomes many cells
+    and no cell outgrows a task.  A cell emits ``k`` rows per query, never the
+    pairs.  Ties go to the lower vec_id.
     """
     bucket = ["tenant_id", "source_type"]
     points = with_slice(vectors.select(*bucket, "vec_id", "embedding"), "vec_id")
     asked = with_slice(queries.select("tenant_id", "query_id", "qe"), "query_id")
     n_points = points.groupBy(*bucket).agg(F.count(F.lit(1)).alias("nv"), slice_mask())
+    if buckets is not None:
+        n_points = n_points.join(buckets.select(*bucket).distinct(), bucket, "left_semi")
     n_asked = asked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("nq"), slice_mask())
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     sizes = [blocks("nv", VECTOR_BLOCK).alias("vector_blocks"), blocks("nq", QUERY_BLOCK).alias("query_blocks")]
@@ -117,46 +120,58 @@ def bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, floor: f
     # both sides carry columns of the same grid, so the query side gets names of its own
     left = left.select("query_id", "qe", *[F.col(c).alias(f"q_{c}") for c in cell])
     types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
-    schema = f"query_id {types['query_id']}, source_type string, vec_id {types['vec_id']}, score double"
+    schema = f"query_id {types['query_id']}, tenant_id {types['tenant_id']}, source_type string, vec_id {types['vec_id']}, score double"
     found = left.groupBy(*[f"q_{c}" for c in cell]).cogroup(right.groupBy(*cell)).applyInArrow(_block_topk(k, floor), schema)
-    best = top_per_group(
-        found.repartition("query_id"), ["query_id", "source_type"], [F.desc("score"), F.asc("vec_id")], k, "rank"
-    )
-    return best
+    return top_per_group(found.repartition("query_id"), ["query_id", "source_type"], [F.desc("score"), F.asc("vec_id")], k, "rank")
 
 
 def topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, source_type: str | None = None, floor: float | None = None) -> DataFrame:
     """Exact cosine top ``k`` per query in its tenant: all vectors, or those of one source type."""
-    pool = vectors if source_type is None else vectors.where(F.col("source_type") == source_type)
     if source_type is not None:
-        return bucket_topk(queries, pool, k, floor)
-    merged = bucket_topk(queries, pool, k, floor).drop("rank")
-    return top_per_group(merged, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, "rank")
+        return bucket_topk(queries, vectors.where(F.col("source_type") == source_type), k, floor)
+    merged = bucket_topk(queries, vectors, k, floor).drop("rank")
+    return top_per_group(merged, ["query_id"], [F.desc("score"), F.asc("source_type"), F.asc("vec_id")], k, "rank")
+
+
+def _own_and_external(queries: DataFrame, vectors: DataFrame, sources: DataFrame | None, k: int) -> DataFrame:
+    """Top ``k`` of the tenant's own bucket and of the external one, out of one product, with ``primary`` marking the own.
+
+    ``sources`` (tenant_id, source_type) has each tenant's own type; a tenant
+    without a row has ``PRIMARY``.
+    """
+    own = vectors.select("tenant_id").distinct()
+    if sources is not None:
+        named = sources.select("tenant_id", F.col("source_type").alias("_own"))
+        own = own.join(named, "tenant_id", "left")
+    else:
+        own = own.withColumn("_own", F.lit(None).cast("string"))
+    own = own.withColumn("_own", F.coalesce("_own", F.lit(PRIMARY)))
+    buckets = own.select("tenant_id", F.explode(F.array(F.col("_own"), F.lit(EXTERNAL))).alias("source_type"))
+    hits = bucket_topk(queries, vectors, k, buckets=buckets)
+    return lookup(hits, own, ["tenant_id"], "query_id").withColumn("primary", F.col("source_type") == F.col("_own")).drop("_own")
 
 
-def union_rerank(primary: DataFrame, external: DataFrame, k: int = TOP_K) -> DataFrame:
-    """Two hit lists as one: by score, primary first on equal scores, cut to ``k``."""
-    both = primary.withColumn("_list", F.lit(0)).unionByName(external.withColumn("_list", F.lit(1)))
-    order = [F.desc("score"), F.asc("_list"), F.asc("rank")]
-    return top_per_group(both.drop("position"), ["query_id"], order, k, "position").drop("_list")
+def _by_score(hits: DataFrame, k: int) -> DataFrame:
+    """One list per query: by score, the own bucket first on equal scores, cut to ``k``."""
+    return top_per_group(hits, ["query_id"], [F.desc("score"), F.desc("primary"), F.asc("rank")], k, "position").drop("primary")
 
 
-def two_bucket(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, primary: str = PRIMARY) -> DataFrame:
-    """Primary hits; where fewer than ``k`` or the best is below 0.7, blended with external ones.
+def union_rerank(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, sources: DataFrame | None = None) -> DataFrame:
+    """Hits of the tenant's own and of the external bucket as one list of ``k``."""
+    return _by_score(_own_and_external(queries, vectors, sources, k), k)
 
-    Both buckets come out of one block product.  The test looks at the primary
-    hits before any score floor.
+
+def two_bucket(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, sources: DataFrame | None = None) -> DataFrame:
+    """Hits of the tenant's own bucket; where fewer than ``k`` or the best is below 0.7, blended with external ones.
+
+    The test looks at the own hits before any score floor.
     """
-    pool = vectors.where(F.col("source_type").isin(primary, EXTERNAL))
-    hits = bucket_topk(queries, pool, k)
+    hits = _own_and_external(queries, vectors, sources, k)
     query = Window.partitionBy("query_id")
-    is_primary = F.col("source_type") == primary
-    n = F.count_if(is_primary).over(query)
-    best = F.max(F.when(is_primary, F.col("score"))).over(query)
+    n = F.count_if("primary").over(query)
+    best = F.max(F.when(F.col("primary"), F.col("score"))).over(query)
     blend = (n < k) | (F.greatest(best, F.lit(0.0)) < BLEND_BELOW)
-    kept = hits.withColumn("_blend", blend).where(is_primary | F.col("_blend")).drop("_blend")
-    order = [F.desc("score"), F.desc(F.col("source_type") == primary), F.asc("rank")]
-    return top_per_group(kept, ["query_id"], order, k, "position")
+    return _by_score(hits.withColumn("_blend", blend).where("primary or _blend").drop("_blend"), k)
 
 
 def min_score(hits: DataFrame, floor: float = SCORE_FLOOR) -> DataFrame:
@@ -165,7 +180,12 @@ def min_score(hits: DataFrame, floor: float = SCORE_FLOOR) -> DataFrame:
 
 def with_payload(hits: DataFrame, vectors: DataFrame, *columns: str) -> DataFrame:
     """Hits with payload columns of their points; payloads never travel through the product."""
-    return hits.join(vectors.select("vec_id", *columns), "vec_id")
+    return hits.join(vectors.select(*POINT, *columns), POINT)
+
+
+def with_fallback(hits: DataFrame, tags: DataFrame) -> DataFrame:
+    """Hits with the ``fallback_url`` of their tenant."""
+    return lookup(hits, tags.select("tenant_id", "fallback_url"), ["tenant_id"], "query_id")
 
 
 def citations(hits: DataFrame, fallback: Column | None = None) -> DataFrame:
@@ -215,13 +235,17 @@ def build_prompts(df: DataFrame) -> DataFrame:
     return df.withColumns({"system_prompt": system, "user_prompt": user})
 
 
-def answer_confidence(queries: DataFrame, filtered: DataFrame, cited: DataFrame) -> DataFrame:
+def cited_best(filtered: DataFrame, vectors: DataFrame, tags: DataFrame | None = None) -> DataFrame:
+    """``(query_id, best)`` of queries with a cited hit; ``best`` counts hits that lost their URL too.
+
+    The best score travels with the hits, so search and payload are planned once.
+    """
+    best = F.max("score").over(Window.partitionBy("query_id"))
+    hits = with_payload(filtered.withColumn("best", best), vectors, "url", "content")
+    cited = citations(hits) if tags is None else citations(with_fallback(hits, tags), F.col("fallback_url"))
+    return cited.groupBy("query_id").agg(F.max("best").alias("best"))
+
+
+def answer_confidence(queries: DataFrame, found: DataFrame) -> DataFrame:
     """Best score above the floor, even if that hit lost its URL; 0 where nothing is cited."""
-    best = filtered.groupBy("query_id").agg(F.max("score").alias("best"))
-    any_cited = cited.select("query_id").distinct().withColumn("_cited", F.lit(True))
-    return (
-        queries.select("query_id")
-        .join(best, "query_id", "left")
-        .join(any_cited, "query_id", "left")
-        .select("query_id", F.when(F.col("_cited"), F.col("best")).otherwise(F.lit(0.0)).alias("confidence"))
-    )
+    return queries.select("query_id").join(found, "query_id", "left").select("query_id", F.coalesce("best", F.lit(0.0)).alias("confidence"))

@@ -6,10 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators.groups import ranked
-
-#: Words per nested row; a longer category continues in the next part.
-PART_WORDS = 1_000
+from parley.operators.groups import newest, ranked
 
 #: Fields of a preset or default reply, given as a plain list in code.
 PRESET_FIELDS = ["category", "trigger_phrase", "response_template", "priority"]
@@ -20,16 +17,15 @@ def order_rules(replies: DataFrame) -> DataFrame:
     return replies.orderBy("tenant_id", F.asc("category"), F.desc("priority"), F.asc("trigger_phrase"))
 
 
-def nest_words(words: DataFrame, keys: list[str], part_words: int = PART_WORDS) -> DataFrame:
-    """Categories with their words as an array, oldest first.
+def nest_words(words: DataFrame, keys: list[str]) -> DataFrame:
+    """Words under their category, each with its ``position`` from 1 on, oldest first.
 
-    ``words`` has the category columns ``keys``, ``word_ord`` and ``word``.  A
-    category above ``part_words`` words gives consecutive parts.
+    ``words`` has the category columns ``keys``, ``word_ord`` and ``word``.  The
+    nesting stays rows, so that a category of any size is spread out.
     """
-    numbered = ranked(words.select(*keys, "word_ord", "word"), keys, [F.asc("word_ord")], F.floor(F.col("word_ord") / part_words))
-    part = F.floor((F.col("rn") - 1) / part_words).cast("int")
-    ordered = F.sort_array(F.collect_list(F.struct("rn", "word")))
-    return numbered.groupBy(*keys, part.alias("part")).agg(F.transform(ordered, lambda w: w["word"]).alias("words"))
+    stretch = F.floor(F.col("word_ord") / 1_000)
+    numbered = ranked(words.select(*keys, "word_ord", "word"), keys, [F.asc("word_ord")], stretch)
+    return numbered.select(*keys, F.col("rn").cast("bigint").alias("position"), "word")
 
 
 def _preset_rows(preset: list[tuple]) -> Column:
@@ -61,10 +57,11 @@ def merge_rules(replies: DataFrame, defaults: list[tuple], tenants: DataFrame) -
     order is priority (highest first), then age; defaults follow in list order
     with priority 0: sort by ``is_default``, ``priority`` descending, ``ord``.
     """
-    own = replies.where("enabled").select(
+    named = replies.where("enabled").select(
         "tenant_id", text.norm_trigger(F.col("trigger_phrase")).alias("trigger_phrase"), "response_template",
         "similarity_threshold", "priority", "ord", F.lit(False).alias("is_default"),
     ).where(F.col("trigger_phrase") != "")
+    own = newest(named, ["tenant_id", "trigger_phrase"], ["ord"])  # of phrases that normalise alike the later row counts
     if not defaults:
         return own
     rows = [(None, trigger.strip().lower(), template, 0) for trigger, template in defaults]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import net, text
+from parley.operators.groups import lookup
 
 # Fixed values
 COLOR = "^#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})$"
@@ -26,14 +27,11 @@ def with_client_ip(requests: DataFrame, ipv6: bool = True) -> DataFrame:
     return requests.withColumn("client_ip", net.client_ip(F.col("forwarded_for"), F.col("peer"), ipv6))
 
 
-def ip_screen(requests: DataFrame, blocked_ips: DataFrame) -> DataFrame:
+def ip_screen(requests: DataFrame, blocked_ips: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Add ``ip_blocked``: the request's canonical address is blocked for its tenant."""
     listed = blocked_ips.select("tenant_id", F.col("ip_address").alias("client_ip")).distinct().withColumn("_hit", F.lit(True))
-    return (
-        requests.join(listed, ["tenant_id", "client_ip"], "left")
-        .withColumn("ip_blocked", F.coalesce("_hit", F.lit(False)))
-        .drop("_hit")
-    )
+    found = lookup(requests, listed, ["tenant_id", "client_ip"], request_id)
+    return found.withColumn("ip_blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def with_country(requests: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -56,15 +54,12 @@ def with_country(requests: DataFrame, ranges: DataFrame) -> DataFrame:
     return numbered.join(blocks, same, "left").select(*[numbered[c] for c in requests.columns], "country_code")
 
 
-def country_screen(requests: DataFrame, ranges: DataFrame, blocked_countries: DataFrame) -> DataFrame:
+def country_screen(requests: DataFrame, ranges: DataFrame, blocked_countries: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Add ``country_code`` and ``country_blocked`` for the request's tenant."""
     listed = blocked_countries.select("tenant_id", F.upper("country_code").alias("country_code")).distinct()
     located = with_country(requests, ranges).withColumn("country_code", F.upper("country_code"))
-    return (
-        located.join(listed.withColumn("_hit", F.lit(True)), ["tenant_id", "country_code"], "left")
-        .withColumn("country_blocked", F.coalesce("_hit", F.lit(False)))
-        .drop("_hit")
-    )
+    found = lookup(located, listed.withColumn("_hit", F.lit(True)), ["tenant_id", "country_code"], request_id)
+    return found.withColumn("country_blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
 def _violations(df: DataFrame, kind: str, checks: list[tuple[str, Column, str]]) -> DataFrame:
@@ -83,17 +78,17 @@ def tenant_violations(tenants: DataFrame) -> DataFrame:
     checks = []
     for name in [c for c in COLOR_COLUMNS if c in have]:
         value = text.blank_to_null(F.col(name))
-        checks.append((name, ~value.rlike(COLOR), "must be a hex color"))
+        checks.append((name, ~value.rlike(COLOR), "hex_color"))
     for name in [c for c in URL_COLUMNS if c in have]:
         value = text.blank_to_null(F.col(name))
-        checks.append((name, ~value.rlike("^https?://"), "must be an http(s) URL"))
+        checks.append((name, ~value.rlike("^https?://"), "http_url"))
     if "widget_source_type" in have:
         value = text.blank_to_null(F.col("widget_source_type"))
-        checks.append(("widget_source_type", ~value.rlike(SOURCE_TYPE), "must be 1-64 letters, digits, underscores, hyphens or dots"))
+        checks.append(("widget_source_type", ~value.rlike(SOURCE_TYPE), "source_type_form"))
     if "idle_rating_wait_seconds" in have:
-        checks.append(("idle_rating_wait_seconds", F.col("idle_rating_wait_seconds") < MIN_IDLE_SECONDS, "must be >= 5"))
+        checks.append(("idle_rating_wait_seconds", F.col("idle_rating_wait_seconds") < MIN_IDLE_SECONDS, "at_least_5"))
     if "monthly_message_limit" in have:
-        checks.append(("monthly_message_limit", F.col("monthly_message_limit") < 1, "must be positive"))
+        checks.append(("monthly_message_limit", F.col("monthly_message_limit") < 1, "positive"))
     return _violations(tenants, "tenant", checks)
 
 
@@ -104,21 +99,21 @@ def rule_violations(replies: DataFrame, block_rules: DataFrame) -> DataFrame:
         replies,
         "quick_reply",
         [
-            ("similarity_threshold", ~threshold.between(50, 100), "must be between 50 and 100"),
-            ("trigger_phrase", text.norm_trigger(F.col("trigger_phrase")) == "", "is required"),
+            ("similarity_threshold", ~threshold.between(50, 100), "between_50_100"),
+            ("trigger_phrase", text.norm_trigger(F.col("trigger_phrase")) == "", "filled"),
         ],
     )
     mode = F.lower(text.strip_ws(F.coalesce("match_mode", F.lit(""))))
-    block = _violations(block_rules, "block_rule", [("match_mode", ~mode.isin(MATCH_MODES), "must be exact, substring or regex")])
+    block = _violations(block_rules, "block_rule", [("match_mode", ~mode.isin(MATCH_MODES), "known_match_mode")])
     return reply.unionByName(block)
 
 
 def block_list_violations(blocked_ips: DataFrame, blocked_countries: DataFrame, ipv6: bool = True) -> DataFrame:
     """Addresses that do not parse and country codes that are not two letters."""
     ip = text.strip_ws(F.coalesce("ip_address", F.lit("")))
-    addresses = _violations(blocked_ips, "blocked_ip", [("ip_address", net.canonical_ip(ip, ipv6).isNull(), "must be an IP address")])
+    addresses = _violations(blocked_ips, "blocked_ip", [("ip_address", net.canonical_ip(ip, ipv6).isNull(), "ip_address")])
     code = text.strip_ws(F.coalesce("country_code", F.lit("")))
-    countries = _violations(blocked_countries, "blocked_country", [("country_code", ~code.rlike(r"^\p{L}{2}$"), "must be ISO alpha-2")])
+    countries = _violations(blocked_countries, "blocked_country", [("country_code", ~code.rlike(r"^\p{L}{2}$"), "two_letters")])
     return addresses.unionByName(countries)
 
 

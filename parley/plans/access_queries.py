@@ -74,19 +74,19 @@ def client_ip_extract(b):
 
 
 _CONFIG = f"""
-select tenant_id, 'tenant' as kind, 'widget_primary_color' as field, widget_primary_color as value, 'must be a hex color' as rule from b_tenants
+select tenant_id, 'tenant' as kind, 'widget_primary_color' as field, widget_primary_color as value, 'hex_color' as rule from b_tenants
   where not regexp_matches({sql.filled('widget_primary_color')}, '^#([0-9a-fA-F]{{3}}|[0-9a-fA-F]{{6}})$')
-union all select tenant_id, 'tenant', 'widget_website_url', widget_website_url, 'must be an http(s) URL' from b_tenants
+union all select tenant_id, 'tenant', 'widget_website_url', widget_website_url, 'http_url' from b_tenants
   where not regexp_matches({sql.filled('widget_website_url')}, '^https?://')
-union all select tenant_id, 'tenant', 'widget_source_type', widget_source_type, 'must be 1-64 letters, digits, underscores, hyphens or dots' from b_tenants
+union all select tenant_id, 'tenant', 'widget_source_type', widget_source_type, 'source_type_form' from b_tenants
   where not regexp_matches({sql.filled('widget_source_type')}, '^[a-zA-Z0-9_.-]{{1,64}}$')
-union all select tenant_id, 'tenant', 'idle_rating_wait_seconds', cast(idle_rating_wait_seconds as varchar), 'must be >= 5' from b_tenants where idle_rating_wait_seconds < 5
-union all select tenant_id, 'tenant', 'monthly_message_limit', cast(monthly_message_limit as varchar), 'must be positive' from b_tenants where monthly_message_limit < 1
-union all select tenant_id, 'quick_reply', 'similarity_threshold', cast(priority * 11 as varchar), 'must be between 50 and 100' from b_quick_replies where priority * 11 not between 50 and 100
-union all select tenant_id, 'block_rule', 'match_mode', word, 'must be exact, substring or regex' from b_block_rules where lower(word) not in ('exact', 'substring', 'regex')
-union all select tenant_id, 'blocked_ip', 'ip_address', ip, 'must be an IP address' from (
+union all select tenant_id, 'tenant', 'idle_rating_wait_seconds', cast(idle_rating_wait_seconds as varchar), 'at_least_5' from b_tenants where idle_rating_wait_seconds < 5
+union all select tenant_id, 'tenant', 'monthly_message_limit', cast(monthly_message_limit as varchar), 'positive' from b_tenants where monthly_message_limit < 1
+union all select tenant_id, 'quick_reply', 'similarity_threshold', cast(priority * 11 as varchar), 'between_50_100' from b_quick_replies where priority * 11 not between 50 and 100
+union all select tenant_id, 'block_rule', 'match_mode', word, 'known_match_mode' from b_block_rules where lower(word) not in ('exact', 'substring', 'regex')
+union all select tenant_id, 'blocked_ip', 'ip_address', ip, 'ip_address' from (
   select tenant_id, replace(ip_address, '.1', '.x1') as ip from b_blocked_ips) where contains(ip, 'x')
-union all select tenant_id, 'blocked_country', 'country_code', code, 'must be ISO alpha-2' from (
+union all select tenant_id, 'blocked_country', 'country_code', code, 'two_letters' from (
   select tenant_id, case when country_code = 'CC' then 'C1' else country_code end as code from b_blocked_countries) where code = 'C1'
 """
 
@@ -220,11 +220,11 @@ def rule_listing_order(b):
 
 
 @query("category_words_nested", """
-select tenant_id, category_ord, category, 0 as part, string_agg(word, '|' order by word_ord) as words from b_block_rules group by 1, 2, 3
+select tenant_id, category_ord, category, row_number() over (partition by tenant_id, category_ord, category order by word_ord) as position, word
+from b_block_rules
 """)
 def category_words_nested(b):
-    nested = rules.nest_words(b.block_rules, ["tenant_id", "category_ord", "category"])
-    return nested.withColumn("words", F.array_join("words", "|"))
+    return rules.nest_words(b.block_rules, ["tenant_id", "category_ord", "category"])
 
 
 @query("membership_reconcile", """

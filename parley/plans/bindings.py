@@ -119,13 +119,14 @@ select doc_id as id, doc_id % 25 as tenant_id, concat('Doc ', cast(doc_id as str
     else concat('doc-', cast(doc_id as string)) end as post_name,
   @{ts}(2024, cast(1 + doc_id % 12 as int), cast(1 + doc_id % 28 as int), 0, 0, 0) as post_date
 from @{documents}""",
-    # vector collection: one point per document
+    # vector collection: one point per document; ids repeat over tenants, types are the tenant's own or external
     "b_vectors": """
-select d.doc_id as vec_id, d.doc_id % 25 as tenant_id, case when e.label % 2 = 0 then 'primary' else 'external' end as source_type,
+select cast((d.doc_id - d.doc_id % 25) / 25 as bigint) as vec_id, d.doc_id % 25 as tenant_id,
+  case when e.label % 2 = 0 then coalesce(nullif(trim(t.widget_source_type), ''), 'primary') else 'external' end as source_type,
   e.embedding, d.text as content, d.source,
-  case when d.doc_id % 9 = 0 then 'not a url' else concat('https://', d.source, '.example.com/d/', cast(d.doc_id as string)) end as url
+  case when d.doc_id % 9 = 0 then 'not a url' when d.doc_id % 9 = 1 then '' else concat('https://', d.source, '.example.com/d/', cast(d.doc_id as string)) end as url
 from (select *, doc_id % (select count(*) from @{embeddings}) as e_id from @{documents}) d
-join @{embeddings} e on e.vec_id = d.e_id""",
+join @{embeddings} e on e.vec_id = d.e_id left join b_tenants t on t.tenant_id = d.doc_id % 25""",
     # one query vector per user message
     "b_query_vectors": """
 select m.message_id as query_id, m.tenant_id, m.content as question, e.embedding as qe
@@ -147,11 +148,12 @@ from @{events} where event_type = 'error'""",
     "b_blocked_countries": """
 select tenant_id, case when nation_id % 2 = 0 then 'BB' else 'CC' end as country_code from b_tenants
 union all select tenant_id, 'DD' from b_tenants where status = 'suspended'""",
-    # short chat texts that exercise replies, block words and triggers, beside the full texts
+    # every user message with its own text, and beside each a short one with an id of its own
     "b_short_messages": """
-select message_id, session_id, tenant_id, created_at,
-  case message_id % 8 when 0 then '  Hello ' when 1 then 'helo' when 2 then 'thank  you' when 3 then 'Thanks!'
-    when 4 then 'forbidden topic' when 5 then 'order no. 4711 please' when 6 then 'please stop-now at once' else content end as content
+select message_id, session_id, tenant_id, created_at, content from b_messages where sender_type = 'user'
+union all select -1 - message_id, session_id, tenant_id, created_at,
+  case message_id % 7 when 0 then '  Hello ' when 1 then 'helo' when 2 then 'thank  you' when 3 then 'Thanks!'
+    when 4 then 'forbidden topic' when 5 then 'order no. 4711 please' else 'please stop-now at once' end
 from b_messages where sender_type = 'user'""",
     # tenant reply rules: some tenants have none, one rule is off, one has its own threshold
     "b_quick_replies": """

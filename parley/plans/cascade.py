@@ -22,13 +22,15 @@ def route(
     vectors: DataFrame,
     k: int = retrieval.TOP_K,
     public: bool = True,
+    tags: DataFrame | None = None,
 ) -> DataFrame:
     """Source, confidence and fixed response of every message, exactly one row each.
 
     Stages run in order and a message leaves at the first that answers; only the
     rest reaches the block product.  ``queries`` has one vector per message id.
     Non-public traffic skips the block words.  ``response`` is NULL where an
-    answer must be generated from the context.
+    answer must be generated from the context.  ``tags`` has each tenant's own
+    source type and fallback URL.
     """
     asked = messages.select("message_id", "session_id", "tenant_id", "content", "created_at")
     replies = quick_replies.match_quick_replies(asked, reply_rules, tenants).select(
@@ -45,13 +47,9 @@ def route(
     answered = materialize(first.select("message_id", "e.source", "e.confidence", "e.response"), "routes")
 
     open_queries = queries.join(answered.select(F.col("message_id").alias("query_id")), "query_id", "left_anti")
-    filtered = retrieval.min_score(retrieval.two_bucket(open_queries, vectors, k))
+    filtered = retrieval.min_score(retrieval.two_bucket(open_queries, vectors, k, tags))
     # a hit is cited unless its URL is empty or cannot be read at all
-    cited = retrieval.citations(retrieval.with_payload(filtered, vectors, "url", "content"))
-    best = filtered.groupBy("query_id").agg(F.max("score").alias("best"))
-    found = best.join(cited.select("query_id").distinct(), "query_id", "left_semi").select(
-        F.col("query_id").alias("message_id"), "best"
-    )
+    found = retrieval.cited_best(filtered, vectors, tags).select(F.col("query_id").alias("message_id"), "best")
     out = asked.join(answered, "message_id", "left").join(found, "message_id", "left")
     by_vector = F.col("source").isNull()
     return out.select(

@@ -60,15 +60,21 @@ def similarity_ratio(b):
     return quick_replies.score_pairs(b.short_messages, loose).select("tenant_id", "query", "trigger_phrase", "score")
 
 
-# Within one edit the ratio has a closed form; no other pair of these texts reaches its threshold.
+# Within one edit the ratio has a closed form.  Else it is 2 * m / (la + lb), where m is at most the letters both texts
+# have, and at least the insertion and deletion distance leaves; pairs that these bounds leave open fail the query.
+_COMMON = "list_sum(list_transform(list_distinct(string_split(r.trigger_phrase, '')), lambda c: least(len(q.q) - len(replace(q.q, c, '')), len(r.trigger_phrase) - len(replace(r.trigger_phrase, c, '')))))"
+
+
 @query("quick_reply_match", f"""
-with q as (select message_id, tenant_id, lower(trim(content)) as q from b_short_messages where length(content) < 40),
+with q as (select message_id, tenant_id, lower(trim(content)) as q from b_short_messages),
 r as ({MERGED_SQL}),
-p as (
-  select q.message_id, q.tenant_id, r.*, length(q.q) as la, length(r.trigger_phrase) as lb, levenshtein(q.q, r.trigger_phrase) as d
-  from q join r on r.tenant_id = q.tenant_id where levenshtein(q.q, r.trigger_phrase) <= 1),
+sized as (
+  select q.message_id, q.tenant_id, q.q, r.*, length(q.q) as la, length(r.trigger_phrase) as lb, {_COMMON} as most
+  from q join r on r.tenant_id = q.tenant_id),
+near as (select *, levenshtein(q, trigger_phrase) as d from sized where round(200.0 * most / (la + lb)) >= coalesce(similarity_threshold, 85)),
 s as (
-  select *, cast(round(200.0 * (case when la = lb then la - d else least(la, lb) end) / (la + lb)) as int) as score from p),
+  select *, case when d <= 1 then cast(round(200.0 * (case when la = lb then la - d else least(la, lb) end) / (la + lb)) as int)
+    else error('no closed form for ' || q) end as score from near),
 best as (
   select *, row_number() over (partition by message_id order by score desc, priority desc, is_default, ord) as rn
   from s where score >= coalesce(similarity_threshold, 85))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from parley.functions import text
 from parley.operators import ingest, rules
 from parley.operators import retrieval as rt
 from parley.plans import cascade
@@ -17,29 +18,29 @@ from parley.sources import cms, vectors
 
 _DOUBLES = "list_transform({}, lambda x: cast(x as double))"
 _SCORED = f"""
-select q.query_id, q.tenant_id, v.source_type, v.vec_id,
-  round(list_cosine_similarity({_DOUBLES.format('q.qe')}, {_DOUBLES.format('v.embedding')}), 6) as score
-from b_query_vectors q join b_vectors v on v.tenant_id = q.tenant_id
+select q.query_id, q.tenant_id, v.source_type, v.vec_id, v.source_type = coalesce(own.source_type, 'primary') as own,
+  list_cosine_similarity({_DOUBLES.format('q.qe')}, {_DOUBLES.format('v.embedding')}) as score
+from b_query_vectors q join b_vectors v on v.tenant_id = q.tenant_id left join ({sql.TAGS}) own on own.tenant_id = q.tenant_id
 """
 _BUCKETS = f"""
-select query_id, source_type, vec_id, score, rank from (
+select query_id, tenant_id, source_type, vec_id, own, score, rank from (
   select *, row_number() over (partition by query_id, source_type order by score desc, vec_id) as rank from ({_SCORED}))
-where rank <= 3
+where rank <= 3 and (own or source_type = 'external')
 """
 _TWO = f"""
-select query_id, source_type, vec_id, score, position from (
-  select *, row_number() over (partition by query_id order by score desc, source_type = 'primary' desc, rank) as position from (
-    select *, count(*) filter (where source_type = 'primary') over (partition by query_id) as n,
-      coalesce(max(case when source_type = 'primary' then score end) over (partition by query_id), 0) as best from ({_BUCKETS}))
-  where source_type = 'primary' or n < 3 or best < 0.7)
+select query_id, tenant_id, source_type, vec_id, score, position from (
+  select *, row_number() over (partition by query_id order by score desc, own desc, rank) as position from (
+    select *, count(*) filter (where own) over (partition by query_id) as n,
+      coalesce(max(case when own then score end) over (partition by query_id), 0) as best from ({_BUCKETS}))
+  where own or n < 3 or best < 0.7)
 where position <= 3
 """
 _FILTERED = f"select * from ({_TWO}) where score >= 0.3"
 _CITED = f"""
 select * from (
-  select h.query_id, h.position, h.vec_id, h.score, v.source, v.content, concat(left(v.content, 200), '...') as snippet,
-    coalesce(nullif({sql.fixed('v.url')}, ''), nullif({sql.root('v.url', '/')}, '')) as url
-  from ({_FILTERED}) h join b_vectors v using (vec_id))
+  select h.query_id, h.tenant_id, h.position, h.source_type, h.vec_id, h.score, v.source, v.content, concat(left(v.content, 200), '...') as snippet,
+    coalesce(nullif({sql.fixed('v.url', "coalesce(tags.fallback_url, '')")}, ''), nullif({sql.root('v.url', '/')}, '')) as url
+  from ({_FILTERED}) h join b_vectors v using (tenant_id, source_type, vec_id) left join ({sql.TAGS}) tags on tags.tenant_id = h.tenant_id)
 where url is not null
 """
 _CONTEXTS = f"select query_id, position, concat('Source: ', source, chr(10), 'URL: ', url, chr(10), content) as context from ({_CITED})"
@@ -64,47 +65,62 @@ group by 1
 """
 
 
+def _shown(columns: str) -> str:
+    """Columns of a result; scores are compared in full and shown at six decimals."""
+    return columns.replace("score", "round(score, 6) as score")
+
+
+def _rounded(df, *columns):
+    return df.withColumn("score", F.round("score", 6)).select(*columns)
+
+
+_HIT = ["query_id", "tenant_id", "source_type", "vec_id", "score"]
+
+
 @query("vector_topk", f"""
-select query_id, source_type, vec_id, score, rank from (
-  select *, row_number() over (partition by query_id order by score desc, vec_id) as rank from ({_SCORED}))
+select {_shown('query_id, tenant_id, source_type, vec_id, score, rank')} from (
+  select *, row_number() over (partition by query_id order by score desc, source_type, vec_id) as rank from ({_SCORED}))
 where rank <= 5
 """)
 def vector_topk(b):
-    return rt.topk(b.query_vectors, b.vectors, k=5)
+    return _rounded(rt.topk(b.query_vectors, b.vectors, k=5), *_HIT, "rank")
+
+
+def _tags(b):
+    return cms.payload_tags(b.tenants)
 
 
-@query("two_bucket_search", _TWO)
+@query("two_bucket_search", f"select {_shown('query_id, tenant_id, source_type, vec_id, score, position')} from ({_TWO})")
 def two_bucket_search(b):
-    return rt.two_bucket(b.query_vectors, b.vectors).drop("rank")
+    return _rounded(rt.two_bucket(b.query_vectors, b.vectors, sources=_tags(b)), *_HIT, "position")
 
 
 @query("bucket_union_rerank", f"""
-select query_id, source_type, vec_id, score, position from (
-  select *, row_number() over (partition by query_id order by score desc, source_type = 'primary' desc, rank) as position from ({_BUCKETS}))
+select {_shown('query_id, tenant_id, source_type, vec_id, score, position')} from (
+  select *, row_number() over (partition by query_id order by score desc, own desc, rank) as position from ({_BUCKETS}))
 where position <= 3
 """)
 def bucket_union_rerank(b):
-    primary = rt.topk(b.query_vectors, b.vectors, source_type=rt.PRIMARY)
-    external = rt.topk(b.query_vectors, b.vectors, source_type=rt.EXTERNAL)
-    return rt.union_rerank(primary, external).drop("rank")
+    return _rounded(rt.union_rerank(b.query_vectors, b.vectors, sources=_tags(b)), *_HIT, "position")
 
 
 def _filtered(b):
-    return rt.min_score(rt.two_bucket(b.query_vectors, b.vectors))
+    return rt.min_score(rt.two_bucket(b.query_vectors, b.vectors, sources=_tags(b)))
 
 
 def _cited(b):
-    return rt.citations(rt.with_payload(_filtered(b), b.vectors, "source", "content", "url"))
+    hits = rt.with_payload(_filtered(b), b.vectors, "source", "content", "url")
+    return rt.citations(rt.with_fallback(hits, _tags(b)), F.col("fallback_url"))
 
 
-@query("score_filter", f"select query_id, vec_id, score from ({_FILTERED})")
+@query("score_filter", f"select {_shown('query_id, tenant_id, source_type, vec_id, score')} from ({_FILTERED})")
 def score_filter(b):
-    return _filtered(b).select("query_id", "vec_id", "score")
+    return _rounded(_filtered(b), *_HIT)
 
 
-@query("citations", f"select query_id, vec_id, position, source, snippet, url, score from ({_CITED})")
+@query("citations", f"select {_shown('query_id, tenant_id, source_type, vec_id, position, source, snippet, url, score')} from ({_CITED})")
 def citations(b):
-    return _cited(b).select("query_id", "vec_id", "position", "source", "snippet", "url", "score")
+    return _rounded(_cited(b), *_HIT, "position", "source", "snippet", "url")
 
 
 @query("context_block", _CONTEXTS)
@@ -143,19 +159,18 @@ from b_query_vectors q left join (select query_id, max(score) as best from ({_FI
 """
 
 
-@query("answer_confidence", _CONFIDENCE)
+@query("answer_confidence", f"select query_id, round(confidence, 6) as confidence from ({_CONFIDENCE})")
 def answer_confidence(b):
-    filtered = _filtered(b)
-    cited = rt.citations(rt.with_payload(filtered, b.vectors, "url", "content"))
-    return rt.answer_confidence(b.query_vectors, filtered, cited)
+    found = rt.cited_best(_filtered(b), b.vectors, _tags(b))
+    return rt.answer_confidence(b.query_vectors, found).withColumn("confidence", F.round("confidence", 6))
 
 
 _ROUTED = f"""
 select m.message_id, m.session_id, m.tenant_id, m.created_at,
   case when bw.message_id is not null then 'block_word' when qr.message_id is not null then 'fuzzy' else 'vector_search' end as source,
-  case when bw.message_id is not null then 1.0 when qr.message_id is not null then qr.confidence else c.confidence end as confidence,
+  case when bw.message_id is not null then 1.0 when qr.message_id is not null then qr.confidence else coalesce(c.confidence, 0) end as confidence,
   case when bw.message_id is not null then bw.response_message when qr.message_id is not null then qr.response
-    when c.confidence = 0 then 'I could not find high-confidence context for that request.' end as response
+    when coalesce(c.confidence, 0) = 0 then 'I could not find high-confidence context for that request.' end as response
 from b_short_messages m
 left join ({BLOCKED_SQL}) bw on bw.message_id = m.message_id
 left join ({_ORACLES['quick_reply_match'].replace('with q as', 'with qs as').replace('from q join', 'from qs q join')}) qr on qr.message_id = m.message_id
@@ -165,12 +180,12 @@ left join ({_CONFIDENCE}) c on c.query_id = m.message_id
 
 def _routed(b):
     merged = rules.merge_rules(b.quick_replies, DEFAULTS, b.tenants)
-    return cascade.route(b.short_messages, b.query_vectors, b.block_rules, merged, b.tenants, b.vectors)
+    return cascade.route(b.short_messages, b.query_vectors, b.block_rules, merged, b.tenants, b.vectors, tags=_tags(b))
 
 
-@query("message_route", _ROUTED)
+@query("message_route", f"select * replace (round(confidence, 6) as confidence) from ({_ROUTED})")
 def message_route(b):
-    return _routed(b)
+    return _routed(b).withColumn("confidence", F.round("confidence", 6))
 
 
 @query("session_block_flag", f"""
@@ -216,18 +231,24 @@ def embed_documents(b):
     return embedded.select("tenant_id", "point_id", F.size("embedding").alias("dims"), "prompt_tokens", "status")
 
 
-@query("ingest_cms", f"select tenant_id, source_type, point_id, title, url from ({POSTS_SQL})")
+_PAYLOAD = ["tenant_id", "source_type", "point_id", "title", "url", "content", "source", "type", "date", "description"]
+
+
+@query("ingest_cms", f"select {', '.join(_PAYLOAD[:-1])}, cast(null as varchar) as description from ({POSTS_SQL})")
 def ingest_cms(b):
     path = shared_dir(b.spark, "collection")
     ingest.run(_post_docs(b), path, "cms")
-    return vectors.read_vectors(b.spark, path).select("tenant_id", "source_type", "point_id", "title", "url")
+    return vectors.read_vectors(b.spark, path).select(*_PAYLOAD)
 
 
-@query("ingest_external", f"select distinct tenant_id, source_type, point_id, title, url from ({EXTERNAL_SQL})")
+@query("ingest_external", f"""
+select distinct tenant_id, source_type, point_id, title, url, content, source, cast(null as varchar) as type, cast(null as varchar) as date, description
+from ({EXTERNAL_SQL})
+""")
 def ingest_external(b):
     path = shared_dir(b.spark, "collection")
     ingest.run(_url_docs(b), path, "external")
-    return vectors.read_vectors(b.spark, path).select("tenant_id", "source_type", "point_id", "title", "url")
+    return vectors.read_vectors(b.spark, path).select(*_PAYLOAD)
 
 
 @query("reindex_all", f"""
@@ -243,3 +264,30 @@ def reindex_all(b):
     documents = _post_docs(b).unionByName(_url_docs(b)).join(due, "tenant_id", "left_semi")
     ingest.reindex(documents, path, jobs, "nightly", due)
     return b.spark.read.parquet(jobs).select("tenant_id", "run_id", "status", "total", "succeeded", "failed", "error")
+
+
+@query("index_usage", f"""
+select tenant_id, 'cms' as run_id, 'index_embedding' as usage_type, cast(sum(n) as bigint) as prompt_tokens, cast(0 as bigint) as completion_tokens,
+  cast(sum(n) as bigint) as total_tokens from (
+  select tenant_id, len(regexp_extract_all({_BODY}, '[\\pL\\pN_]+')) as n from ({POSTS_SQL})) group by 1
+""")
+def index_usage(b):
+    statuses = ingest.embed(_post_docs(b)).withColumn("run_id", F.lit("cms"))
+    return ingest.index_usage(statuses)
+
+
+# the embedder gives a document its own vector, so a search for its text finds it, or one with the same text and a smaller id
+@query("ingest_search", f"""
+select tenant_id, source_type, point_id, md5(body) as body, min(point_id) over (partition by tenant_id, source_type, lower(body)) as found
+from (select *, {_BODY} as body from ({POSTS_SQL}))
+""")
+def ingest_search(b):
+    path = shared_dir(b.spark, "collection")
+    ingest.run(_post_docs(b), path, "cms")
+    stored = vectors.read_vectors(b.spark, path).withColumn("embedding", F.col("embedding").cast("array<double>"))
+    points = stored.withColumn("vec_id", F.col("point_id"))
+    asked = stored.select("tenant_id", F.concat_ws("/", F.col("tenant_id").cast("string"), "point_id").alias("query_id"), F.col("embedding").alias("qe"))
+    best = rt.topk(asked, points, k=1).select("query_id", F.col("vec_id").alias("found"))
+    body = text.truncate_head_tail(text.embedding_text(F.col("title"), F.col("content")), text.EMBED_MAX_CHARS, "...")
+    named = stored.withColumn("query_id", F.concat_ws("/", F.col("tenant_id").cast("string"), "point_id"))
+    return named.join(best, "query_id").select("tenant_id", "source_type", "point_id", F.md5(body.cast("binary")).alias("body"), "found")

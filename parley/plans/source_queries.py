@@ -171,9 +171,9 @@ def audit_log_derive(b):
 
 
 @query("transcript_export", """
-select tenant_id, session_id, 0 as part, string_agg(concat('[', strftime(created_at, '%Y-%m-%dT%H:%M:%S'), '] ', upper(sender_type), ': ', content),
-  concat(chr(10), chr(10)) order by created_at, message_id) as transcript
-from b_messages group by 1, 2
+select tenant_id, session_id, cast(created_at as date) as day, row_number() over (partition by tenant_id, session_id order by created_at, message_id) as position,
+  concat('[', strftime(created_at, '%Y-%m-%dT%H:%M:%S'), '] ', upper(sender_type), ': ', content) as line
+from b_messages
 """)
 def transcript_export(b):
     return transcripts.export_transcripts(b.messages)

@@ -70,13 +70,13 @@ union all select message_id, 'trigger', category, phrase from ({CLASSIFIED_SQL})
 """)
 def stream_message_screen(b):
     path = shared_dir(b.spark, "screen")
-    texts = {
-        0: "  Hello ", 1: "helo", 2: "thank  you", 3: "Thanks!", 4: "forbidden topic", 5: "order no. 4711 please", 6: "please stop-now at once",
-    }
-    content = F.col("content")
-    for rest, text in texts.items():
-        content = F.when(F.col("message_id") % 8 == rest, F.lit(text)).otherwise(content)
-    short = _messages(b).where(F.col("sender_type") == "user").withColumn("content", content).drop("sender_type")
+    texts = ["  Hello ", "helo", "thank  you", "Thanks!", "forbidden topic", "order no. 4711 please", "please stop-now at once"]
+    picked = F.element_at(F.array(*map(F.lit, texts)), (F.col("message_id") % len(texts) + 1).cast("int"))
+    both = F.array(
+        F.struct(F.col("message_id").alias("id"), F.col("content").alias("said")), F.struct((-1 - F.col("message_id")).alias("id"), picked.alias("said"))
+    )
+    users = _messages(b).where(F.col("sender_type") == "user").drop("sender_type").withColumn("_said", F.explode(both))
+    short = users.withColumns({"message_id": F.col("_said.id"), "content": F.col("_said.said")}).drop("_said")
     rules = b.block_rules
     sink.drain(short, path, "append", prepare=lambda batch: screen_messages(batch, rules, TRIGGERS))
     return b.spark.read.parquet(path).drop("batch_id")

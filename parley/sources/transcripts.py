@@ -7,9 +7,6 @@ from pyspark.sql import functions as F
 
 from parley.operators.groups import ranked
 
-#: Messages per text; a longer session continues in the next part.
-PART_MESSAGES = 1_000
-
 
 def iso_time(ts: Column) -> Column:
     """ISO text; the fraction shows only when it is not zero."""
@@ -18,12 +15,11 @@ def iso_time(ts: Column) -> Column:
     return F.when(micros == "000000", whole).otherwise(F.concat(whole, F.lit("."), micros))
 
 
-def export_transcripts(messages: DataFrame, part_messages: int = PART_MESSAGES) -> DataFrame:
-    """``[time] SENDER: content`` per message, blank line between messages, in time order.
+def export_transcripts(messages: DataFrame) -> DataFrame:
+    """``[time] SENDER: content`` of every message with its ``position`` in the session's time order, from 1 on.
 
-    Sessions up to ``part_messages`` give one text (part 0).  A longer one gives
-    consecutive parts; joined with a blank line they are the whole transcript,
-    and no task ever holds more than one part of it.
+    A transcript is its lines joined by blank lines; it stays rows, so that no
+    task holds a whole session, however long.
     """
     line = F.concat(
         F.lit("["), iso_time(F.col("created_at")), F.lit("] "), F.upper("sender_type"), F.lit(": "), F.col("content")
@@ -34,18 +30,19 @@ def export_transcripts(messages: DataFrame, part_messages: int = PART_MESSAGES)
         [F.asc("created_at"), F.asc("message_id")],
         F.date_trunc("HOUR", F.col("created_at")),
     )
-    part = F.floor((F.col("rn") - 1) / part_messages).cast("int")
-    return numbered.groupBy("tenant_id", "session_id", part.alias("part")).agg(
-        F.expr(r"listagg(line, '\n\n') within group (order by rn)").alias("transcript")
-    )
+    return numbered.select("tenant_id", "session_id", F.to_date("created_at").alias("day"), F.col("rn").cast("bigint").alias("position"), "line")
 
 
 def write_transcripts(transcripts: DataFrame, path: str) -> None:
-    """Text files in one folder per session; parts sort by the ``part`` folder name."""
+    """Lines in folders by tenant and day, in order of session and position within each file.
+
+    Folders follow tenants and days, never sessions; the rebalance hint splits a
+    busy day over several files.
+    """
     (
-        transcripts.select("session_id", "part", "transcript")
+        transcripts.hint("rebalance", "tenant_id", "day")
+        .sortWithinPartitions("tenant_id", "day", "session_id", "position")
         .write.mode("overwrite")
-        .partitionBy("session_id", "part")
-        .option("lineSep", "\n\n")
-        .text(path)
+        .partitionBy("tenant_id", "day")
+        .parquet(path)
     )

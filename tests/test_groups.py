@@ -83,18 +83,19 @@ def test_pages_cover_the_whole_list(df, rows):
     assert analytics.clamp_page(3, 0) == (3, 1)
 
 
-def test_long_session_exports_in_parts(spark):
+def test_session_exports_as_ordered_lines(spark, tmp_path):
     start = dt.datetime(2024, 1, 1)
     rows = [(1, 7, m, start + dt.timedelta(minutes=m // 3), "user", f"text {m}") for m in range(250)] + [(1, 8, 900, start.replace(microsecond=5), "assistant", "one")]
     random.Random(1).shuffle(rows)
     messages = spark.createDataFrame(rows, "tenant_id bigint, session_id bigint, message_id bigint, created_at timestamp_ntz, sender_type string, content string")
-    got = transcripts.export_transcripts(messages, part_messages=100).collect()
-    parts = {(r.session_id, r.part): r.transcript for r in got}
-    assert sorted(parts) == [(7, 0), (7, 1), (7, 2), (8, 0)]
-    whole = "\n\n".join(parts[(7, p)] for p in range(3))
+    exported = transcripts.export_transcripts(messages)
+    lines = {(r.session_id, r.position): r.line for r in exported.collect()}
     want = [f"[{r[3].isoformat()}] USER: {r[5]}" for r in sorted((r for r in rows if r[1] == 7), key=lambda r: (r[3], r[2]))]
-    assert whole == "\n\n".join(want)
-    assert parts[(8, 0)] == "[2024-01-01T00:00:00.000005] ASSISTANT: one"
+    assert [lines[(7, p)] for p in range(1, 251)] == want and len(lines) == 251
+    assert lines[(8, 1)] == "[2024-01-01T00:00:00.000005] ASSISTANT: one"
+    transcripts.write_transcripts(exported, str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 251
+    assert {p.name for p in (tmp_path / "out").glob("tenant_id=*")} == {"tenant_id=1"}
 
 
 def test_usage_totals_add_up(bindings):

@@ -104,7 +104,13 @@ def test_rule_merge_revives_default_of_a_disabled_row(spark):
     assert [(r.tenant_id, r.trigger_phrase) for r in seeded.collect()] == [(2, "hi")]
 
 
-def test_nested_words_in_parts(spark):
-    words = spark.createDataFrame([(1, "c", i, f"w{i}") for i in range(25)], "tenant_id bigint, category string, word_ord bigint, word string")
-    got = {r.part: list(r.words) for r in rules.nest_words(words, ["tenant_id", "category"], part_words=10).collect()}
-    assert got == {p: [f"w{i}" for i in range(p * 10, min(p * 10 + 10, 25))] for p in range(3)}
+def test_nested_words_in_order(spark):
+    words = spark.createDataFrame([(1, "c", i * 700, f"w{i}") for i in range(25)], "tenant_id bigint, category string, word_ord bigint, word string")
+    got = {r.position: r.word for r in rules.nest_words(words, ["tenant_id", "category"]).collect()}
+    assert got == {i + 1: f"w{i}" for i in range(25)}
+
+
+def test_slugs_with_very_long_numbers(spark):
+    names = [(1, "Shop"), (2, "Shop " + "9" * 20), (3, "Shop"), (4, "Other"), (5, "Shop " + "8" * 40), (6, "Shop 20240101"), (7, "Shop 2"), (8, "Shop")]
+    got = identity.unique_slugs(spark.createDataFrame(names, "id bigint, name string"), spark.createDataFrame([("shop-3",)], "slug string"))
+    assert {r.id: r.slug for r in got.collect()} == slugs_one_by_one(names, ["shop-3"])
