@@ -133,7 +133,7 @@ def test_reshard_of_awkward_rows(spark):
 def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     docs = tables.documents(spark, SMALL)
     path = str(tmp_path / "shards")
-    old = F.when(F.col("source") == "src0", 3).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(2)))
+    old = F.when(F.col("source") == "src0", 3).otherwise(F.pmod(F.xxhash64("doc_id"), F.lit(2))).cast("int")
     docs.withColumn("shard", old).withColumn("old_shard", old).write.partitionBy("shard").parquet(path)
     before = {p: p.stat().st_mtime_ns for p in (tmp_path / "shards").glob("shard=*/*.parquet")}
     total = docs.agg(F.sum(F.octet_length("text") + 1)).first()[0]
