@@ -35,22 +35,33 @@ def ip_screen(requests: DataFrame, blocked_ips: DataFrame, request_id: str = "re
 
 
 def with_country(requests: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Add ``country_code`` by IPv4 range.
+    """Add ``country_code`` by address range.
 
-    Ranges do not overlap.  Each is listed under every /16 block it touches, so
-    the join is an equi join on the block with the range test as a residual; a
-    busy block is split by AQE because both sides come straight from a shuffle.
+    ``ranges`` has ``ip_start`` and ``ip_end`` as 32-bit numbers for IPv4, or
+    ``ip6_start`` and ``ip6_end`` as 32 hex digits for IPv6, and no overlaps.  Each
+    is listed under every 16-bit prefix it touches, so the join is an equi join on
+    family and prefix with the range test as a residual; a busy prefix is split by
+    AQE because both sides come straight from a shuffle.
     """
-    blocks = ranges.select(
-        F.explode(F.sequence(F.shiftright("ip_start", 16), F.shiftright("ip_end", 16))).alias("_block"),
-        "ip_start",
-        "ip_end",
-        "country_code",
+    prefix6 = lambda c: F.conv(F.substring(c, 1, 4), 16, 10).cast("bigint")
+    as_key = lambda c: F.lpad(F.lower(F.hex(c)), 32, "0")
+    upto = lambda low, high: F.explode(F.sequence(low, high))
+    v4 = ranges.where("ip_start is not null").select(
+        upto(F.shiftright("ip_start", 16), F.shiftright("ip_end", 16)).alias("_block"), F.lit(4).alias("_family"),
+        as_key(F.col("ip_start")).alias("_low"), as_key(F.col("ip_end")).alias("_high"), "country_code",
     )
-    numbered = requests.withColumn("_ip", net.ipv4_number(F.col("client_ip"))).withColumn(
-        "_block", F.shiftright("_ip", 16)
-    )
-    same = (numbered["_block"] == blocks["_block"]) & numbered["_ip"].between(blocks["ip_start"], blocks["ip_end"])
+    blocks = v4
+    if "ip6_start" in ranges.columns:
+        v6 = ranges.where("ip6_start is not null").select(
+            upto(prefix6("ip6_start"), prefix6("ip6_end")).alias("_block"), F.lit(6).alias("_family"),
+            F.lower("ip6_start").alias("_low"), F.lower("ip6_end").alias("_high"), "country_code",
+        )
+        blocks = v4.unionByName(v6)
+    number, key6 = net.ipv4_number(F.col("client_ip")), net.ipv6_key(F.col("client_ip"))
+    numbered = requests.withColumn("_n", number).withColumn("_key", F.coalesce(as_key(F.col("_n")), key6))
+    numbered = numbered.withColumn("_family_of", F.when(F.col("_n").isNotNull(), 4).otherwise(6))
+    numbered = numbered.withColumn("_prefix", F.coalesce(F.shiftright("_n", 16), prefix6("_key")))
+    same = (F.col("_prefix") == F.col("_block")) & (F.col("_family_of") == F.col("_family")) & F.col("_key").between(F.col("_low"), F.col("_high"))
     return numbered.join(blocks, same, "left").select(*[numbered[c] for c in requests.columns], "country_code")
 
 

@@ -64,7 +64,8 @@ def origin_allowed(b):
 
 
 _CLIENT_IP = """
-case when regexp_matches(trim(split_part(forwarded_for, ',', 1)), '^[0-9]{1,3}([.][0-9]{1,3}){3}$') then trim(split_part(forwarded_for, ',', 1)) else peer end
+case when regexp_matches(trim(split_part(forwarded_for, ',', 1)), '^[0-9]{1,3}([.][0-9]{1,3}){3}$') then trim(split_part(forwarded_for, ',', 1))
+  else regexp_replace(peer, '^2001:0DB([0-9]):0:0:0:0:0:', '2001:db\\1::') end
 """
 
 
@@ -171,13 +172,16 @@ def ip_block_screen(b):
     return screening.ip_screen(screening.with_client_ip(b.requests), b.blocked_ips).select("request_id", "client_ip", "ip_blocked")
 
 
-_IP_NUMBER = "list_reduce(list_transform(string_split(client_ip, '.'), lambda x: cast(x as bigint)), lambda a, x: a * 256 + x)"
+_IP_NUMBER = """case when not contains(client_ip, ':') then
+  list_reduce(list_transform(string_split(client_ip, '.'), lambda x: cast(x as bigint)), lambda a, x: a * 256 + x) end"""
+_IP6_KEY = """case when contains(client_ip, ':') then
+  concat('20010db', substr(client_ip, 8, 1), repeat('0', 20), lpad(split_part(client_ip, '::', 2), 4, '0')) end"""
 
 
 @query("country_block_screen", f"""
 select r.request_id, g.country_code, c.tenant_id is not null as country_blocked
-from (select *, {_IP_NUMBER} as n from (select *, {_CLIENT_IP} as client_ip from b_requests)) r
-left join b_geo_ranges g on r.n between g.ip_start and g.ip_end
+from (select *, {_IP_NUMBER} as n, {_IP6_KEY} as k from (select *, {_CLIENT_IP} as client_ip from b_requests)) r
+left join b_geo_ranges g on r.n between g.ip_start and g.ip_end or r.k between g.ip6_start and g.ip6_end
 left join b_blocked_countries c on c.tenant_id = r.tenant_id and c.country_code = g.country_code
 """)
 def country_block_screen(b):

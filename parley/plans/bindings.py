@@ -136,15 +136,21 @@ join @{embeddings} e on e.vec_id = m.e_id""",
 select event_id as request_id, user_id % 25 as tenant_id,
   case event_id % 4 when 0 then '' when 1 then 'unknown, 10.0.0.1'
     else concat(' 10.', cast(user_id % 4 as string), '.', cast(event_id % 256 as string), '.', cast(user_id % 256 as string), ' , 172.16.0.1') end as forwarded_for,
-  concat('192.168.', cast(user_id % 8 as string), '.', cast(event_id % 256 as string)) as peer,
+  case when event_id % 4 = 0 and event_id % 3 = 0 then concat('2001:0DB', cast(user_id % 10 as string), ':0:0:0:0:0:', cast(1 + event_id % 256 as string))
+    else concat('192.168.', cast(user_id % 8 as string), '.', cast(event_id % 256 as string)) end as peer,
   case event_id % 3 when 0 then null when 1 then 'https://a.example.com' else 'https://c.example.com' end as origin, ts
 from @{events}""",
+    # IPv4 ranges as numbers, IPv6 ranges as 32 hex digits
     "b_geo_ranges": """
-select * from (values (cast(167772160 as bigint), cast(167837695 as bigint), 'AA'), (167837696, 167903231, 'BB'),
-  (167903232, 168001535, 'CC'), (3232235520, 3232301055, 'DD')) t(ip_start, ip_end, country_code)""",
+select * from (values (cast(167772160 as bigint), cast(167837695 as bigint), cast(null as string), cast(null as string), 'AA'), (167837696, 167903231, null, null, 'BB'),
+  (167903232, 168001535, null, null, 'CC'), (3232235520, 3232301055, null, null, 'DD'),
+  (null, null, '20010db0000000000000000000000000', '20010db4ffffffffffffffffffffffff', 'BB'),
+  (null, null, '20010db6000000000000000000000000', '20010db60000000000000000000000ff', 'CC')) t(ip_start, ip_end, ip6_start, ip6_end, country_code)""",
     "b_blocked_ips": """
 select distinct user_id % 25 as tenant_id, concat('192.168.', cast(user_id % 8 as string), '.', cast(event_id % 256 as string)) as ip_address
-from @{events} where event_type = 'error'""",
+from @{events} where event_type = 'error'
+union select distinct user_id % 25, concat('2001:db', cast(user_id % 10 as string), '::', cast(1 + event_id % 256 as string))
+from @{events} where event_type = 'click' and event_id % 4 = 0""",
     "b_blocked_countries": """
 select tenant_id, case when nation_id % 2 = 0 then 'BB' else 'CC' end as country_code from b_tenants
 union all select tenant_id, 'DD' from b_tenants where status = 'suspended'""",

@@ -1,6 +1,7 @@
 """Column functions against small models in plain Python."""
 
 import ipaddress
+import random
 import re
 import uuid
 from difflib import SequenceMatcher
@@ -177,6 +178,33 @@ def test_small_normalizers(spark):
     assert collect(column(spark, ["Acme & Co.", "--", "É1"]), text.slugify(v)) == ["acme-co", "tenant", "1"]
 
 
+def test_ipv6_texts(spark):
+    """Canonical text and sort key of many forms beside the standard library, without Python in the plan."""
+    rng = random.Random(1)
+    values = [
+        "::", "::1", "1::", "1:0:0:2:0:0:0:3", "::1.2.3.4", "fe80::1%eth0", "fe80::1%", "fe80::1%a%b", "1::2::3", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9",
+        "g::1", "12345::", "1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "1:2:3:4:5:6:7:8::", ":1:2:3:4:5:6:7", "1:2:3:4:5:6:1.2.3.4", "1:2:3:4:5:6:7:1.2.3.4",
+        ":::", "::1.2.3.256", "64:ff9b::192.0.2.33", "0:0:1:0:0:1:0:0", "::ffff:0:0",
+    ]
+    for _ in range(150):
+        parts = [rng.choice(["0", "0", "0", f"{rng.randrange(65536):x}", f"{rng.randrange(256):04X}"]) for _ in range(8)]
+        i = rng.randrange(7)
+        j = rng.randrange(i, 8)
+        values.append(":".join(parts) if rng.random() < 0.6 else ":".join(parts[:i]) + "::" + ":".join(parts[j + 1 :]))
+
+    def parsed(value):
+        try:
+            return ipaddress.ip_address(value)
+        except ValueError:
+            return None
+
+    df = column(spark, values)
+    shown = net.canonical_ip(F.col("v"))
+    assert collect(df, shown) == [None if parsed(v) is None else str(parsed(v)) for v in values]
+    assert collect(df, net.ipv6_key(F.col("v"))) == [None if parsed(v) is None else f"{int(parsed(v)):032x}" for v in values]
+    assert "Python" not in df.select(shown)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_ip(spark):
     values = ["1.2.3.4", "01.2.3.4", "1.2.3", "256.1.1.1", "2001:DB8::0:1", "::ffff:1.2.3.4", "x", None, ""]
 
