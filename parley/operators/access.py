@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators.groups import oldest
+from parley.operators.groups import in_order, oldest
 
 # Fixed values
 SUPERADMIN = "superadmin"
@@ -83,14 +83,14 @@ def membership_detail(memberships: DataFrame, tenants: DataFrame) -> DataFrame:
     return memberships.join(names, "tenant_id", "left")
 
 
-def tenant_users(users: DataFrame, memberships: DataFrame) -> DataFrame:
-    """Non-superadmin users of each tenant, newest first."""
+def tenant_users(users: DataFrame, memberships: DataFrame, ordered: bool = False) -> DataFrame:
+    """Non-superadmin users of each tenant, newest first if ``ordered``."""
     staff = users.where(F.col("role") != SUPERADMIN)
-    return (
+    rows = (
         memberships.select("tenant_id", "user_id")
         .join(staff.select("user_id", "email", "role", "is_active", "created_at"), "user_id")
-        .orderBy("tenant_id", F.desc("created_at"), "user_id")
     )
+    return in_order(rows, ordered, "tenant_id", F.desc("created_at"), "user_id")
 
 
 def tenant_actor(memberships: DataFrame, users: DataFrame) -> DataFrame:
@@ -100,8 +100,8 @@ def tenant_actor(memberships: DataFrame, users: DataFrame) -> DataFrame:
     return oldest(members, ["tenant_id"], ["ord", "user_id"]).select("tenant_id", F.col("user_id").alias("actor_user_id"))
 
 
-def job_listing(jobs: DataFrame, tenants: DataFrame, tenant_id=None) -> DataFrame:
-    """Jobs with the name of their tenant (own id, else the target in the JSON), newest first.
+def job_listing(jobs: DataFrame, tenants: DataFrame, tenant_id=None, ordered: bool = False) -> DataFrame:
+    """Jobs with the name of their tenant (own id, else the target in the JSON), newest first if ``ordered``.
 
     ``tenant_id`` keeps jobs that name the tenant in either place.
     """
@@ -111,12 +111,12 @@ def job_listing(jobs: DataFrame, tenants: DataFrame, tenant_id=None) -> DataFram
     if tenant_id is not None:
         rows = rows.where((own == str(tenant_id)) | (F.col("target_tenant_id") == str(tenant_id)))
     names = tenants.select(F.col("tenant_id").cast("string").alias("_key"), F.col("name").alias("tenant_name"))
-    return (
+    rows = (
         rows.withColumn("_key", F.coalesce(own, F.col("target_tenant_id")))
         .join(names, "_key", "left")
         .drop("_key")
-        .orderBy(F.desc("created_at"), "job_id")
     )
+    return in_order(rows, ordered, F.desc("created_at"), "job_id")
 
 
 def reconcile_memberships(current: DataFrame, target: DataFrame, users: DataFrame, tenants: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import month_start
-from parley.operators.groups import ranked, top_per_group
+from parley.operators.groups import in_order, ranked, top_per_group
 
 # Fixed values
 USAGE_TYPES = ["chat_completion", "chat_embedding", "index_embedding"]
@@ -113,15 +113,15 @@ def feedback_by_session(messages: DataFrame, feedback: DataFrame) -> DataFrame:
     )
 
 
-def session_listing(sessions: DataFrame, messages: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Sessions with message and vote counts, newest first."""
+def session_listing(sessions: DataFrame, messages: DataFrame, feedback: DataFrame, ordered: bool = False) -> DataFrame:
+    """Sessions with message and vote counts, newest first if ``ordered``."""
     counts = messages.groupBy("session_id").agg(F.count(F.lit(1)).alias("message_count"))
-    return (
+    rows = (
         sessions.join(counts, "session_id", "left")
         .join(feedback_by_session(messages, feedback), "session_id", "left")
         .withColumns(_zero("message_count", "up", "down"))
-        .orderBy(F.desc("last_message_at"), F.asc("session_id"))
     )
+    return in_order(rows, ordered, F.desc("last_message_at"), F.asc("session_id"))
 
 
 def feedback_page_total(page: DataFrame) -> DataFrame:
@@ -130,20 +130,20 @@ def feedback_page_total(page: DataFrame) -> DataFrame:
     return page.agg(total("up"), total("down"))
 
 
-def message_detail(messages: DataFrame, feedback: DataFrame) -> DataFrame:
-    """Messages in time order with their votes; a missing token record is ``{}``."""
-    return (
+def message_detail(messages: DataFrame, feedback: DataFrame, ordered: bool = False) -> DataFrame:
+    """Messages with their votes, in time order if ``ordered``; a missing token record is ``{}``."""
+    rows = (
         messages.join(feedback_by_message(feedback), "message_id", "left")
         .withColumns({**_zero("up", "down"), "token_usage_json": F.coalesce("token_usage_json", F.lit("{}"))})
-        .orderBy("session_id", "created_at", "message_id")
     )
+    return in_order(rows, ordered, "session_id", "created_at", "message_id")
 
 
-def visitor_rollup(sessions: DataFrame) -> DataFrame:
-    """One row per visitor: newest non-empty name and e-mail, first and last seen, chats; newest first."""
+def visitor_rollup(sessions: DataFrame, ordered: bool = False) -> DataFrame:
+    """One row per visitor: newest non-empty name and e-mail, first and last seen, chats; newest first if ``ordered``."""
     key = "struct(last_message_at, session_id)"
     known = sessions.where(F.coalesce("visitor_id", F.lit("")) != "")
-    return (
+    rows = (
         known.groupBy("tenant_id", "visitor_id")
         .agg(
             F.expr(f"max_by(visitor_name, {key}) filter (where visitor_name <> '')").alias("name"),
@@ -152,20 +152,20 @@ def visitor_rollup(sessions: DataFrame) -> DataFrame:
             F.max("last_message_at").alias("last_seen_at"),
             F.count(F.lit(1)).alias("chat_count"),
         )
-        .orderBy(F.desc("last_seen_at"), F.asc("tenant_id"), F.asc("visitor_id"))
     )
+    return in_order(rows, ordered, F.desc("last_seen_at"), F.asc("tenant_id"), F.asc("visitor_id"))
 
 
-def visitor_sessions(sessions: DataFrame, messages: DataFrame, feedback: DataFrame, visitor_id: str | None = None) -> DataFrame:
-    """Sessions of one visitor (or of every visitor) with vote counts, newest first."""
+def visitor_sessions(sessions: DataFrame, messages: DataFrame, feedback: DataFrame, visitor_id: str | None = None, ordered: bool = False) -> DataFrame:
+    """Sessions of one visitor (or of every visitor) with vote counts, newest first if ``ordered``."""
     picked = sessions.where(F.col("visitor_id").isNotNull() if visitor_id is None else F.col("visitor_id") == visitor_id)
     own = messages if visitor_id is None else messages.join(picked.select("session_id"), "session_id", "left_semi")
-    return (
+    rows = (
         picked.join(feedback_by_session(own, feedback), "session_id", "left")
         .withColumns(_zero("up", "down"))
         .select("tenant_id", "visitor_id", "session_id", "title", "last_message_at", "up", "down")
-        .orderBy(F.desc("last_message_at"), F.asc("session_id"))
     )
+    return in_order(rows, ordered, F.desc("last_message_at"), F.asc("session_id"))
 
 
 def clamp_page(page: int, size: int) -> tuple[int, int]:

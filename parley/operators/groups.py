@@ -35,6 +35,11 @@ def spread_slices(groups: DataFrame) -> DataFrame:
     return groups.withColumn("_slice", F.explode(bits)).drop("_mask")
 
 
+def in_order(df: DataFrame, ordered: bool, *order) -> DataFrame:
+    """``df`` sorted if asked for: a global sort deals out all rows anew, which only a short listing is worth."""
+    return df.orderBy(*order) if ordered else df
+
+
 def attach_group(df: DataFrame, keys: list[str], aggs: dict[str, Column], slice_on: str) -> DataFrame:
     """Add group aggregates to every row without bringing a group together.
 

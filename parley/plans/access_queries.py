@@ -27,6 +27,14 @@ def tenant_scope(b):
     return access.visible_counts(b.messages, b.users, b.memberships)
 
 
+@query("tenant_scope_rows", """
+select m.message_id, m.tenant_id, m.session_id from b_messages m
+where m.tenant_id in (select mb.tenant_id from b_memberships mb where mb.user_id = 3) or exists (select 1 from b_users where user_id = 3 and role = 'superadmin')
+""")
+def tenant_scope_rows(b):
+    return access.scope(b.messages, b.users, b.memberships, 3).select("message_id", "tenant_id", "session_id")
+
+
 @query("default_tenant", """
 select u.user_id, u.role, case when u.role = 'superadmin' then (select tenant_id from b_tenants order by created_at, tenant_id limit 1)
   when exists (select 1 from b_memberships m where m.user_id = u.user_id and m.tenant_id = u.token_tenant_id) then u.token_tenant_id

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
+from parley.operators.groups import in_order
 from pyspark.sql import types as T
 
 CHAT_EVENT_SCHEMA = T.StructType(
@@ -38,14 +40,14 @@ def append_events(df: DataFrame, path: str) -> None:
     to_chat_events(df).write.mode("append").parquet(path)
 
 
-def event_history(sessions: DataFrame, events: DataFrame) -> DataFrame:
-    """Events of the given sessions in time order.
+def event_history(sessions: DataFrame, events: DataFrame, ordered: bool = False) -> DataFrame:
+    """Events of the given sessions, in time order if ``ordered``.
 
     ``source_json`` is the decoded source (VARIANT); where the text is not JSON
     it is NULL and ``source_text`` keeps the text.
     """
     decoded = F.try_parse_json("bot_response_source")
-    return (
+    rows = (
         events.join(sessions.select("session_no"), "session_no", "left_semi")
         .withColumns(
             {
@@ -53,8 +55,8 @@ def event_history(sessions: DataFrame, events: DataFrame) -> DataFrame:
                 "source_text": F.when(decoded.isNull(), F.col("bot_response_source")),
             }
         )
-        .orderBy("session_no", "event_timestamp")
     )
+    return in_order(rows, ordered, "session_no", "event_timestamp")
 
 
 def to_usage_events(df: DataFrame, usage_type: str | Column, source: str | None = None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from parley.functions.text import month_start
 from parley.operators.analytics import with_limit
 from parley.operators.groups import ranked
+from parley.session import remove_dir
 
 _KEYS = ["tenant_id", "month_start"]
 _STATE = "tenant_id bigint, month_start timestamp_ntz, message_limit bigint, monthly_messages bigint, limit_hit_at timestamp_ntz"
@@ -54,7 +55,7 @@ def quota_monitor(messages: DataFrame, sessions: DataFrame, tenants: DataFrame,
     """Keep ``path/version=<batch>`` up to date: one small row per tenant and month.
 
     Each batch reads the version before it and writes its own, so a replay
-    starts from the same state and overwrites the same folder.
+    starts from the same state and overwrites the same folder.  Two versions stay.
     """
     spark = messages.sparkSession
 
@@ -62,6 +63,8 @@ def quota_monitor(messages: DataFrame, sessions: DataFrame, tenants: DataFrame,
         before = spark.createDataFrame([], _STATE) if batch_id == 0 else spark.read.schema(_STATE).parquet(f"{path}/version={batch_id - 1}")
         after = advance(batch, before, sessions, tenants)
         after.write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        # a replay needs the version before its own; older ones are done with
+        remove_dir(spark, f"{path}/version={batch_id - 2}")
 
     writer = messages.writeStream.option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"processingTime": "30 seconds"})).foreachBatch(step).start()

@@ -27,6 +27,14 @@ def read_latest(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
     return newest(spark.read.parquet(path), keys, ["batch_id"]).drop("batch_id")
 
 
+def compact(spark: SparkSession, path: str, keys: list[str], into: str) -> None:
+    """Write the newest row per key of all batches so far to ``into``, with the batch it comes from.
+
+    For a stopped stream: go on with ``into`` and a fresh batch folder beside it.
+    """
+    newest(spark.read.parquet(path), keys, ["batch_id"]).write.mode("overwrite").parquet(into)
+
+
 def drain(stream: DataFrame, path: str, mode: str, prepare=None) -> None:
     """Run a stream over what is available now and stop."""
     checkpoint = shared_dir(stream.sparkSession, "stream-state")
