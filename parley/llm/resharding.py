@@ -100,6 +100,8 @@ def reshard(
     held = rows.groupBy("old_shard").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).orderBy("old_shard").collect()
     old, sizes = [r["old_shard"] for r in held], [r["size"] for r in held]
     demand = capacities(sum(sizes)) if capacities else even(sum(sizes), shards)
+    if sum(demand) < sum(sizes):
+        raise ValueError("the capacities hold less than the documents")
     flow = cheapest_flow(sizes, demand, lambda i, j: int(old[i] != j))
     stretches = 1 + max([0, *(r["n"] for r in held)]) // STRETCH_DOCS
     # the largest documents, of which there are few, come first and by size, so that small ones lie at the edges of blocks

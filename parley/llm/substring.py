@@ -204,9 +204,9 @@ def remove_repeats(docs: DataFrame, window: int = 13, id_col: str = "doc_id", te
     """
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     levels = lengths(window)
-    found = materialize(_settle(source.mapInArrow(_candidates(levels[0], window), _ROWS), later_only=len(levels) == 1), "repeats")
     if len(levels) == 1:
-        raise ValueError("window must be over 8 words")
+        raise ValueError("the window must be over 8 words")
+    found = materialize(_settle(source.mapInArrow(_candidates(levels[0], window), _ROWS), later_only=False), "repeats")
     for level in range(1, len(levels)):
         if found.isEmpty():
             break
