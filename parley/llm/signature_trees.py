@@ -5,10 +5,11 @@
    range (more ranges than differences).  Texts that agree on a range share a
    root; one link to the smallest id of each root is enough to say so, and a
    slice of texts settles its own roots first, so that a range that a third of
-   all texts has travels once per slice.  Texts connected by roots form a
-   cluster; every pair over the threshold lies within one cluster.
-2. *Trees.*  Equal sets are folded into one.  The sets of a cluster become
-   leaves of a tree whose nodes hold the OR of their token bitmaps and their
+   all texts has travels once per slice.  What met under one smallest id is
+   compared by token bitmaps; texts connected by what may still link form a
+   cluster, and every pair over the threshold lies within one cluster.
+2. *Trees.*  Equal texts are folded into one.  The bitmaps of a group, and later
+   the sets of a cluster, become leaves of a tree whose nodes hold the OR of their token bitmaps and their
    range of set sizes.  A dual traversal drops node pairs whose sizes are too
    far apart or whose greatest possible overlap is too small, and those whose
    leaves are linked already; what is left is compared exactly.
@@ -18,7 +19,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,11 +31,13 @@ from parley.llm.words import groups, mix, same_as_before, slices, whole_keys, wi
 from parley.session import materialize
 
 #: Shingles of one block of a cluster, 8 bytes each.
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 500_000
 FANOUT = 8
 
 _EDGE, _ASK, _SIZE = 0, 1, 2
-_ROWS = "kind byte, key long, doc long, other long"
+_ROWS = "kind byte, key long, doc long, other long, bits binary"
+#: Members of a root group that is compared; a larger one stays together as it is.
+GROUP_DOCS = 20_000
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -94,10 +97,24 @@ def root_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(keys)
 
 
-def _batch(kind: int, key, doc, other) -> pa.RecordBatch:
+def bitmap(shingles: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """Token bitmap of a set, with two to four bits per shingle unless ``bits``, a power of two, is given."""
+    bits = bits or 2 << int(np.clip(len(shingles), 64, 1 << 12) - 1).bit_length()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    at = (shingles % np.uint64(bits)).astype(np.int64)
+    np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
+    return out
+
+
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """The bitmap of the same set with fewer bits."""
+    return np.bitwise_or.reduce(bits.reshape(-1, words), axis=0)
+
+
+def _batch(kind: int, key, doc, other, bits=None) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.full(len(doc), kind, dtype=np.int8)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(other)],
-        names=["kind", "key", "doc", "other"],
+        [pa.array(np.full(len(doc), kind, dtype=np.int8)), pa.array(key.view(np.int64)), pa.array(doc), pa.array(other), pa.nulls(len(doc), pa.binary()) if bits is None else pa.array(bits, pa.binary())],
+        names=["kind", "key", "doc", "other", "bits"],
     )
 
 
@@ -123,35 +140,59 @@ def _ask(width: int, num: int, den: int):
             ids = batch.column("doc").to_numpy()
             sets = shingle_sets(batch.column("text"), width)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            yield _batch(_SIZE, ids.astype(np.uint64), ids, sizes)
+            yield _batch(_SIZE, ids.astype(np.uint64), ids, sizes, [bitmap(x).tobytes() if len(x) else None for x in sets])
             roots = [root_keys(s, num, den) for s in sets]
             key = np.concatenate(roots) if roots else np.zeros(0, dtype=np.uint64)
             key, doc, least = _star(key, np.repeat(ids, [len(r) for r in roots]))
             a, b = _edges(doc, least)
             if len(a):
                 yield _batch(_EDGE, a.astype(np.uint64), a, b)
-            first = doc == least
-            yield _batch(_ASK, key[first], doc[first], doc[first])
+            key, doc = key[doc == least], doc[doc == least]
+            order = np.argsort(doc, kind="stable")  # rows of one document side by side compress best
+            yield _batch(_ASK, key[order], doc[order], np.zeros(len(doc), dtype=np.int64))
 
     return work
 
 
 def _meet(table: pa.Table) -> pa.RecordBatch:
-    kind, key, doc, other = (table.column(c).to_numpy() for c in ("kind", "key", "doc", "other"))
+    kind = table.column("kind").to_numpy()
     asked = kind == _ASK
-    a, b = _edges(*_star(key[asked], doc[asked])[1:])
-    kind = np.concatenate([kind[~asked], np.full(len(a), _EDGE, dtype=np.int8)])
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (kind, np.concatenate([doc[~asked], a]), np.concatenate([other[~asked], b]))], names=["kind", "doc", "other"])
+    a, b = _edges(*_star(*(table.column(c).to_numpy()[asked] for c in ("key", "doc")))[1:])
+    met = pa.RecordBatch.from_arrays([pa.array(np.full(len(a), _EDGE, dtype=np.int8)), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["kind", "doc", "other", "bits"])
+    passed = table.filter(pa.array(~asked)).select(["kind", "doc", "other", "bits"])
+    return pa.concat_tables([passed, pa.Table.from_batches([met])]).combine_chunks().to_batches()[0] if len(passed) or len(a) else met
+
+
+def _compatible(num: int, den: int):
+    """Of the documents of a root group, links that connect whatever could reach the threshold by its bitmap and size."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in groups(batches, ["root"]):
+            table = table.combine_chunks()
+            docs, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
+            maps = [np.frombuffer(b, dtype=np.uint64) for b in table.column("bits").to_pylist()]
+            words = min(map(len, maps))
+            maps = np.stack([folded(m, words) for m in maps])
+            order = np.lexsort((docs, n))
+            links = connecting(Tree(maps[order], n[order]), None, num, den, lambda a, b: True)
+            if links:
+                yield _stars([(docs[order[a]], docs[order[b]]) for a, b in links])
+
+    return work
 
 
 def _sets(width: int):
+    """The set of each document, once for each pair of blocks it takes part in."""
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
-            sets = shingle_sets(batch.column("text"), width)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("cluster"), batch.column("doc"), pa.array([len(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["cluster", "doc", "n", "shingles"],
-            )
+            sets = [s.tobytes() for s in shingle_sets(batch.column("text"), width)]
+            rows = [(t["cluster"], t["low"], t["high"], t["block"], doc, s) for doc, s, tasks in zip(batch.column("doc").to_pylist(), sets, batch.column("tasks").to_pylist()) if s for t in tasks]
+            for at in range(0, len(rows), 1000):
+                columns = list(zip(*rows[at : at + 1000]))
+                yield pa.RecordBatch.from_arrays(
+                    [*(pa.array(c, pa.int64()) for c in columns[:5]), pa.array(columns[5], pa.binary())], names=["cluster", "low", "high", "block", "doc", "shingles"]
+                )
 
     return work
 
@@ -159,19 +200,16 @@ def _sets(width: int):
 class Tree:
     """OR bitmaps, size ranges and greatest bitmap collisions, level by level; level 0 holds the leaves."""
 
-    def __init__(self, sets: list[np.ndarray], bits: int):
-        n = np.array([len(s) for s in sets], dtype=np.int64)
-        words = np.zeros((len(sets), bits // 64), dtype=np.uint64)
-        for i, s in enumerate(sets):
-            at = (s % np.uint64(bits)).astype(np.int64)
-            np.bitwise_or.at(words[i], at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
-        excess = n - np.bitwise_count(words).sum(axis=1, dtype=np.int64)
-        self.levels = [(words, n, n, excess)]
+    def __init__(self, bitmaps: np.ndarray, sizes: np.ndarray):
+        self.levels = [(bitmaps, sizes, sizes, sizes - np.bitwise_count(bitmaps).sum(axis=1, dtype=np.int64))]
         while len(self.levels[-1][0]) > 1:
             words, low, high, excess = self.levels[-1]
             at = np.arange(0, len(words), FANOUT)
             self.levels.append((np.bitwise_or.reduceat(words, at, axis=0), np.minimum.reduceat(low, at), np.maximum.reduceat(high, at), np.maximum.reduceat(excess, at)))
 
+    def __len__(self) -> int:
+        return len(self.levels[0][0])
+
 
 class _Forest:
     """Which leaves are linked already."""
@@ -186,6 +224,19 @@ class _Forest:
         return i
 
 
+def _stars(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    """The same components as links from every id to the smallest one."""
+    ids = sorted({i for link in links for i in link})
+    place = {i: k for k, i in enumerate(ids)}
+    forest = _Forest(len(ids))
+    for a, b in links:
+        x, y = forest.find(place[a]), forest.find(place[b])
+        forest.parent[max(x, y)] = min(x, y)
+    pairs = [(i, ids[forest.find(k)]) for k, i in enumerate(ids)]
+    far, near = zip(*[p for p in pairs if p[0] != p[1]] or [(ids[0], ids[0])])
+    return pa.RecordBatch.from_arrays([pa.array(far, pa.int64()), pa.array(near, pa.int64())], names=["a", "b"])
+
+
 def _may_link(left, right, x: np.ndarray, y: np.ndarray, num: int, den: int) -> np.ndarray:
     """Node pairs whose sizes fit and whose greatest possible overlap is large enough."""
     (lw, llow, lhigh, lex), (rw, rlow, rhigh, rex) = left, right
@@ -215,11 +266,28 @@ def tree_links(sets: list[np.ndarray], split: int, num: int, den: int) -> list[t
     with those from it on.
     """
     bits = 1 << int(np.clip(max(len(s) for s in sets) * 16, 512, 1 << 16) - 1).bit_length()
-    left = Tree(sets[:split] if split else sets, bits)
-    right = Tree(sets[split:], bits) if split else left
-    forest = _Forest(len(sets))
+    maps, sizes = np.stack([bitmap(s, bits) for s in sets]), np.array([len(s) for s in sets])
+
+    def over(a: int, b: int) -> bool:
+        common = _overlap(sets[a], sets[b])
+        return common * den >= num * (len(sets[a]) + len(sets[b]) - common)
+
+    if split:
+        return connecting(Tree(maps[:split], sizes[:split]), Tree(maps[split:], sizes[split:]), num, den, over)
+    return connecting(Tree(maps, sizes), None, num, den, over)
+
+
+def connecting(left: Tree, right: Tree | None, num: int, den: int, over: Callable[[int, int], bool]) -> list[tuple[int, int]]:
+    """Pairs of leaves for which ``over`` holds, enough to connect all that such pairs connect, by dual traversal.
+
+    Leaves of ``right`` count on from those of ``left``; without it ``left`` meets
+    itself.
+    """
+    split = len(left) if right else 0
+    right = right or left
+    forest = _Forest(split + len(right))
     links: list[tuple[int, int]] = []
-    labels = np.arange(len(sets))
+    labels = np.arange(split + len(right))
     stack = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
         i, j, x, y = stack.pop()
@@ -249,11 +317,10 @@ def tree_links(sets: list[np.ndarray], split: int, num: int, den: int) -> list[t
             ra, rb = forest.find(a), forest.find(b)
             if ra == rb:
                 continue
-            common = _overlap(sets[a], sets[b])
-            if common * den >= num * (len(sets[a]) + len(sets[b]) - common):
+            if over(a, b):
                 forest.parent[max(ra, rb)] = min(ra, rb)
                 links.append((a, b))
-        labels = np.array([forest.find(k) for k in range(len(sets))])
+        labels = np.array([forest.find(k) for k in range(len(labels))])
     return links
 
 
@@ -284,8 +351,7 @@ def _join(num: int, den: int):
             links = tree_links([sets[k] for k in order], split, num, den) if met else []
             ends = [(docs[order[a]], docs[order[b]]) for a, b in links] + (equal if low == high else [])
             if ends:
-                a, b = zip(*ends)
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                yield _stars(ends)
 
     return work
 
@@ -333,33 +399,59 @@ def near_duplicates(
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     asked = source.mapInArrow(_ask(width, num, den), _ROWS)
     dealt = asked.repartition(F.when(F.col("kind") == _ASK, F.xxhash64("key")).otherwise(F.xxhash64("doc", "other"))).sortWithinPartitions("key")
-    met = materialize(dealt.mapInArrow(lambda b: whole_keys(b, "key", _meet), "kind byte, doc long, other long"), "roots")
-    clusters = components(met.where(F.col("kind") == _EDGE).select(F.col("doc").alias("a"), F.col("other").alias("b")), "clusters")
-    # equal texts: only the first needs comparing
-    exact = source.where("text is not null").groupBy(F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("l")).agg(F.min("doc").alias("doc"))
+    met = materialize(dealt.mapInArrow(lambda b: whole_keys(b, "key", _meet), "kind byte, doc long, other long, bits binary"), "roots")
+    clusters = components(_root_links(met, num, den), "clusters")
     clusters = materialize(clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")), "clusters")
-    links = materialize(_cluster_links(source, clusters, exact, width, num, den, block_shingles), "links")
-    found = components(links, "links").select(F.col("id").alias("doc"), F.col("component").alias("component_id"))
     sizes = met.where(F.col("kind") == _SIZE).select("doc", F.col("other").alias("n_shingles"))
+    leaders = materialize(_leaders(source, clusters), "leaders")
+    links = materialize(_cluster_links(source, clusters, leaders, sizes, width, num, den, block_shingles), "links")
+    least = materialize(leaders.groupBy("doc").agg(F.min("leader").alias("least")), "least")
+    same_id = leaders.join(least, "doc").where("leader <> least").select(F.col("leader").alias("a"), F.col("least").alias("b"))
+    found = components(links.union(same_id), "links").select(F.col("id").alias("leader"), "component")
+    placed = least.withColumnRenamed("least", "leader").join(found, "leader", "left").select("doc", F.coalesce("component", "leader").alias("component_id"))
     real = lambda c: F.when(c != NO_ID, c)
-    return sizes.join(found, "doc", "left").select(
+    return sizes.join(materialize(placed, "placed"), "doc", "left").select(
         real(F.col("doc")).alias("doc_id"), "n_shingles", real(F.coalesce("component_id", "doc")).alias("component_id")
     )
 
 
-def _cluster_links(source, clusters, exact, width, num, den, block_shingles) -> DataFrame:
-    """Verified links within clusters, and links between equal texts."""
+def _leaders(source: DataFrame, clusters: DataFrame) -> DataFrame:
+    """``(doc, leader)`` of documents in clusters: the smallest id with the same text, which alone needs comparing.
+
+    An id with several texts has several leaders.
+    """
     keyed = source.where("text is not null").select("doc", F.md5(F.col("text").cast("binary")).alias("h"), F.length("text").alias("l"))
-    leaders = split_join(keyed.join(clusters, "doc", "left_semi"), exact.withColumnRenamed("doc", "leader"), ["h", "l"])
-    leaders = materialize(leaders.select("doc", "leader").distinct(), "leaders")
-    same = leaders.where("doc <> leader").select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    first = keyed.groupBy("h", "l").agg(F.min("doc").alias("leader"))
+    same = split_join(keyed.join(clusters, "doc", "left_semi"), first, ["h", "l"])
+    return same.select("doc", "leader").distinct()
+
+
+def _root_links(met: DataFrame, num: int, den: int) -> DataFrame:
+    """Links within root groups, a group being all that met under the same smallest id.
+
+    Groups up to ``GROUP_DOCS`` are compared by their bitmaps, so that texts which
+    share a passage and little else do not end in one cluster.  A larger one keeps
+    its links to the smallest id, which connect no less.
+    """
+    stars = materialize(met.where(F.col("kind") == _EDGE).select("doc", F.col("other").alias("root")).distinct(), "stars")
+    sizes = stars.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
+    small = split_join(stars, sizes.where(F.col("c") < GROUP_DOCS).select("root"), ["root"])
+    large = split_join(stars, sizes.where(F.col("c") >= GROUP_DOCS).select("root"), ["root"]).select(F.col("doc").alias("a"), F.col("root").alias("b"))
+    members = small.select("root", "doc").union(small.select("root", F.col("root").alias("doc")).distinct())
+    described = met.where((F.col("kind") == _SIZE) & (F.col("other") > 0)).select("doc", F.col("other").alias("n"), "bits").distinct()
+    dealt = members.join(described, "doc").select("root", "doc", "n", "bits").repartition("root").sortWithinPartitions("root")
+    return dealt.mapInArrow(_compatible(num, den), "a long, b long").union(large)
+
+
+def _cluster_links(source, clusters, leaders, sizes, width, num, den, block_shingles) -> DataFrame:
+    """Verified links between leaders of one cluster."""
     first = clusters.join(leaders.where("doc = leader").select("doc").distinct(), "doc", "left_semi")
     several = first.groupBy("cluster").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("cluster")
-    wanted = split_join(first, several, ["cluster"])
-    sets = source.join(wanted, "doc").mapInArrow(_sets(width), "cluster long, doc long, n long, shingles binary").where("n > 0")
-    sets = materialize(sets, "sets")
-    planned = materialize(_blocked(sets.select("cluster", "doc", "n"), num, den, block_shingles), "blocks")
-    tasks = sets.select("cluster", "doc", "shingles").join(planned, ["cluster", "doc"])
-    dealt = tasks.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
-    dealt = dealt.select("cluster", "low", "high", "block", "doc", "shingles")
-    return dealt.mapInArrow(_join(num, den), "a long, b long").union(same)
+    members = split_join(first, several, ["cluster"]).join(sizes.groupBy("doc").agg(F.max("n_shingles").alias("n")), "doc")
+    planned = _blocked(materialize(members, "members"), num, den, block_shingles)
+    tasks = planned.groupBy("doc").agg(F.collect_list(F.struct("cluster", "low", "high", "block")).alias("tasks"))
+    # texts are dealt by id at every size: a broadcast up to some size would only make costs jump there
+    met = source.join(materialize(tasks, "tasks").hint("merge"), "doc")
+    sets = met.mapInArrow(_sets(width), "cluster long, low long, high long, block long, doc long, shingles binary")
+    dealt = sets.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    return dealt.mapInArrow(_join(num, den), "a long, b long")

@@ -35,17 +35,19 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = materialize(links, purpose)
-    state = None
-    while True:
+    while not _all_stars(links):
         links = materialize(_small_star(_large_star(links)), purpose)
-        now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == state:
-            break
-        state = now
     roots = links.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 
 
+def _all_stars(links: DataFrame) -> bool:
+    """Whether every node has one link, to a node that has none: nothing is left to contract."""
+    ends = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", "n", F.lit(False).alias("root"))
+    roots = links.select(F.col("b").alias("a")).distinct().select("a", F.lit(1).cast("long").alias("n"), F.lit(True).alias("root"))
+    return ends.union(roots).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+
+
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
