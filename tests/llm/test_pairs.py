@@ -143,3 +143,17 @@ def test_components(spark):
         root[max(x, y)] = min(x, y)
     got = {r["id"]: r["component"] for r in op_tables.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {i: find(i) for a, b in edges if a != b for i in (a, b)}
+
+
+def test_bitmaps_fold_to_those_of_fewer_bits():
+    rng = np.random.default_rng(8)
+    shingles = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for bits in (64, 128, 512):
+        assert (signature_trees.folded(signature_trees.bitmap(shingles, 1024), bits // 64) == signature_trees.bitmap(shingles, bits)).all()
+
+
+def test_large_root_groups_keep_their_links(spark, monkeypatch):
+    """Root groups that are not compared by bitmaps give the same components."""
+    monkeypatch.setattr(signature_trees, "GROUP_DOCS", 3)
+    rows = near_copies(30, 60, 6, 4) + tables.awkward()
+    assert found(signature_trees.near_duplicates(tables.frame(spark, rows), 3, 80, 100)) == linked([r[:2] for r in rows], 3, 80, 100)

@@ -163,3 +163,10 @@ def test_decontamination_without_benchmark(spark):
     assert decontamination.find_hits(docs, none).where("n_hit > 0").count() == 0
     assert decontamination.drop_contaminated(docs, none).count() == len(tables.awkward())
     assert decontamination.find_hits(docs.limit(0), none).count() == 0
+
+
+def test_native_operators_have_no_python_in_their_plans(spark):
+    docs, benchmark = tables.documents(spark, SMALL), spark.read.parquet(f"{SMALL}/benchmark.parquet")
+    for df in (licences.scan(docs), decontamination.find_hits(docs, benchmark)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not any(word in plan for word in ("Python", "Pandas", "Arrow", "MapIn"))
