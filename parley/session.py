@@ -61,10 +61,25 @@ def remove_dir(spark: SparkSession, path: str) -> None:
 _DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
+#: Folders written by :func:`materialize` that have not been released, by application.
+_WRITTEN: dict[str, list[str]] = {}
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what :func:`materialize` has written so far; for when the results that read it are written."""
+    for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
+        remove_dir(spark, path)
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors."""
+    """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
+
+    Results read these tables when they run, so the folders stay until
+    :func:`release`.
+    """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:

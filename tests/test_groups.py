@@ -1,12 +1,14 @@
 """Ranking and look-ups with one group that holds a third of all rows, against brute force."""
 
 import datetime as dt
+import os
 import random
 from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from parley import session
 from parley.operators import analytics, groups
 from parley.sources import transcripts
 
@@ -102,3 +104,23 @@ def test_usage_totals_add_up(bindings):
     per_type = analytics.usage_by_type(bindings.usage, bindings.tenants)
     known = bindings.usage.join(bindings.tenants, "tenant_id", "left_semi")
     assert per_type.agg(F.sum("total_tokens")).first()[0] == known.agg(F.sum("total_tokens")).first()[0]
+
+
+def test_release_deletes_intermediates_only(spark, monkeypatch):
+    monkeypatch.setattr(session, "_WRITTEN", {})
+    kept = session.shared_dir(spark, "kept")
+    spark.range(5).write.parquet(kept)
+    written = session.materialize(spark.range(7), "scratch")
+    folder = os.path.dirname(written.inputFiles()[0].removeprefix("file://"))
+    assert written.count() == 7 and os.path.isdir(folder)
+    session.release(spark)
+    assert not os.path.exists(folder) and spark.read.parquet(kept).count() == 5
+
+
+def test_clusters_must_name_a_shared_folder(spark, monkeypatch):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("Context", (), {"master": "spark://somewhere:7077"})
+
+    with pytest.raises(ValueError):
+        session.shared_dir(Cluster, "x")
