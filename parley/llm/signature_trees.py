@@ -3,11 +3,15 @@
 1. *Roots.*  A text's shingle set is cut into hash ranges whose number follows
    its size, so that two sets over the threshold agree on at least one whole
    range (more ranges than differences).  Texts that agree on a range share a
-   root; one link to the smallest id of each root is enough to say so, and a
-   slice of texts settles its own roots first, so that a range that a third of
-   all texts has travels once per slice.  What met under one smallest id is
+   root; one link to the smallest id of each root is enough to say so.  A slice of
+   texts settles its own texts first: one that links with an earlier text, its
+   leader, has the leader ask for its ranges, so that a range that a third of all
+   texts has travels once per leader and slice.  What met under one smallest id is
    compared by token bitmaps; texts connected by what may still link form a
-   cluster, and every pair over the threshold lies within one cluster.
+   cluster.  Leaders of two linked texts are at most three distances ``1 -
+   threshold`` apart (a text and its leader, the two texts, a text and its leader),
+   so bitmaps are held to that, and every pair over the threshold lies within one
+   cluster.
 2. *Trees.*  Equal texts are folded into one.  The bitmaps of a group, and later
    the sets of a cluster, become leaves of a tree whose nodes hold the OR of their token bitmaps and their
    range of set sizes.  A dual traversal drops node pairs whose sizes are too
@@ -38,6 +42,8 @@ _EDGE, _ASK, _SIZE = 0, 1, 2
 _ROWS = "kind byte, key long, doc long, other long, bits binary"
 #: Members of a root group that is compared; a larger one stays together as it is.
 GROUP_DOCS = 20_000
+#: Leaders a text is compared with in its slice, and leaders kept per range; a text that finds none of its own asks for itself.
+_TRIED, _LED = 3, 4
 
 
 def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
@@ -134,6 +140,49 @@ def _edges(doc: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pairs[0], pairs[1]
 
 
+def _over(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
+    if min(len(a), len(b)) * den < max(len(a), len(b)) * num:
+        return False
+    common = _overlap(a, b)
+    return common * den >= num * (len(a) + len(b) - common)
+
+
+def leaders_of(ids: np.ndarray, sets: list[np.ndarray], roots: list[np.ndarray], num: int, den: int) -> np.ndarray:
+    """The leader of each text of a slice: a text over the threshold with it that leads itself, or the text itself.
+
+    Equal sets have one leader, and only texts that share a root are compared.
+    """
+    leader = np.arange(len(ids))
+    key = np.concatenate([*roots, np.zeros(0, dtype=np.uint64)])
+    row = np.repeat(np.arange(len(ids)), [len(r) for r in roots])
+    _, place, count = np.unique(key, return_inverse=True, return_counts=True)
+    shared = count[place] > 1
+    place, row = place[shared], row[shared]
+    edges = np.searchsorted(row, np.arange(len(ids) + 1))
+    equal: dict[int, int] = {}
+    led: dict[int, list[int]] = {}
+    for i in np.lexsort((np.arange(len(ids)), ids)).tolist():
+        if edges[i] == edges[i + 1]:
+            continue
+        first = equal.setdefault(int(roots[i][0]), i)
+        if first != i:
+            leader[i] = leader[first]
+            continue
+        own = place[edges[i] : edges[i + 1]].tolist()
+        met: dict[int, int] = {}
+        for k in own:
+            for j in led.get(k, ()):
+                met[j] = met.get(j, 0) + 1
+        for j in sorted(met, key=lambda j: (-met[j], j))[:_TRIED]:
+            if _over(sets[i], sets[j], num, den):
+                leader[i] = j
+                break
+        else:
+            for k in own:
+                led[k] = [*led.get(k, ())[1 - _LED :], i]
+    return leader
+
+
 def _ask(width: int, num: int, den: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text"):
@@ -142,12 +191,12 @@ def _ask(width: int, num: int, den: int):
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             yield _batch(_SIZE, ids.astype(np.uint64), ids, sizes, [bitmap(x).tobytes() if len(x) else None for x in sets])
             roots = [root_keys(s, num, den) for s in sets]
-            key = np.concatenate(roots) if roots else np.zeros(0, dtype=np.uint64)
-            key, doc, least = _star(key, np.repeat(ids, [len(r) for r in roots]))
-            a, b = _edges(doc, least)
+            asking = ids[leaders_of(ids, sets, roots, num, den)]
+            a, b = _edges(ids, asking)
             if len(a):
                 yield _batch(_EDGE, a.astype(np.uint64), a, b)
-            key, doc = key[doc == least], doc[doc == least]
+            key = np.concatenate([*roots, np.zeros(0, dtype=np.uint64)])
+            key, doc, _ = _star(key, np.repeat(asking, [len(r) for r in roots]))
             order = np.argsort(doc, kind="stable")  # rows of one document side by side compress best
             yield _batch(_ASK, key[order], doc[order], np.zeros(len(doc), dtype=np.int64))
 
@@ -164,7 +213,7 @@ def _meet(table: pa.Table) -> pa.RecordBatch:
 
 
 def _compatible(num: int, den: int):
-    """Of the documents of a root group, links that connect whatever could reach the threshold by its bitmap and size."""
+    """Of the documents of a root group, links that connect whatever could reach ``num / den`` by its bitmap and size."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, ["root"]):
@@ -269,8 +318,7 @@ def tree_links(sets: list[np.ndarray], split: int, num: int, den: int) -> list[t
     maps, sizes = np.stack([bitmap(s, bits) for s in sets]), np.array([len(s) for s in sets])
 
     def over(a: int, b: int) -> bool:
-        common = _overlap(sets[a], sets[b])
-        return common * den >= num * (len(sets[a]) + len(sets[b]) - common)
+        return _over(sets[a], sets[b], num, den)
 
     if split:
         return connecting(Tree(maps[:split], sizes[:split]), Tree(maps[split:], sizes[split:]), num, den, over)
@@ -430,10 +478,15 @@ def _root_links(met: DataFrame, num: int, den: int) -> DataFrame:
     """Links within root groups, a group being all that met under the same smallest id.
 
     Groups up to ``GROUP_DOCS`` are compared by their bitmaps, so that texts which
-    share a passage and little else do not end in one cluster.  A larger one keeps
-    its links to the smallest id, which connect no less.
+    share a passage and little else do not end in one cluster.  They are held to
+    three times the distance of a link, as leaders stand for texts that link with
+    them; where that excludes nothing, and in a larger group, all links to the
+    smallest id are kept, which connect no less.
     """
+    num = 3 * num - 2 * den
     stars = materialize(met.where(F.col("kind") == _EDGE).select("doc", F.col("other").alias("root")).distinct(), "stars")
+    if num <= 0:
+        return stars.select(F.col("doc").alias("a"), F.col("root").alias("b"))
     sizes = stars.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
     small = split_join(stars, sizes.where(F.col("c") < GROUP_DOCS).select("root"), ["root"])
     large = split_join(stars, sizes.where(F.col("c") >= GROUP_DOCS).select("root"), ["root"]).select(F.col("doc").alias("a"), F.col("root").alias("b"))

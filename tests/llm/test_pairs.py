@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from parley.llm import signature_trees, substring, tables as op_tables
@@ -157,3 +158,81 @@ def test_large_root_groups_keep_their_links(spark, monkeypatch):
     monkeypatch.setattr(signature_trees, "GROUP_DOCS", 3)
     rows = near_copies(30, 60, 6, 4) + tables.awkward()
     assert found(signature_trees.near_duplicates(tables.frame(spark, rows), 3, 80, 100)) == linked([r[:2] for r in rows], 3, 80, 100)
+
+
+def sharing_ranges(text, num, den, seed):
+    """For each root range of a text of distinct words one unlike text that agrees with it there, at width 1."""
+    hash_of = {w: int(h[0]) for w, h in zip(text.split(), signature_trees.shingle_sets(pa.array(text.split()), 1))}
+    spare = [f"f{seed}x{i}" for i in range(4 * len(hash_of))]
+    spare = {w: int(h[0]) for w, h in zip(spare, signature_trees.shingle_sets(pa.array(spare), 1))}
+    ranges, _ = signature_trees.range_plan(len(hash_of).bit_length() - 1, num, den)
+    step = (1 << 64) // ranges + 1
+    out = []
+    for j in range(ranges):
+        inside = [w for w, h in hash_of.items() if h // step == j]
+        others = [w for w, h in spare.items() if h // step != j]
+        out.append(" ".join(inside + others[: len(hash_of) - len(inside)]))
+    return out
+
+
+def clustered(parts, num, den):
+    """Clusters at width 1 of texts in slices, one a part, as the tasks of the join make them."""
+    rows = []
+    for part in parts:
+        batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part])], names=["doc", "text"])
+        rows += signature_trees._ask(1, num, den)(iter([batch]))
+    asked = pa.Table.from_batches(rows).sort_by("key")
+    met = signature_trees._meet(asked).to_pylist()
+    described = {r["doc"]: (r["other"], r["bits"]) for r in met if r["kind"] == signature_trees._SIZE}
+    groups = {}
+    for r in met:
+        if r["kind"] == signature_trees._EDGE:
+            groups.setdefault(r["other"], {r["other"]}).add(r["doc"])
+    members = pa.Table.from_pylist([{"root": g, "doc": d, "n": described[d][0], "bits": described[d][1]} for g, docs in sorted(groups.items()) for d in sorted(docs)])
+    root = {i: i for part in parts for i, _ in part}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for links in signature_trees._compatible(3 * num - 2 * den, den)(iter(members.to_batches())):
+        for r in links.to_pylist():
+            x, y = find(r["a"]), find(r["b"])
+            root[max(x, y)] = min(x, y)
+    return {i: find(i) for i in root}
+
+
+def test_links_beside_unlike_holders_of_every_shared_range():
+    """A slice holds unlike texts with smaller ids for each range of a text, and they are not the smallest overall."""
+    words = [f"a{i}" for i in range(100)]
+    a, b = " ".join(words), " ".join([*words[:-8], *(f"b{i}" for i in range(8))])
+    unlike, first = sharing_ranges(a, 8, 10, 1), sharing_ranges(a, 8, 10, 2)
+    found = clustered([list(enumerate(first)), [*((1000 + i, t) for i, t in enumerate(unlike)), (2000, a)], [(3000, b)]], 8, 10)
+    assert found[2000] == found[3000] == 2000
+
+
+def test_links_between_texts_whose_leaders_do_not_link():
+    """Two texts over the threshold, each in a slice that settles it under an earlier text; these differ by more."""
+    words = [f"a{i}" for i in range(200)]
+    swap = lambda t, at, tag: [f"{tag}{i}" if at <= i < at + 16 else w for i, w in enumerate(t)]
+    a, b = words, swap(words, 0, "b")
+    slices = [[(10, swap(a, 60, "c")), (500, a)], [(20, swap(b, 120, "d")), (600, b)]]
+    found = clustered([[(i, " ".join(t)) for i, t in part] for part in slices], 8, 10)
+    assert set(found.values()) == {10}
+
+
+@pytest.mark.parametrize("num, den", [(8, 10), (1, 2)])
+def test_links_among_texts_with_boilerplate_over_many_slices(spark, num, den):
+    rng = random.Random(11)
+    boilerplate = [f"p{i}" for i in range(60)]
+    rows = []
+    for family in range(40):
+        base = boilerplate + [f"q{family}x{i}" for i in range(40)]
+        for _ in range(4):
+            copy = list(base)
+            for _ in range(rng.randrange(10)):
+                copy[rng.randrange(100)] = f"e{rng.randrange(100_000)}"
+            rows.append((rng.randrange(1 << 40), " ".join(copy), None, "s", 0))
+    docs = tables.frame(spark, rows).repartition(64)
+    assert found(signature_trees.near_duplicates(docs, 1, num, den)) == linked([r[:2] for r in rows], 1, num, den)
