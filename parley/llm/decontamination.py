@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.bind import let
+from parley.llm.mixing import row_hash
+from parley.llm.tables import split_join
 from parley.session import materialize
 
 WINDOW = 10
@@ -120,13 +122,10 @@ def digest(hits: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of ``docs`` whose document has no window of the benchmark.
-
-    A document is its id; if one row of an id is hit, all go.  Rows without id are
-    judged together.
-    """
-    bad = find_hits(docs, benchmark, window, id_col, text_col).where("n_hit > 0").select(F.col("doc_id").alias("_hit")).distinct()
-    return docs.join(bad, F.col(id_col).cast("long").eqNullSafe(F.col("_hit")), "left_anti")
+    """Rows of ``docs`` whose text has no window of the benchmark, whatever other rows of their id have."""
+    keyed = docs.withColumn("_row", row_hash(1, id_col, text_col))
+    bad = find_hits(keyed, benchmark, window, "_row", text_col).where("n_hit > 0").select(F.col("doc_id").alias("_row")).distinct()
+    return split_join(keyed, bad, ["_row"], "left_anti").select([F.col(f"`{c}`") for c in docs.columns])
 
 
 def remove_spans(text: Column, spans: Column) -> Column:

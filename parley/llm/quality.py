@@ -77,13 +77,19 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         x = statistics(batch.column("text"))
         flat = pa.array(x.ravel())
         offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "x"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.ListArray.from_arrays(offsets, flat)], names=[*names, "x"])
 
 
-def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, x)`` for every row of ``docs``."""
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return source.mapInArrow(_vectors, "doc_id long, x array<double>")
+def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """``(doc_id, x)`` for every row of ``docs``, with the long ``key_col`` between them if there is one."""
+    key = [F.col(key_col)] if key_col else []
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), *key, F.col(text_col).alias("text"))
+    return source.mapInArrow(_vectors, f"doc_id long, {_key_type(key_col)}x array<double>")
+
+
+def _key_type(key_col: str | None) -> str:
+    return f"`{key_col}` long, " if key_col else ""
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -209,13 +215,16 @@ def _score(model):
         for batch in batches:
             x = _matrix(batch.column("x"))
             score = np.full(len(x), model) if isinstance(model, float) else model.score(x)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(score)], names=["doc_id", "score"])
+            names = [c for c in batch.schema.names if c != "x"]
+            yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(score)], names=[*names, "score"])
 
     return work
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, held_out, score, predicted)``, one row per input row.
+def quality_scores(
+    docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int = 1, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None
+) -> DataFrame:
+    """``(doc_id, held_out, score, predicted)``, one row per input row, and ``key_col``, a long, if there is one.
 
     ``labels(doc_id, quality)`` is learnt from rows whose CRC-32 of the id (as
     text) modulo ``folds`` is not ``fold``; ids without label, null labels and
@@ -224,9 +233,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, fold: int
     come from the text alone; empty and null texts have one too.  Without rows of
     both classes the score is the share of label 1, 0.5 without any.
     """
-    vectors = materialize(document_statistics(docs, id_col, text_col), "statistics")
+    vectors = materialize(document_statistics(docs, id_col, text_col, key_col), "statistics")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1)").distinct()
     labelled = vectors.where(~held_out("doc_id", folds, fold)).join(known, "doc_id").select("x", "label")
     model = fit(labelled)
-    scored = vectors.mapInArrow(_score(model), "doc_id long, score double")
-    return scored.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    scored = vectors.mapInArrow(_score(model), f"doc_id long, {_key_type(key_col)}score double")
+    key = [key_col] if key_col else []
+    return scored.select("doc_id", held_out("doc_id", folds, fold).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), *key)

@@ -208,3 +208,28 @@ def test_pipeline_stages_of_awkward_rows(spark, tmp_path):
         assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
     kept = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
     assert sorted((r["doc_id"] for r in kept), key=repr).count(9) <= 1
+
+
+def test_pipeline_rows_of_one_id_stand_by_their_own_text(spark, tmp_path):
+    """Rows without id, and of a repeated id, neither fall with another row nor stand for it."""
+    leak = tables.sentence(500, 30)
+    spark.createDataFrame([(1, leak)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = {i: tables.sentence(i, 60) for i in range(600, 606)}
+    rows = [(None, texts[600]), (None, texts[601] + " " + leak), (None, texts[602]), (None, texts[602]), (3, texts[603]), (3, texts[604]), (3, texts[604]), (3, texts[605] + " " + leak), (4, texts[600]), (None, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], tables.SCHEMA)
+    of = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=repr)
+    clean = corpus_pipeline.benchmark_decontamination(spark, docs, str(tmp_path))
+    assert of(clean) == sorted((r for r in rows if leak not in (r[1] or "")), key=repr)
+    want = [(4, texts[600]), *rows[1:3], *rows[4:6], rows[7], *rows[9:]]
+    assert of(corpus_pipeline.near_duplicates(spark, docs, str(tmp_path))) == sorted(want, key=repr)
+
+
+def test_pipeline_rejects_by_text(spark, tmp_path):
+    """Of rows without id those stay whose text is good."""
+    good, bad = [tables.sentence(i, 80) for i in range(40)], ["!!! ### " * (20 + i) for i in range(40)]
+    labelled = [(i, t) for i, t in enumerate(good + bad)]
+    spark.createDataFrame([(i, int(i < 40)) for i, _ in labelled], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [*labelled, *((None, t) for t in good[:3] + bad[:3])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], tables.SCHEMA)
+    kept = corpus_pipeline.quality_classifier(spark, docs, str(tmp_path)).where("doc_id is null").collect()
+    assert sorted(r["text"] for r in kept) == sorted(good[:3])
