@@ -71,11 +71,21 @@ def release(spark: SparkSession) -> None:
         remove_dir(spark, path)
 
 
-def materialize(df: DataFrame, purpose: str) -> DataFrame:
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that :func:`materialize` returned; for when what was made from them is written."""
+    for df in tables:
+        spark, path = df.sparkSession, getattr(df, "_written", None)
+        kept = _WRITTEN.get(spark.sparkContext.applicationId, [])
+        if path in kept:
+            kept.remove(path)
+            remove_dir(spark, path)
+
+
+def materialize(df: DataFrame, purpose: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: computed once, lineage cut, safe against lost executors.
 
-    Results read these tables when they run, so the folders stay until
-    :func:`release`.
+    ``by`` names columns whose values get a folder each.  Results read these tables
+    when they run, so the folders stay until :func:`discard` or :func:`release`.
     """
     spark = df.sparkSession
     path = shared_dir(spark, purpose)
@@ -83,10 +93,12 @@ def materialize(df: DataFrame, purpose: str) -> DataFrame:
     before = spark.conf.get(_DROP_SHUFFLES, None)
     spark.conf.set(_DROP_SHUFFLES, "true")
     try:
-        df.write.parquet(path)
+        df.write.parquet(path, partitionBy=list(by))
     finally:
         if before is None:
             spark.conf.unset(_DROP_SHUFFLES)
         else:
             spark.conf.set(_DROP_SHUFFLES, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out._written = path
+    return out
