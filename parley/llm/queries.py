@@ -5,7 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontamination, fixity, language, licences, mixing, quality, repetition, resharding, signature_trees, substring
+from parley.llm import (
+    decontamination,
+    fixity,
+    language,
+    licences,
+    mixing,
+    quality,
+    repetition,
+    resharding,
+    rotated_codes,
+    sharded_lloyd,
+    signature_trees,
+    substring,
+    whitening,
+)
 
 SHARDS = 8
 
@@ -70,7 +84,34 @@ def op10_repetition(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_mix, op2_jaccard, op3_substrings, op4_language, op5_licences, op6_reshard, op7_quality, op8_decontaminate, op9_fixity, op10_repetition)}
+def op11_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_near_vectors(spark, sf_dir):
+    return rotated_codes.near_duplicate_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_clusters(spark, sf_dir):
+    return sharded_lloyd.cluster(_table(spark, sf_dir, "embeddings"))
+
+
+_ALL = (
+    op1_mix,
+    op2_jaccard,
+    op3_substrings,
+    op4_language,
+    op5_licences,
+    op6_reshard,
+    op7_quality,
+    op8_decontaminate,
+    op9_fixity,
+    op10_repetition,
+    op11_whitening,
+    op12_near_vectors,
+    op13_clusters,
+)
+QUERIES = {f.__name__: f for f in _ALL}
 
 _GAPS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
