@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.tables import NO_ID, components, split_join
+from parley.llm.tables import NO_ID, components, spanning, split_join
 from parley.llm.vectors import by_length
 from parley.llm.words import groups
 from parley.session import discard, materialize
@@ -188,19 +188,6 @@ def _vectors(raw: list[bytes], length: int) -> np.ndarray:
     return units_of(out)[0]
 
 
-def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest place reachable from each of ``n`` places over links ``a - b``."""
-    label = np.arange(n)
-    while True:
-        low = np.minimum(label[a], label[b])
-        before = label.copy()
-        np.minimum.at(label, label[a], low)
-        np.minimum.at(label, label[b], low)
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def _met(threshold: float):
     """Link counts and stars of each bucket or pair of blocks."""
 

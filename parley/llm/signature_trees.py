@@ -7,8 +7,8 @@
    texts settles its own texts first: one that links with an earlier text, its
    leader, has the leader ask for its ranges, so that a range that a third of all
    texts has travels once per leader and slice.  What met under one smallest id is
-   compared by token bitmaps; texts connected by what may still link form a
-   cluster.  Leaders of two linked texts are at most three distances ``1 -
+   compared by token bitmaps, at the width that suits the smaller of two texts; texts
+   connected by what may still link form a cluster.  Leaders of two linked texts are at most three distances ``1 -
    threshold`` apart (a text and its leader, the two texts, a text and its leader),
    so bitmaps are held to that, and every pair over the threshold lies within one
    cluster.
@@ -17,8 +17,8 @@
    range of set sizes.  A dual traversal drops node pairs whose sizes are too
    far apart or whose greatest possible overlap is too small, and those whose
    leaves are linked already; what is left is compared exactly.
-3. A cluster over a size bound is cut into blocks by size class; pairs of blocks
-   whose sizes fit are trees of their own tasks.
+3. A root group or a cluster over a size bound is cut into blocks by size class; pairs
+   of blocks whose sizes fit are trees of their own tasks.
 """
 
 from __future__ import annotations
@@ -30,18 +30,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.tables import NO_ID, components, split_join
+from parley.llm.tables import NO_ID, components, spanning, split_join
 from parley.llm.words import groups, mix, same_as_before, slices, whole_keys, windows, words_of
-from parley.session import materialize
+from parley.session import discard, materialize
 
 #: Shingles of one block of a cluster, 8 bytes each.
 BLOCK_SHINGLES = 500_000
 FANOUT = 8
 
-_EDGE, _ASK, _SIZE = 0, 1, 2
+#: Documents of one block of a root group.
+GROUP_BLOCK = 4096
+
+_EDGE, _ASK, _SIZE, _SHARED = 0, 1, 2, 3
 _ROWS = "kind byte, key long, doc long, other long, bits binary"
-#: Members of a root group that is compared; a larger one stays together as it is.
-GROUP_DOCS = 20_000
+_MET = "kind byte, key long, doc long, other long, mark long, holders long, bits binary"
 #: Leaders a text is compared with in its slice, and leaders kept per range; a text that finds none of its own asks for itself.
 _TRIED, _LED = 3, 4
 
@@ -63,30 +65,35 @@ def shingle_sets(texts: pa.Array, width: int) -> list[np.ndarray]:
 
 
 def range_plan(size_class: int, num: int, den: int) -> tuple[int, int]:
-    """Ranges, and empty ranges that need no key, for sets whose smaller one has ``2**size_class`` to twice as many shingles.
+    """Ranges, and how many of them need no key, for sets whose smaller one has ``2**size_class`` to twice as many shingles.
 
     Sets a, b with ``den * |a & b| >= num * |a | b|`` differ in at most
-    ``|a| * (den - num) / num`` shingles.  With so many more ranges, ``spare + 1``
-    of them are equal in both, of which a set with at most ``spare`` empty ranges
-    has one that is not empty.  0 ranges: only equal sets can link.
+    ``|a| * (den - num) / num`` shingles.  With so many more ranges, ``spare + 1`` of
+    them are equal in both: a set may do without keys for ``spare`` of them, the empty
+    ones first, then the most common ones.  0 ranges: only equal sets can link.
     """
     most = ((2 << size_class) - 1) * (den - num) // num
     if not most:
         return 0, 0
-    spare = most // 20 + 3
+    spare = most // 20 + 3 + 4 + most // 6
     return most + 1 + spare, spare
 
 
-def root_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Keys under which a set can meet all sets it may link with."""
+def marked_keys(shingles: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys under which a set can meet all sets it may link with, and a mark for each.
+
+    A mark is ``4 * n + kind``: of the keys of its kind the set can do without the
+    ``n`` most common ones.
+    """
     n = len(shingles)
     if not n:
-        return np.zeros(0, dtype=np.uint64)
+        return np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
     own = n.bit_length() - 1
     scrambled = mix(shingles, 47)
     running = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(scrambled, out=running[1:])
     keys = [mix(running[-1:] + np.uint64(n), 53)]  # equal sets
+    marks = [2]
     for size_class in (own - 1, own):
         if size_class < 0 or size_class < own and ((1 << own) - 1) * den < n * num:
             continue
@@ -99,13 +106,38 @@ def root_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
         inside = running[cut[1:]] - running[cut[:-1]]
         key = mix(inside + mix(np.arange(ranges, dtype=np.uint64), 1000 + size_class), 59)
         filled = cut[1:] > cut[:-1]
-        keys.append(key if ranges - filled.sum() > spare else key[filled])
-    return np.concatenate(keys)
+        empty = int(ranges - filled.sum())
+        keys.append(key if empty > spare else key[filled])
+        marks.append(4 * (0 if empty > spare else spare - empty) + size_class % 2)
+    return np.concatenate(keys), np.repeat(np.array(marks), [len(k) for k in keys])
+
+
+def root_keys(shingles: np.ndarray, num: int, den: int) -> np.ndarray:
+    """The keys of :func:`marked_keys`."""
+    return marked_keys(shingles, num, den)[0]
+
+
+def less_common(table: pa.Table) -> pa.RecordBatch:
+    """Links of each document to the smallest holder of the keys it keeps, from all its shared keys.
+
+    In the order by holders, then by key, a document leaves out as many of the first keys
+    of a kind as the least of its marks says.  Of the keys that two linked sets share,
+    which are more than either leaves out, the last one is kept by both.
+    """
+    key, doc, other, mark, holders = (table.column(c).to_numpy() for c in ("key", "doc", "other", "mark", "holders"))
+    order = np.lexsort((key, -holders, mark & 3, doc))
+    doc, other, mark = doc[order], other[order], mark[order]
+    start = np.flatnonzero(~same_as_before(doc, mark & 3))
+    size = np.diff(np.append(start, len(doc)))
+    rank = np.arange(len(doc)) - np.repeat(start, size)
+    kept = rank >= np.repeat(np.minimum.reduceat(mark >> 2, start), size)
+    a, b = _edges(doc[kept], other[kept])
+    return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["doc", "root"])
 
 
 def bitmap(shingles: np.ndarray, bits: int | None = None) -> np.ndarray:
-    """Token bitmap of a set, with two to four bits per shingle unless ``bits``, a power of two, is given."""
-    bits = bits or 2 << int(np.clip(len(shingles), 64, 1 << 12) - 1).bit_length()
+    """Token bitmap of a set, with four to eight bits per shingle unless ``bits``, a power of two, is given."""
+    bits = bits or 4 << int(np.clip(len(shingles), 64, 1 << 13) - 1).bit_length()
     out = np.zeros(bits // 64, dtype=np.uint64)
     at = (shingles % np.uint64(bits)).astype(np.int64)
     np.bitwise_or.at(out, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
@@ -124,14 +156,13 @@ def _batch(kind: int, key, doc, other, bits=None) -> pa.RecordBatch:
     )
 
 
-def _star(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows sorted by key and id, without repeats, and the smallest id of each row's key."""
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+def _star(key: np.ndarray, doc: np.ndarray, mark: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows sorted by key and id, without repeats (the least mark stays), and where each key starts."""
+    order = np.lexsort((mark, doc, key))
+    key, doc, mark = key[order], doc[order], mark[order]
     fresh = ~same_as_before(key, doc)
-    key, doc = key[fresh], doc[fresh]
-    start = np.flatnonzero(~same_as_before(key))
-    return key, doc, np.repeat(doc[start], np.diff(np.append(start, len(key)))) if len(key) else doc
+    key, doc, mark = key[fresh], doc[fresh], mark[fresh]
+    return key, doc, mark, np.flatnonzero(~same_as_before(key))
 
 
 def _edges(doc: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -190,42 +221,82 @@ def _ask(width: int, num: int, den: int):
             sets = shingle_sets(batch.column("text"), width)
             sizes = np.array([len(s) for s in sets], dtype=np.int64)
             yield _batch(_SIZE, ids.astype(np.uint64), ids, sizes, [bitmap(x).tobytes() if len(x) else None for x in sets])
-            roots = [root_keys(s, num, den) for s in sets]
+            marked = [marked_keys(s, num, den) for s in sets]
+            roots = [k for k, _ in marked]
             asking = ids[leaders_of(ids, sets, roots, num, den)]
             a, b = _edges(ids, asking)
             if len(a):
                 yield _batch(_EDGE, a.astype(np.uint64), a, b)
             key = np.concatenate([*roots, np.zeros(0, dtype=np.uint64)])
-            key, doc, _ = _star(key, np.repeat(asking, [len(r) for r in roots]))
+            mark = np.concatenate([*(m for _, m in marked), np.zeros(0, dtype=np.int64)])
+            key, doc, mark, _ = _star(key, np.repeat(asking, [len(r) for r in roots]), mark)
             order = np.argsort(doc, kind="stable")  # rows of one document side by side compress best
-            yield _batch(_ASK, key[order], doc[order], np.zeros(len(doc), dtype=np.int64))
+            yield _batch(_ASK, key[order], doc[order], mark[order])
 
     return work
 
 
 def _meet(table: pa.Table) -> pa.RecordBatch:
+    """Rows of keys that several documents ask for: the smallest of these, and how many they are; other rows as they are."""
     kind = table.column("kind").to_numpy()
     asked = kind == _ASK
-    a, b = _edges(*_star(*(table.column(c).to_numpy()[asked] for c in ("key", "doc")))[1:])
-    met = pa.RecordBatch.from_arrays([pa.array(np.full(len(a), _EDGE, dtype=np.int8)), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=["kind", "doc", "other", "bits"])
-    passed = table.filter(pa.array(~asked)).select(["kind", "doc", "other", "bits"])
-    return pa.concat_tables([passed, pa.Table.from_batches([met])]).combine_chunks().to_batches()[0] if len(passed) or len(a) else met
+    key, doc, mark, start = _star(*(table.column(c).to_numpy()[asked] for c in ("key", "doc", "other")))
+    size = np.diff(np.append(start, len(key)))
+    least, holders = np.repeat(doc[start], size), np.repeat(size, size)
+    far = doc != least
+    n = int(far.sum())
+    names = ["kind", "key", "doc", "other", "mark", "holders", "bits"]
+    shared = pa.table([pa.array(np.full(n, _SHARED, dtype=np.int8)), pa.array(key[far]), pa.array(doc[far]), pa.array(least[far]), pa.array(mark[far]), pa.array(holders[far]), pa.nulls(n, pa.binary())], names=names)
+    passed = table.filter(pa.array(~asked))
+    none = pa.nulls(len(passed), pa.int64())
+    passed = pa.table([passed.column("kind"), none, passed.column("doc"), passed.column("other"), none, none, passed.column("bits")], names=names)
+    out = pa.concat_tables([passed, shared]).combine_chunks()
+    return out.to_batches()[0] if len(out) else pa.RecordBatch.from_arrays([c.combine_chunks() for c in out.columns], names=names)
 
 
 def _compatible(num: int, den: int):
-    """Of the documents of a root group, links that connect whatever could reach ``num / den`` by its bitmap and size."""
+    """Of the documents of a root group, or of two of its blocks, links that connect whatever could reach ``num / den`` by its bitmap and size."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, ["root"]):
+        for table in groups(batches, ["cluster", "low", "high"]):
+            if table.num_rows < 2:
+                continue
             table = table.combine_chunks()
-            docs, n = table.column("doc").to_numpy(), table.column("n").to_numpy()
-            maps = [np.frombuffer(b, dtype=np.uint64) for b in table.column("bits").to_pylist()]
-            words = min(map(len, maps))
-            maps = np.stack([folded(m, words) for m in maps])
-            order = np.lexsort((docs, n))
-            links = connecting(Tree(maps[order], n[order]), None, num, den, lambda a, b: True)
-            if links:
-                yield _stars([(docs[order[a]], docs[order[b]]) for a, b in links])
+            docs, n, block = (table.column(c).to_numpy() for c in ("doc", "n", "block"))
+            low, high = table.column("low")[0].as_py(), table.column("high")[0].as_py()
+            raw = table.column("bits").to_pylist()
+            width = np.array([len(b) // 8 for b in raw])
+            found = [np.zeros((2, 0), dtype=np.int64)]
+            widths = np.unique(width).tolist()
+
+            def members(words: int, side: int | None) -> np.ndarray:
+                own = np.flatnonzero((width == words) & ((block == side) if side is not None else True))
+                return own[np.lexsort((docs[own], n[own]))]
+
+            def tree(own: np.ndarray, words: int) -> Tree:
+                return Tree(np.stack([folded(np.frombuffer(raw[i], dtype=np.uint64), words) for i in own]), n[own])
+
+            def meet(left: np.ndarray, right: np.ndarray | None, words: int) -> None:
+                if len(left) and (right is None or len(right)):
+                    links = connecting(tree(left, words), None if right is None else tree(right, words), num, den)
+                    ends = left if right is None else np.concatenate([left, right])
+                    found.append(ends[links])
+
+            for i, words in enumerate(widths):
+                if low == high:
+                    meet(members(words, None), None, words)
+                for wider in widths[i:]:
+                    if low != high:
+                        meet(members(words, low), members(wider, high), words)
+                    if wider != words:
+                        meet(members(words, None if low == high else high), members(wider, None if low == high else low), words)
+            links = np.concatenate(found, axis=1)
+            if links.shape[1]:
+                root = spanning(*links, len(docs))
+                least = np.full(len(docs), np.iinfo(np.int64).max)
+                np.minimum.at(least, root, docs)
+                far = np.flatnonzero(docs != least[root])
+                yield pa.RecordBatch.from_arrays([pa.array(docs[far]), pa.array(least[root][far])], names=["a", "b"])
 
     return work
 
@@ -261,15 +332,14 @@ class Tree:
 
 
 class _Forest:
-    """Which leaves are linked already."""
+    """Which labels are linked already."""
 
-    def __init__(self, n: int):
-        self.parent = list(range(n))
+    def __init__(self):
+        self.parent: dict[int, int] = {}
 
     def find(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = self.parent[self.parent[i]]
-            i = self.parent[i]
+        while (above := self.parent.get(i, i)) != i:
+            i = above
         return i
 
 
@@ -277,11 +347,8 @@ def _stars(links: list[tuple[int, int]]) -> pa.RecordBatch:
     """The same components as links from every id to the smallest one."""
     ids = sorted({i for link in links for i in link})
     place = {i: k for k, i in enumerate(ids)}
-    forest = _Forest(len(ids))
-    for a, b in links:
-        x, y = forest.find(place[a]), forest.find(place[b])
-        forest.parent[max(x, y)] = min(x, y)
-    pairs = [(i, ids[forest.find(k)]) for k, i in enumerate(ids)]
+    ends = np.array([(place[a], place[b]) for a, b in links], dtype=np.int64)
+    pairs = [(i, ids[r]) for i, r in zip(ids, spanning(ends[:, 0], ends[:, 1], len(ids)).tolist())]
     far, near = zip(*[p for p in pairs if p[0] != p[1]] or [(ids[0], ids[0])])
     return pa.RecordBatch.from_arrays([pa.array(far, pa.int64()), pa.array(near, pa.int64())], names=["a", "b"])
 
@@ -308,7 +375,7 @@ def _overlap(a: np.ndarray, b: np.ndarray) -> int:
     return int((b[np.minimum(at, len(b) - 1)] == a).sum())
 
 
-def tree_links(sets: list[np.ndarray], split: int, num: int, den: int) -> list[tuple[int, int]]:
+def tree_links(sets: list[np.ndarray], split: int, num: int, den: int) -> np.ndarray:
     """Links that connect whatever pairs over the threshold connect.
 
     ``split`` 0 joins all sets with each other, otherwise those before ``split``
@@ -325,16 +392,15 @@ def tree_links(sets: list[np.ndarray], split: int, num: int, den: int) -> list[t
     return connecting(Tree(maps, sizes), None, num, den, over)
 
 
-def connecting(left: Tree, right: Tree | None, num: int, den: int, over: Callable[[int, int], bool]) -> list[tuple[int, int]]:
-    """Pairs of leaves for which ``over`` holds, enough to connect all that such pairs connect, by dual traversal.
+def connecting(left: Tree, right: Tree | None, num: int, den: int, over: Callable[[int, int], bool] | None = None) -> np.ndarray:
+    """Pairs of leaves for which ``over`` holds (without it: all that may link), enough to connect all that such pairs connect, by dual traversal.
 
     Leaves of ``right`` count on from those of ``left``; without it ``left`` meets
     itself.
     """
     split = len(left) if right else 0
     right = right or left
-    forest = _Forest(split + len(right))
-    links: list[tuple[int, int]] = []
+    links = [np.zeros((2, 0), dtype=np.int64)]
     labels = np.arange(split + len(right))
     stack = [(len(left.levels) - 1, len(right.levels) - 1, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
     while stack:
@@ -361,15 +427,24 @@ def connecting(left: Tree, right: Tree | None, num: int, den: int, over: Callabl
         if i or j:
             stack.append((i, j, x, y))
             continue
-        for a, b in zip(x.tolist(), (y + split).tolist()):
-            ra, rb = forest.find(a), forest.find(b)
-            if ra == rb:
-                continue
-            if over(a, b):
-                forest.parent[max(ra, rb)] = min(ra, rb)
-                links.append((a, b))
-        labels = np.array([forest.find(k) for k in range(len(labels))])
-    return links
+        made = _linked(x, y + split, labels, over)
+        if made.shape[1]:
+            links.append(made)
+            labels = spanning(*labels[made], len(labels))[labels]
+    return np.concatenate(links, axis=1)
+
+
+def _linked(x: np.ndarray, y: np.ndarray, labels: np.ndarray, over: Callable[[int, int], bool] | None) -> np.ndarray:
+    """Those of the pairs for which ``over`` holds, without such as these and ``labels`` connect already."""
+    if over is None:
+        return np.stack([x, y])
+    forest, made = _Forest(), []
+    for a, b, ra, rb in zip(x.tolist(), y.tolist(), labels[x].tolist(), labels[y].tolist()):
+        ra, rb = forest.find(ra), forest.find(rb)
+        if ra != rb and over(a, b):
+            forest.parent[max(ra, rb)] = min(ra, rb)
+            made.append((a, b))
+    return np.array(made, dtype=np.int64).reshape(-1, 2).T
 
 
 def _children(x: np.ndarray, y: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -396,7 +471,7 @@ def _join(num: int, den: int):
             order = sorted(sets, key=lambda k: (blocks[k] != low, sets[k][0], len(sets[k]), docs[k]))
             split = sum(blocks[k] == low for k in order) if low != high else 0
             met = 0 < split < len(order) if low != high else len(order) > 1
-            links = tree_links([sets[k] for k in order], split, num, den) if met else []
+            links = tree_links([sets[k] for k in order], split, num, den).T.tolist() if met else []
             ends = [(docs[order[a]], docs[order[b]]) for a, b in links] + (equal if low == high else [])
             if ends:
                 yield _stars(ends)
@@ -404,18 +479,18 @@ def _join(num: int, den: int):
     return work
 
 
-def _blocked(members: DataFrame, num: int, den: int, block_shingles: int) -> DataFrame:
-    """Add ``block``, ``low`` and ``high``: the pairs of blocks a document takes part in."""
+def _blocked(members: DataFrame, num: int, den: int, most: int, weight: str = "n") -> DataFrame:
+    """Add ``block``, ``low`` and ``high``: the pairs of blocks, of about ``most`` by ``weight``, that a document takes part in."""
     width = float(np.log(den / num)) * 1.0001  # so that rounding keeps sizes that fit in neighbouring bands
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("long"))
-    per_band = banded.groupBy("cluster", "band").agg(F.sum("n").alias("weight"))
+    per_band = banded.groupBy("cluster", "band").agg(F.sum(F.expr(weight)).alias("weight"))
     total = per_band.groupBy("cluster").agg(F.sum("weight").alias("total"))
     near = per_band.select("cluster", (F.col("band") - 1).alias("band"), F.col("weight").alias("next"))
     before = per_band.select("cluster", (F.col("band") + 1).alias("band"), F.col("weight").alias("last"))
     plan = per_band.join(near, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left").join(total, "cluster")
-    count = lambda c: F.coalesce(F.ceil(F.col(c) / block_shingles), F.lit(0)).cast("long")
+    count = lambda c: F.coalesce(F.ceil(F.col(c) / most), F.lit(0)).cast("long")
     plan = plan.select("cluster", "band", "total", count("weight").alias("here"), count("next").alias("above"), count("last").alias("below"))
-    one = F.col("total") <= block_shingles
+    one = F.col("total") <= most
     #: a block is band * 2**20 + its number within the band
     name = lambda band, k: band * (1 << 20) + k
     own = name(F.col("band"), F.pmod(F.xxhash64("doc"), F.col("here")))
@@ -426,7 +501,7 @@ def _blocked(members: DataFrame, num: int, den: int, block_shingles: int) -> Dat
     zero = F.lit(0).cast("long")
     planned = split_join(banded, plan, ["cluster", "band"]).withColumn("block", F.when(one, zero).otherwise(own))
     met = planned.withColumn("other", F.explode(F.when(one, F.array(zero)).otherwise(others)))
-    return met.select("cluster", "doc", "n", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return met.select(*members.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
 
 
 def near_duplicates(
@@ -447,12 +522,15 @@ def near_duplicates(
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.col(text_col).alias("text"))
     asked = source.mapInArrow(_ask(width, num, den), _ROWS)
     dealt = asked.repartition(F.when(F.col("kind") == _ASK, F.xxhash64("key")).otherwise(F.xxhash64("doc", "other"))).sortWithinPartitions("key")
-    met = materialize(dealt.mapInArrow(lambda b: whole_keys(b, "key", _meet), "kind byte, doc long, other long, bits binary"), "roots")
-    clusters = components(_root_links(met, num, den), "clusters")
+    met = materialize(dealt.mapInArrow(lambda b: whole_keys(b, "key", _meet), _MET), "roots", by=("kind",))
+    pairs = materialize(_root_links(met, num, den), "pairs")
+    clusters = components(pairs, "clusters")
     clusters = materialize(clusters.select(F.col("id").alias("doc"), F.col("component").alias("cluster")), "clusters")
-    sizes = met.where(F.col("kind") == _SIZE).select("doc", F.col("other").alias("n_shingles"))
+    sizes = materialize(met.where(F.col("kind") == _SIZE).select("doc", F.col("other").alias("n_shingles")), "sizes")
+    discard(met, pairs)
     leaders = materialize(_leaders(source, clusters), "leaders")
     links = materialize(_cluster_links(source, clusters, leaders, sizes, width, num, den, block_shingles), "links")
+    discard(clusters)
     least = materialize(leaders.groupBy("doc").agg(F.min("leader").alias("least")), "least")
     same_id = leaders.join(least, "doc").where("leader <> least").select(F.col("leader").alias("a"), F.col("least").alias("b"))
     found = components(links.union(same_id), "links").select(F.col("id").alias("leader"), "component")
@@ -477,23 +555,23 @@ def _leaders(source: DataFrame, clusters: DataFrame) -> DataFrame:
 def _root_links(met: DataFrame, num: int, den: int) -> DataFrame:
     """Links within root groups, a group being all that met under the same smallest id.
 
-    Groups up to ``GROUP_DOCS`` are compared by their bitmaps, so that texts which
-    share a passage and little else do not end in one cluster.  They are held to
+    Members are compared by their bitmaps, so that texts which share a passage and
+    little else do not end in one cluster, a large group in blocks.  They are held to
     three times the distance of a link, as leaders stand for texts that link with
-    them; where that excludes nothing, and in a larger group, all links to the
-    smallest id are kept, which connect no less.
+    them; where that excludes nothing, all links to the smallest id are kept.
     """
     num = 3 * num - 2 * den
-    stars = materialize(met.where(F.col("kind") == _EDGE).select("doc", F.col("other").alias("root")).distinct(), "stars")
+    shared = met.where(F.col("kind") == _SHARED).select("key", "doc", "other", "mark", "holders").repartition("doc").sortWithinPartitions("doc")
+    kept = shared.mapInArrow(lambda b: whole_keys(b, "doc", less_common), "doc long, root long")
+    stars = materialize(met.where(F.col("kind") == _EDGE).select("doc", F.col("other").alias("root")).union(kept).distinct(), "stars")
     if num <= 0:
         return stars.select(F.col("doc").alias("a"), F.col("root").alias("b"))
-    sizes = stars.groupBy("root").agg(F.count(F.lit(1)).alias("c"))
-    small = split_join(stars, sizes.where(F.col("c") < GROUP_DOCS).select("root"), ["root"])
-    large = split_join(stars, sizes.where(F.col("c") >= GROUP_DOCS).select("root"), ["root"]).select(F.col("doc").alias("a"), F.col("root").alias("b"))
-    members = small.select("root", "doc").union(small.select("root", F.col("root").alias("doc")).distinct())
+    members = stars.union(stars.select(F.col("root").alias("doc"), "root").distinct()).withColumnRenamed("root", "cluster")
     described = met.where((F.col("kind") == _SIZE) & (F.col("other") > 0)).select("doc", F.col("other").alias("n"), "bits").distinct()
-    dealt = members.join(described, "doc").select("root", "doc", "n", "bits").repartition("root").sortWithinPartitions("root")
-    return dealt.mapInArrow(_compatible(num, den), "a long, b long").union(large)
+    planned = _blocked(members.join(described.select("doc", "n"), "doc").select("cluster", "doc", "n"), num, den, GROUP_BLOCK, "1")
+    dealt = materialize(planned, "groups").join(described.select("doc", F.col("n").alias("m"), "bits"), "doc").where("n = m").drop("m")
+    dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    return dealt.mapInArrow(_compatible(num, den), "a long, b long")
 
 
 def _cluster_links(source, clusters, leaders, sizes, width, num, den, block_shingles) -> DataFrame:

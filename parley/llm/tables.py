@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.session import materialize
+from parley.session import discard, materialize
 
 #: Stands for a null id: after all others.
 NO_ID = 2**63 - 1
@@ -25,6 +26,19 @@ def split_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "i
     return own_exchange(left, keys).join(own_exchange(right, keys), [*keys, "_route"], how).drop("_route")
 
 
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest place reachable from each of ``n`` places over links ``a - b``, for use inside tasks."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[a], label[b])
+        before = label.copy()
+        np.minimum.at(label, before[a], low)
+        np.minimum.at(label, before[b], low)
+        label = label[label]
+        if (label == before).all():
+            return label
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """``(id, component)`` for the ends of ``edges(a, b)``: the smallest id reachable.
 
@@ -36,7 +50,8 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     links = materialize(links, purpose)
     while not _all_stars(links):
-        links = materialize(_small_star(_large_star(links)), purpose)
+        last, links = links, materialize(_small_star(_large_star(links)), purpose)
+        discard(last)
     roots = links.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
 

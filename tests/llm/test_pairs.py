@@ -154,8 +154,8 @@ def test_bitmaps_fold_to_those_of_fewer_bits():
 
 
 def test_large_root_groups_keep_their_links(spark, monkeypatch):
-    """Root groups that are not compared by bitmaps give the same components."""
-    monkeypatch.setattr(signature_trees, "GROUP_DOCS", 3)
+    """Root groups cut into blocks of bitmaps give the same components."""
+    monkeypatch.setattr(signature_trees, "GROUP_BLOCK", 3)
     rows = near_copies(30, 60, 6, 4) + tables.awkward()
     assert found(signature_trees.near_duplicates(tables.frame(spark, rows), 3, 80, 100)) == linked([r[:2] for r in rows], 3, 80, 100)
 
@@ -182,13 +182,19 @@ def clustered(parts, num, den):
         batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in part], pa.int64()), pa.array([t for _, t in part])], names=["doc", "text"])
         rows += signature_trees._ask(1, num, den)(iter([batch]))
     asked = pa.Table.from_batches(rows).sort_by("key")
-    met = signature_trees._meet(asked).to_pylist()
-    described = {r["doc"]: (r["other"], r["bits"]) for r in met if r["kind"] == signature_trees._SIZE}
-    groups = {}
-    for r in met:
-        if r["kind"] == signature_trees._EDGE:
-            groups.setdefault(r["other"], {r["other"]}).add(r["doc"])
-    members = pa.Table.from_pylist([{"root": g, "doc": d, "n": described[d][0], "bits": described[d][1]} for g, docs in sorted(groups.items()) for d in sorted(docs)])
+    met = pa.Table.from_batches([signature_trees._meet(asked)])
+    kept = signature_trees.less_common(met.filter(pa.array(met.column("kind").to_numpy() == signature_trees._SHARED)).sort_by("doc")).to_pylist()
+    described, groups = {}, {}
+    for r in met.to_pylist():
+        if r["kind"] == signature_trees._SIZE:
+            described[r["doc"]] = (r["other"], r["bits"])
+        elif r["kind"] == signature_trees._EDGE:
+            kept.append({"doc": r["doc"], "root": r["other"]})
+    for r in kept:
+        groups.setdefault(r["root"], {r["root"]}).add(r["doc"])
+    members = pa.Table.from_pylist(
+        [{"cluster": g, "doc": d, "n": described[d][0], "bits": described[d][1], "low": 0, "high": 0, "block": 0} for g, docs in sorted(groups.items()) for d in sorted(docs)]
+    )
     root = {i: i for part in parts for i, _ in part}
 
     def find(i):
@@ -236,3 +242,35 @@ def test_links_among_texts_with_boilerplate_over_many_slices(spark, num, den):
             rows.append((rng.randrange(1 << 40), " ".join(copy), None, "s", 0))
     docs = tables.frame(spark, rows).repartition(64)
     assert found(signature_trees.near_duplicates(docs, 1, num, den)) == linked([r[:2] for r in rows], 1, num, den)
+
+
+def test_common_passages_do_not_connect_texts(spark):
+    """Texts of mixed lengths with passages that most of them hold: links are kept, and no cluster outgrows its family."""
+    rng = random.Random(5)
+    passages = [[f"p{k}x{i}" for i in range(50)] for k in range(4)]
+    rows = []
+    for family in range(120):
+        body = [f"q{family}x{i}" for i in range(rng.choice([150, 300, 800]))]
+        for k in rng.sample(range(4), rng.randrange(1, 3)):
+            at = rng.randrange(len(body))
+            body[at:at] = passages[k]
+        for _ in range(rng.choice([1, 1, 3])):
+            copy = [f"e{rng.randrange(10**6)}" if rng.random() < 0.02 else w for w in body]
+            rows.append((rng.randrange(1 << 40), " ".join(copy), None, "s", 0))
+    docs = tables.frame(spark, rows).repartition(48)
+    assert found(signature_trees.near_duplicates(docs, 3, 80, 100)) == linked([r[:2] for r in rows], 3, 80, 100)
+    assert largest_cluster(spark, docs, 3, 80, 100) <= 12
+
+
+def largest_cluster(spark, docs, width, num, den):
+    source = docs.selectExpr("doc_id as doc", "text")
+    asked = source.mapInArrow(signature_trees._ask(width, num, den), signature_trees._ROWS).repartition(1).sortWithinPartitions("key")
+    met = asked.mapInArrow(lambda b: signature_trees.whole_keys(b, "key", signature_trees._meet), signature_trees._MET)
+    clusters = op_tables.components(signature_trees._root_links(met, num, den))
+    return clusters.groupBy("component").count().agg({"count": "max"}).first()[0]
+
+
+def test_clusters_of_documents_stay_small(spark):
+    """10,000 documents of very mixed lengths: what bitmaps leave together is little more than the true families."""
+    docs = tables.documents(spark, "/root/testdata/sf0.1")
+    assert largest_cluster(spark, docs, 5, 8, 10) < 100
