@@ -481,16 +481,23 @@ def _join(num: int, den: int):
 
 def _blocked(members: DataFrame, num: int, den: int, most: int, weight: str = "n") -> DataFrame:
     """Add ``block``, ``low`` and ``high``: the pairs of blocks, of about ``most`` by ``weight``, that a document takes part in."""
+    sums = members.groupBy("cluster").agg(F.sum(F.expr(weight)).alias("total"))
+    large = materialize(sums.where(F.col("total") > most).select("cluster"), "large")
+    whole = members
+    for name in ("block", "low", "high"):
+        whole = whole.withColumn(name, F.lit(0).cast("long"))
+    if large.isEmpty():
+        return whole
+    whole = whole.join(large, "cluster", "left_anti")
+    members = split_join(members, large, ["cluster"])
     width = float(np.log(den / num)) * 1.0001  # so that rounding keeps sizes that fit in neighbouring bands
     banded = members.withColumn("band", F.floor(F.log(F.col("n").cast("double")) / width).cast("long"))
     per_band = banded.groupBy("cluster", "band").agg(F.sum(F.expr(weight)).alias("weight"))
-    total = per_band.groupBy("cluster").agg(F.sum("weight").alias("total"))
     near = per_band.select("cluster", (F.col("band") - 1).alias("band"), F.col("weight").alias("next"))
     before = per_band.select("cluster", (F.col("band") + 1).alias("band"), F.col("weight").alias("last"))
-    plan = per_band.join(near, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left").join(total, "cluster")
+    plan = per_band.join(near, ["cluster", "band"], "left").join(before, ["cluster", "band"], "left")
     count = lambda c: F.coalesce(F.ceil(F.col(c) / most), F.lit(0)).cast("long")
-    plan = plan.select("cluster", "band", "total", count("weight").alias("here"), count("next").alias("above"), count("last").alias("below"))
-    one = F.col("total") <= most
+    plan = plan.select("cluster", "band", count("weight").alias("here"), count("next").alias("above"), count("last").alias("below"))
     #: a block is band * 2**20 + its number within the band
     name = lambda band, k: band * (1 << 20) + k
     own = name(F.col("band"), F.pmod(F.xxhash64("doc"), F.col("here")))
@@ -498,10 +505,10 @@ def _blocked(members: DataFrame, num: int, den: int, most: int, weight: str = "n
     others = F.concat(
         numbers(F.col("here"), F.col("band")), numbers(F.col("above"), F.col("band") + 1), numbers(F.col("below"), F.col("band") - 1)
     )
-    zero = F.lit(0).cast("long")
-    planned = split_join(banded, plan, ["cluster", "band"]).withColumn("block", F.when(one, zero).otherwise(own))
-    met = planned.withColumn("other", F.explode(F.when(one, F.array(zero)).otherwise(others)))
-    return met.select(*members.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    planned = split_join(banded, plan, ["cluster", "band"]).withColumn("block", own)
+    met = planned.withColumn("other", F.explode(others))
+    cut = met.select(*members.columns, "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return whole.unionByName(cut)
 
 
 def near_duplicates(
@@ -568,9 +575,8 @@ def _root_links(met: DataFrame, num: int, den: int) -> DataFrame:
         return stars.select(F.col("doc").alias("a"), F.col("root").alias("b"))
     members = stars.union(stars.select(F.col("root").alias("doc"), "root").distinct()).withColumnRenamed("root", "cluster")
     described = met.where((F.col("kind") == _SIZE) & (F.col("other") > 0)).select("doc", F.col("other").alias("n"), "bits").distinct()
-    planned = _blocked(members.join(described.select("doc", "n"), "doc").select("cluster", "doc", "n"), num, den, GROUP_BLOCK, "1")
-    dealt = materialize(planned, "groups").join(described.select("doc", F.col("n").alias("m"), "bits"), "doc").where("n = m").drop("m")
-    dealt = dealt.repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
+    known = materialize(members.join(described, "doc").select("cluster", "doc", "n", "bits"), "groups")
+    dealt = _blocked(known, num, den, GROUP_BLOCK, "1").repartition("cluster", "low", "high").sortWithinPartitions("cluster", "low", "high")
     return dealt.mapInArrow(_compatible(num, den), "a long, b long")
 
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,18 +42,43 @@ def spanning(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             return label
 
 
+#: Links contracted at once inside a task, 16 bytes each.
+_CONTRACTED = 1 << 20
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links ``(a, b)``, b the smaller, that connect what the links of the task connect: a star for each set."""
+    held: list[np.ndarray] = []
+
+    def stars() -> pa.RecordBatch:
+        nodes, place = np.unique(np.concatenate(held, axis=1), return_inverse=True)
+        place = place.reshape(2, -1)
+        root = nodes[spanning(place[0], place[1], len(nodes))]
+        far = root != nodes
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(root[far])], names=["a", "b"])
+
+    for batch in batches:
+        held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+        if sum(h.shape[1] for h in held) > _CONTRACTED:
+            yield stars()
+    if held:
+        yield stars()
+
+
 def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
     """``(id, component)`` for the ends of ``edges(a, b)``: the smallest id reachable.
 
     Alternating star contraction: each step points the larger neighbours of every
-    node to its smallest one, then the smaller ones.  Every step combines before
+    node to its smallest one, then the smaller ones.  Tasks contract the links they
+    read before anything is shuffled.  Every step combines before
     its shuffle, is written to the shared folder, and its joins can be split, so
     that a node with very many links stays spread out.
     """
-    links = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    links = materialize(links, purpose)
+    contract = lambda df: df.mapInArrow(_contracted, "a long, b long")
+    links = materialize(contract(edges.select("a", "b")).distinct(), purpose)
     while not _all_stars(links):
-        last, links = links, materialize(_small_star(_large_star(links)), purpose)
+        last, links = links, materialize(_small_star(_large_star(contract(links))), purpose)
         discard(last)
     roots = links.select("b").distinct().select(F.col("b").alias("id"), F.col("b").alias("component"))
     return links.select(F.col("a").alias("id"), F.col("b").alias("component")).union(roots)
@@ -58,15 +86,15 @@ def components(edges: DataFrame, purpose: str = "components") -> DataFrame:
 
 def _all_stars(links: DataFrame) -> bool:
     """Whether every node has one link, to a node that has none: nothing is left to contract."""
-    ends = links.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", "n", F.lit(False).alias("root"))
-    roots = links.select(F.col("b").alias("a")).distinct().select("a", F.lit(1).cast("long").alias("n"), F.lit(True).alias("root"))
-    return ends.union(roots).groupBy("a").agg(F.sum("n").alias("n")).where("n > 1").isEmpty()
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("root")), F.struct(F.col("b").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("root"))))
+    nodes = links.select(ends.alias("e")).select("e.*").groupBy("node").agg(F.sum("out").alias("out"), F.max("root").alias("root"))
+    return nodes.where("out + root > 1").isEmpty()
 
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return split_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+    return split_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
 
 
 def _small_star(links: DataFrame) -> DataFrame:
