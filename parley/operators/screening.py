@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import net, text
 from parley.operators.groups import lookup
+from parley.session import materialize
 
 # Fixed values
 COLOR = "^#([0-9a-fA-F]{3}|[0-9a-fA-F]{6})$"
@@ -34,41 +35,59 @@ def ip_screen(requests: DataFrame, blocked_ips: DataFrame, request_id: str = "re
     return found.withColumn("ip_blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
 
-def with_country(requests: DataFrame, ranges: DataFrame) -> DataFrame:
+def _address_key(address: Column) -> Column:
+    """Family and bits of an address, which sort as addresses do within a family; NULL for anything else."""
+    return F.coalesce(_key4(net.ipv4_number(address)), F.concat(F.lit("6"), net.ipv6_key(address)))
+
+
+def _key4(number: Column) -> Column:
+    return F.concat(F.lit("4"), F.lpad(F.lower(F.hex(number)), 8, "0"))
+
+
+def last_start(points: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Add ``range`` to ``points(key, ...)``: of ``ranges(key, range)`` the one with the greatest key up to the point's, NULL before the first.
+
+    Points and starts are dealt out together by ranges of the key and written, so
+    that a stretch of keys is one partition whose last start is carried forward by
+    a window; what crosses a border comes from one row per partition.  The work
+    follows the rows, however many starts share a prefix.
+    """
+    spark = points.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    range_type = ranges.schema["range"].dataType
+    both = points.withColumn("kind", F.lit(1)).withColumn("range", F.lit(None).cast(range_type))
+    both = both.unionByName(ranges.select("key", F.lit(0).alias("kind"), "range"), allowMissingColumns=True)
+    laid = materialize(both.repartitionByRange(parts, "key").withColumn("stretch", F.spark_partition_id()), "stretches")
+    ends = laid.groupBy("stretch").agg(F.max_by(F.when(F.col("kind") == 0, F.col("range")), F.when(F.col("kind") == 0, F.col("key"))).alias("end"))
+    before = Window.orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)  # one row per partition
+    carried = ends.select("stretch", F.last("end", ignorenulls=True).over(before).alias("carried"))
+    upto = Window.partitionBy("stretch").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = laid.withColumn("last", F.last("range", ignorenulls=True).over(upto)).where("kind = 1")
+    return found.join(carried, "stretch").select(*points.columns, F.coalesce("last", "carried").alias("range"))
+
+
+def with_country(requests: DataFrame, ranges: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Add ``country_code`` by address range.
 
     ``ranges`` has ``ip_start`` and ``ip_end`` as 32-bit numbers for IPv4, or
     ``ip6_start`` and ``ip6_end`` as 32 hex digits for IPv6, and no overlaps.  Each
-    is listed under every 16-bit prefix it touches, so the join is an equi join on
-    family and prefix with the range test as a residual; a busy prefix is split by
-    AQE because both sides come straight from a shuffle.
+    distinct address is parsed once and finds the last range that starts at or
+    before it (:func:`last_start`), however dense the ranges of its prefix are.
     """
-    prefix6 = lambda c: F.conv(F.substring(c, 1, 4), 16, 10).cast("bigint")
-    as_key = lambda c: F.lpad(F.lower(F.hex(c)), 32, "0")
-    upto = lambda low, high: F.explode(F.sequence(low, high))
-    v4 = ranges.where("ip_start is not null").select(
-        upto(F.shiftright("ip_start", 16), F.shiftright("ip_end", 16)).alias("_block"), F.lit(4).alias("_family"),
-        as_key(F.col("ip_start")).alias("_low"), as_key(F.col("ip_end")).alias("_high"), "country_code",
-    )
-    blocks = v4
+    span = lambda high: F.struct(high.alias("high"), "country_code")
+    starts = ranges.where("ip_start is not null").select(_key4(F.col("ip_start")).alias("key"), span(_key4(F.col("ip_end"))).alias("range"))
     if "ip6_start" in ranges.columns:
-        v6 = ranges.where("ip6_start is not null").select(
-            upto(prefix6("ip6_start"), prefix6("ip6_end")).alias("_block"), F.lit(6).alias("_family"),
-            F.lower("ip6_start").alias("_low"), F.lower("ip6_end").alias("_high"), "country_code",
-        )
-        blocks = v4.unionByName(v6)
-    number, key6 = net.ipv4_number(F.col("client_ip")), net.ipv6_key(F.col("client_ip"))
-    numbered = requests.withColumn("_n", number).withColumn("_key", F.coalesce(as_key(F.col("_n")), key6))
-    numbered = numbered.withColumn("_family_of", F.when(F.col("_n").isNotNull(), 4).otherwise(6))
-    numbered = numbered.withColumn("_prefix", F.coalesce(F.shiftright("_n", 16), prefix6("_key")))
-    same = (F.col("_prefix") == F.col("_block")) & (F.col("_family_of") == F.col("_family")) & F.col("_key").between(F.col("_low"), F.col("_high"))
-    return numbered.join(blocks, same, "left").select(*[numbered[c] for c in requests.columns], "country_code")
+        key6 = lambda c: F.concat(F.lit("6"), F.lower(c))
+        starts = starts.union(ranges.where("ip6_start is not null").select(key6("ip6_start").alias("key"), span(key6("ip6_end")).alias("range")))
+    addresses = requests.select("client_ip").distinct().withColumn("key", _address_key(F.col("client_ip")))
+    found = last_start(addresses, starts).where("key <= range.high").select("client_ip", "range.country_code")
+    return lookup(requests, found, ["client_ip"], request_id)
 
 
 def country_screen(requests: DataFrame, ranges: DataFrame, blocked_countries: DataFrame, request_id: str = "request_id") -> DataFrame:
     """Add ``country_code`` and ``country_blocked`` for the request's tenant."""
     listed = blocked_countries.select("tenant_id", F.upper("country_code").alias("country_code")).distinct()
-    located = with_country(requests, ranges).withColumn("country_code", F.upper("country_code"))
+    located = with_country(requests, ranges, request_id).withColumn("country_code", F.upper("country_code"))
     found = lookup(located, listed.withColumn("_hit", F.lit(True)), ["tenant_id", "country_code"], request_id)
     return found.withColumn("country_blocked", F.coalesce("_hit", F.lit(False))).drop("_hit")
 
