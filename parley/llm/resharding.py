@@ -17,7 +17,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parley.session import materialize
+from parley.session import materialize, remove_dir
 
 #: Documents of one stretch of an old shard, ordered within one task.
 STRETCH_DOCS = 20_000
@@ -144,9 +144,14 @@ def rewrite_affected(located: DataFrame, path: str) -> None:
     """Write the shards that gain or lose documents to ``path/shard=N``, leaving the others as they are.
 
     ``located`` has the documents with ``old_shard`` and ``shard``.  Only shards
-    with a move are read and overwritten, each a folder of its own.
+    with a move are read and overwritten, each a folder of its own.  A shard that
+    loses all its documents loses its folder once the others are written; a run that
+    broke before may be repeated.
     """
     moved = located.where("old_shard <> shard")
     affected = moved.select(F.explode(F.array("old_shard", "shard")).alias("shard")).distinct()
     rows = located.join(affected, "shard", "left_semi")
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    emptied = affected.join(located.select("shard").distinct(), "shard", "left_anti").collect()  # a row per shard
+    for row in emptied:
+        remove_dir(located.sparkSession, f"{path.rstrip('/')}/shard={row['shard']}")

@@ -149,6 +149,21 @@ def test_rewrite_touches_affected_shards_only(spark, tmp_path):
     assert untouched and all(p.exists() and p.stat().st_mtime_ns == before[p] for p in untouched)
 
 
+def test_rewrite_to_fewer_shards_leaves_every_document_in_one(spark, tmp_path):
+    """Ten shards become eight: the folders of the last two go with their last document."""
+    docs = tables.documents(spark, SMALL)
+    path = str(tmp_path / "shards")
+    old = F.pmod(F.xxhash64("doc_id"), F.lit(10)).cast("int")
+    docs.withColumn("shard", old).withColumn("old_shard", old).write.partitionBy("shard").parquet(path)
+    located = docs.join(resharding.reshard(docs, 8, old).select("doc_id", "old_shard", "shard"), "doc_id")
+    for _ in range(2):  # a repeated run changes nothing
+        resharding.rewrite_affected(located, path)
+        after = spark.read.parquet(path).groupBy("doc_id").agg(F.count("*").alias("n"), F.max("shard").alias("shard")).collect()
+        assert len(after) == docs.count() and {r["n"] for r in after} == {1}
+        assert {r["shard"] for r in after} == set(range(8))
+        assert sorted(p.name for p in (tmp_path / "shards").glob("shard=*")) == [f"shard={i}" for i in range(8)]
+
+
 PAGES = "page_id long, url string, html string"
 
 
