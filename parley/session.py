@@ -99,6 +99,8 @@ def materialize(df: DataFrame, purpose: str, by: tuple[str, ...] = ()) -> DataFr
             spark.conf.unset(_DROP_SHUFFLES)
         else:
             spark.conf.set(_DROP_SHUFFLES, before)
-    out = spark.read.schema(df.schema).parquet(path).select(*df.columns)
+    out = spark.read.schema(df.schema).parquet(path)
+    if by:  # folder columns come last
+        out = out.select(*df.columns)
     out._written = path
     return out
