@@ -81,47 +81,54 @@ def _block_topk(k: int, floor: float | None):
     return cell
 
 
-def bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, floor: float | None = None, buckets: DataFrame | None = None) -> DataFrame:
-    """Exact cosine top ``k`` per query and source type within the query's tenant.
+def cell_topk(asked: DataFrame, points: DataFrame, asked_by: list[str], cell: list[str], k: int, floor: float | None = None, only: DataFrame | None = None) -> DataFrame:
+    """Exact cosine top ``k`` of every query in every cell it asks, not merged over cells.
 
-    ``queries``: query_id, tenant_id, qe.  ``vectors``: tenant_id, source_type,
-    vec_id, embedding; a point is known by the first three.  ``buckets``
-    (tenant_id, source_type) names the buckets to search, by default all.  Both
-    sides are cut into blocks by tenant (and source type); block counts follow the
-    group's size, so a tenant with a large part of all vectors becomes many cells
-    and no cell outgrows a task.  A cell emits ``k`` rows per query, never the
-    pairs.  Ties go to the lower vec_id.
+    ``points``: ``cell`` columns, vec_id, embedding.  ``asked``: ``asked_by`` columns
+    (some or all of ``cell``, tenant_id among them), query_id, qe.  ``only`` names the
+    cells to search.  Both sides of a cell are cut into blocks that follow its
+    size, so a large cell becomes many tasks and none outgrows one.
     """
-    bucket = ["tenant_id", "source_type"]
-    points = with_slice(vectors.select(*bucket, "vec_id", "embedding"), "vec_id")
-    asked = with_slice(queries.select("tenant_id", "query_id", "qe"), "query_id")
-    n_points = points.groupBy(*bucket).agg(F.count(F.lit(1)).alias("nv"), slice_mask())
-    if buckets is not None:
-        n_points = n_points.join(buckets.select(*bucket).distinct(), bucket, "left_semi")
-    n_asked = asked.groupBy("tenant_id").agg(F.count(F.lit(1)).alias("nq"), slice_mask())
+    types = {f.name: f.dataType.simpleString() for f in [*asked.schema, *points.schema]}
+    points, asked = with_slice(points.select(*cell, "vec_id", "embedding"), "vec_id"), with_slice(asked.select(*asked_by, "query_id", "qe"), "query_id")
+    n_points = points.groupBy(*cell).agg(F.count(F.lit(1)).alias("nv"), slice_mask())
+    if only is not None:
+        n_points = n_points.join(only.select(*cell).distinct(), cell, "left_semi")
+    n_asked = asked.groupBy(*asked_by).agg(F.count(F.lit(1)).alias("nq"), slice_mask())
     blocks = lambda n, size: F.ceil(F.col(n) / size).cast("int")
     sizes = [blocks("nv", VECTOR_BLOCK).alias("vector_blocks"), blocks("nq", QUERY_BLOCK).alias("query_blocks")]
     upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     slot = lambda key, n: F.pmod(F.xxhash64(key, F.lit(1)), F.col(n)).cast("int")
-    right_grid = n_points.join(n_asked.drop("_mask"), "tenant_id").select(*bucket, "_mask", *sizes)
-    left_grid = n_asked.join(n_points.drop("_mask"), "tenant_id").select(*bucket, "_mask", *sizes)
+    right_grid = n_points.join(n_asked.drop("_mask"), asked_by).select(*cell, "_mask", *sizes)
+    left_grid = n_asked.join(n_points.drop("_mask"), asked_by).select(*cell, "_mask", *sizes)
     right = (
-        points.join(spread_slices(right_grid), [*bucket, "_slice"])
+        points.join(spread_slices(right_grid), [*cell, "_slice"])
         .withColumn("vector_block", slot("vec_id", "vector_blocks"))
         .withColumn("query_block", upto("query_blocks"))
     )
     left = (
-        asked.join(spread_slices(left_grid), ["tenant_id", "_slice"])
+        asked.join(spread_slices(left_grid), [*asked_by, "_slice"])
         .withColumn("query_block", slot("query_id", "query_blocks"))
         .withColumn("vector_block", upto("vector_blocks"))
     )
-    cell = [*bucket, "vector_block", "query_block"]
-    right = right.select(*cell, "vec_id", "embedding")
+    block = [*cell, "vector_block", "query_block"]
+    right = right.select(*block, "vec_id", "embedding")
     # both sides carry columns of the same grid, so the query side gets names of its own
-    left = left.select("query_id", "qe", *[F.col(c).alias(f"q_{c}") for c in cell])
-    types = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+    left = left.select("query_id", "qe", *[F.col(c).alias(f"q_{c}") for c in block])
     schema = f"query_id {types['query_id']}, tenant_id {types['tenant_id']}, source_type string, vec_id {types['vec_id']}, score double"
-    found = left.groupBy(*[f"q_{c}" for c in cell]).cogroup(right.groupBy(*cell)).applyInArrow(_block_topk(k, floor), schema)
+    return left.groupBy(*[f"q_{c}" for c in block]).cogroup(right.groupBy(*block)).applyInArrow(_block_topk(k, floor), schema)
+
+
+def bucket_topk(queries: DataFrame, vectors: DataFrame, k: int = TOP_K, floor: float | None = None, buckets: DataFrame | None = None) -> DataFrame:
+    """Exact cosine top ``k`` per query and source type within the query's tenant.
+
+    ``queries``: query_id, tenant_id, qe.  ``vectors``: tenant_id, source_type,
+    vec_id, embedding; a point is known by the first three.  ``buckets``
+    (tenant_id, source_type) names the buckets to search, by default all.  A
+    block of vectors emits ``k`` rows per query, never the pairs.  Ties go to the
+    lower vec_id.
+    """
+    found = cell_topk(queries, vectors, ["tenant_id"], ["tenant_id", "source_type"], k, floor, buckets)
     return top_per_group(found.repartition("query_id"), ["query_id", "source_type"], [F.desc("score"), F.asc("vec_id")], k, "rank")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from parley.functions import text
 from parley.operators import ingest, rules
 from parley.operators import retrieval as rt
+from parley.operators.vector_index import HyperplaneIndex, recall
 from parley.plans import cascade
 from parley.plans import sql_parts as sql
 from parley.plans.access_queries import DEFAULTS
@@ -86,6 +87,26 @@ def vector_topk(b):
     return _rounded(rt.topk(b.query_vectors, b.vectors, k=5), *_HIT, "rank")
 
 
+#: The supplied vectors have no near neighbours (the fifth best is at a cosine of about 0.3), so small cells need many tries.
+APPROXIMATE = HyperplaneIndex(tables=4, cell_rows=32, crossed=2)
+
+
+@query("vector_topk_approx", None)
+def vector_topk_approx(b):
+    return _rounded(APPROXIMATE.topk(b.query_vectors, APPROXIMATE.build(b.vectors), k=5), *_HIT, "rank")
+
+
+@query("vector_topk_recall", f"""
+select count(*) as wanted, true as reached from (
+  select row_number() over (partition by query_id, source_type order by score desc, vec_id) as rank from ({_SCORED}))
+where rank <= 5
+""")
+def vector_topk_recall(b):
+    found = APPROXIMATE.topk(b.query_vectors, APPROXIMATE.build(b.vectors), k=5)
+    measured = recall(found, rt.bucket_topk(b.query_vectors, b.vectors, k=5))
+    return measured.select("wanted", (F.col("recall") >= 0.9).alias("reached"))
+
+
 def _tags(b):
     return cms.payload_tags(b.tenants)
 
