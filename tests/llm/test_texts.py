@@ -71,17 +71,55 @@ def test_language_of_awkward_rows(spark):
     assert (unlearnt["lang_pred"], unlearnt["score"]) == ("und", 0.0)
 
 
-def test_kneser_ney_sums_to_one():
+def test_kneser_ney_beside_plain_model(spark, monkeypatch):
     import numpy as np
 
-    rng = np.random.default_rng(2)
-    letters = rng.integers(97, 101, (4000, 4)).astype(np.uint64)
-    grams, counts = np.unique((letters << np.array([48, 32, 16, 0], dtype=np.uint64)).sum(axis=1, dtype=np.uint64), return_counts=True)
-    some = rng.random(len(grams)) < 0.5
-    model = language.Model(grams[some], counts[some], 0.6)
-    for context in (97 << 32 | 98 << 16 | 99, 97 << 32 | 97 << 16 | 97, 120 << 32 | 98 << 16 | 97, 120 << 32 | 121 << 16 | 122):
-        following = np.array([(context << 16) | c for c in (97, 98, 99, 100, 250)], dtype=np.uint64)
-        assert np.exp(model.log(following)).sum() == pytest.approx(1)  # the last stands for all unseen letters
+    from tests.llm.plain_language import Model, discount_of
+
+    docs = tables.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", "lang")
+    texts = [(r["lang"], r["text"]) for r in docs.where("lang is not null and text is not null").collect()]
+    models = language.train(docs)
+    assert models.names == sorted({lang for lang, _ in texts})
+    asked, plain = {97 << 32 | 98 << 16 | c for c in range(97, 123)} | {5, 250 << 48 | 251 << 32 | 252 << 16 | 253}, []
+    for name in models.names:
+        counts = {}
+        for lang, text in texts:
+            if lang == name:
+                letters = "".join(c if c.isalpha() else " " for c in text.lower())
+                for run in letters.split(" "):
+                    codes = [0, 0, 0, *map(ord, run), 0] if run else []
+                    for i in range(len(codes) - 3):
+                        key = sum(c << 16 * (3 - j) for j, c in enumerate(codes[i : i + 4]))
+                        counts[key] = counts.get(key, 0) + 1
+        grams, n = np.array(list(counts), dtype=np.uint64), np.array(list(counts.values()))
+        plain.append(Model(grams, n, discount_of(n)))
+        asked |= set(list(counts)[:500])
+    monkeypatch.setattr(language, "_PENDING", 50)  # tables of part of a slice
+    rows = [(int(np.uint64(g).view(np.int64)),) for g in sorted(asked)]
+    got = {r["gram"]: r["h"] for r in language.log_probabilities(spark.createDataFrame(rows, "gram long"), models).collect()}
+    assert len(got) == len(asked)
+    keys = np.array([g for g, in rows])
+    for i, model in enumerate(plain):
+        assert np.allclose([got[k][i] for k in keys.tolist()], model.log(keys.view(np.uint64)), rtol=1e-9)
+    scored = {r["doc_id"]: r for r in language.entropies(docs, models).collect()}
+    for r in docs.where("text is not null").limit(20).collect():
+        runs = "".join(c if c.isalpha() else " " for c in r["text"].lower()).split()
+        codes = [[0, 0, 0, *map(ord, run), 0] for run in runs]
+        each = np.array([sum(c << 16 * (3 - j) for j, c in enumerate(x[i : i + 4])) for x in codes for i in range(len(x) - 3)], dtype=np.uint64)
+        want = [-model.log(each).sum() / len(each) for model in plain]
+        assert np.allclose(scored[r["doc_id"]]["h"], want, rtol=1e-5)
+
+
+def test_kneser_ney_sums_to_one(spark):
+    import numpy as np
+
+    docs = tables.documents(spark, "/root/testdata/sf0.001").select("doc_id", "text", "lang")
+    models = language.train(docs)
+    letters = [r["gram"] for r in models.seen[1].where("l = 0").collect()]
+    for context in (97 << 32 | 98 << 16 | 99, 0, 120 << 32 | 121 << 16 | 122):
+        following = spark.createDataFrame([((context << 16) | c,) for c in [*letters, 0xFFF0]], "gram long")
+        total = sum(np.exp(r["h"][0]) for r in language.log_probabilities(following, models).collect())
+        assert total == pytest.approx(1)  # the last stands for all unseen letters
 
 
 def test_quality(spark):
