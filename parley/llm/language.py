@@ -16,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,8 @@ ORDER = 4
 #: Letters after which more text adds no more certainty to a score.
 CERTAIN_LETTERS = 60
 _PENDING = 1 << 20
+#: Rows of a file that look up their grams together.
+SLICE_ROWS = 1 << 14
 
 
 class Alphabet:
@@ -238,7 +241,10 @@ def _entropies(languages: int):
         out = np.zeros((batch.num_rows, languages))
         if len(runs.grams):
             grams, place = np.unique(runs.grams, return_inverse=True)
-            found = logs[np.searchsorted(keys, grams)]
+            at = np.minimum(np.searchsorted(keys, grams), len(keys) - 1)
+            if not len(keys) or (keys[at] != grams).any():
+                raise ValueError("the texts changed while they were read")
+            found = logs[at]
             for k in range(languages):
                 bits = np.add.reduceat(found[:, k][place], runs.first[:-1])
                 out[:, k] = -np.bincount(runs.row, weights=bits[runs.kind], minlength=batch.num_rows) / np.maximum(symbols, 1)
@@ -276,13 +282,22 @@ def _entropies(languages: int):
     return work
 
 
+def _sliced(source: DataFrame) -> DataFrame:
+    """Add ``slice``: neighbouring rows of a file, or, where rows come from no file, rows that stood together when written."""
+    block = F.xxhash64("_metadata.file_path", F.floor(F.col("_metadata.row_index") / SLICE_ROWS))
+    try:
+        return source.withColumn("slice", block)
+    except AnalysisException:
+        return materialize(source.withColumn("slice", F.spark_partition_id().cast("long")), "texts")
+
+
 def entropies(source: DataFrame, models: Models) -> DataFrame:
     """``(doc_id, lang, letters, h)`` of ``source(doc_id, text, lang)``: cross-entropies per symbol in every language.
 
-    The texts of one partition are a slice; what a slice looks up travels once per
-    distinct gram, and comes back before its texts.
+    What a slice of the texts looks up travels once per distinct gram, and comes back
+    before its texts.
     """
-    texts = materialize(source.withColumn("slice", F.spark_partition_id().cast("long")), "texts")
+    texts = _sliced(source)
     asked = materialize(texts.select("slice", "text").mapInArrow(_distinct_grams, "slice long, gram long").distinct(), "asked")
     known = log_probabilities(asked, models)
     told = asked.join(known, "gram").select(
