@@ -1,14 +1,16 @@
 """Licence scans with column expressions only.
 
-Every line and every paragraph of a text is normalised and compared with licence
-templates by the Dice coefficient of their word bigrams.  Two sets of sizes a and
-b reach at most 2 * min(a, b) / (a + b), so templates whose size is too far from
-a passage's are not compared.  Templates are a bounded table of the code; nothing
-is shuffled.
+Runs of words of a text, whatever its lines and comment marks, are compared with
+licence templates by the Dice coefficient of their word bigrams.  A run starts and
+ends with a bigram of its template.  Two sets of sizes a and b reach at most
+2 * min(a, b) / (a + b), so a run must hold a least number of a template's bigrams
+within a greatest length: texts, templates and starts that cannot are not compared.
+Templates are a bounded table of the code; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +25,26 @@ TEMPLATES = {
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"
     ),
+    "Apache-2.0-notice": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to "
+        'in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, '
+        "either express or implied. See the License for the specific language governing permissions and limitations under the License."
+    ),
     "BSD-3-Clause": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "BSD-3-Clause-full": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
+        "conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the "
+        "following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the "
+        "copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without "
+        'specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR '
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE "
+        "ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, "
+        "EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, "
+        "OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT "
+        "(INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.",
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
@@ -32,11 +53,36 @@ TEMPLATES = {
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
         "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
     ),
+    "GPL-3.0-notice": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License "
+        "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. "
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+        "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received "
+        "a copy of the GNU General Public License along with this program. If not, see https://www.gnu.org/licenses/."
+    ),
     "ISC": (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies."
     ),
+    "ISC-full": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
+        "provided that the above copyright notice and this permission notice appear in all copies. "
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED '
+        "WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR "
+        "CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, "
+        "NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
     "MIT": "Released under the MIT License.",
+    "MIT-full": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
+        '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
+        "publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, "
+        "subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or "
+        'substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING '
+        "BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE "
+        "AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
+        "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
     "MIT-text": (
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
         '(the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, '
@@ -44,6 +90,10 @@ TEMPLATES = {
         "subject to the following conditions:"
     ),
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
+    "MPL-2.0-notice": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
+        "this file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
 }
 
 
@@ -56,70 +106,129 @@ def bigrams(words: list[str]) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:])})
 
 
-def _words(passage: Column) -> Column:
-    return F.filter(F.split(F.lower(passage), "[^a-z0-9]+"), lambda w: w != "")
+def bounds(words: list[str], least: float) -> tuple[int, int, int, int]:
+    """Of a template: distinct bigrams, least number of them in a run, and the two lengths of runs in bigrams.
+
+    With c of n bigrams the Dice coefficient is at most 2c / (c + n), reached where
+    nothing else stands between them; with s distinct ones it is at most 2n / (s + n).
+    """
+    n, share = len(bigrams(words)), least / (2 - least)
+    return n, math.ceil(n * share - 1e-9), len(words) - 1, max(len(words) - 1, math.floor(n / share + 1e-9))
+
+
+def _words(text: Column) -> Column:
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
 
 def _bigrams(words: Column) -> Column:
-    n = F.size(words)
-    pair = lambda i: F.concat_ws(" ", F.element_at(words, i), F.element_at(words, i + 1))
-    return F.when(n > 1, F.array_distinct(F.transform(F.sequence(F.lit(1), n - 1), pair))).otherwise(F.array().cast("array<string>"))
+    """Bigram at each position; for two words or more."""
+    return F.zip_with(F.slice(words, 1, F.size(words) - 1), F.slice(words, 2, F.size(words) - 1), lambda a, b: F.concat_ws(" ", a, b))
+
+
+def _runs(grams: Column, t: Column) -> Column:
+    """``(dice, n, name, back)`` of the runs of a text that may reach the template ``t``; ``back`` is minus the first word's position."""
 
+    def run(at: Column, j: Column, length: Column) -> Column:
+        start = F.get(at, j)
+        end = F.array_max(F.filter(F.slice(at, j + 1, length), lambda p: p < start + length))
+        held = let(
+            F.array_distinct(F.slice(grams, start, end - start + 1)),
+            lambda g: 2.0 * F.size(F.array_intersect(g, t["grams"])) / (F.size(g) + t["n"]),
+        )
+        return F.struct(held.alias("dice"), t["n"].alias("n"), t["name"].alias("name"), (-start).alias("back"))
 
-def passages(text: Column) -> Column:
-    """Lines, and paragraphs (between empty lines) of more than one line."""
-    text = F.coalesce(text, F.lit(""))
-    paragraphs = F.filter(F.split(text, r"\n[ \t\r]*\n"), lambda p: p.contains("\n"))
-    return F.concat(F.split(text, "\n"), paragraphs)
+    def from_starts(at: Column) -> Column:
+        # the bigrams a run needs at least, counted from its start, must lie within the greatest length
+        dense = lambda j: F.get(at, j + t["need"] - 1) < F.get(at, j) + t["longest"]
+        starts = F.filter(F.sequence(F.lit(0), F.size(at) - 1), dense)
+        return F.flatten(F.transform(starts, lambda j: F.array(run(at, j, t["length"]), run(at, j, t["longest"]))))
+
+    places = F.filter(F.sequence(F.lit(1), F.size(grams)), lambda i: F.array_contains(t["grams"], F.get(grams, i - 1)))
+    return let(places, from_starts)
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, licence, dice, n_passages)``, one row per input row.
-
-    ``licence`` is the template of greatest Dice coefficient over all passages, the
-    last by name among equals, if it reaches ``least``; else it and ``dice`` are
-    null.  ``n_passages`` counts passages that reach it with some template.  Words
-    are runs of ASCII letters and digits in lower case; a passage or template of
-    under two words matches nothing.  Null and empty texts match nothing.  Other
-    columns are not read.
+    """``(doc_id, licence, dice, first_word, licences, n_licences)``, one row per input row.
+
+    Words are runs of ASCII letters and digits in lower case, so lines, comment
+    marks and case do not matter.  For each place of a template's bigram in the text
+    two runs are compared: from there to the last of the template's bigrams within
+    the template's own length, and within the greatest length that can still reach
+    ``least``.  ``licence`` is the template of the run of greatest Dice coefficient,
+    if it reaches ``least``: the larger template among equals, then the last by name;
+    ``first_word`` is the position (from 1) of that run's first word, the first among
+    equals.  ``licences`` are the names of all templates reached, sorted, with commas,
+    ``n_licences`` their number.  Without any the first three are null, ``licences``
+    is empty.  A text or template of under two words, null and empty texts match
+    nothing.  Other columns are not read.
     """
-    known = {name: bigrams(normalised(text)) for name, text in templates.items()}
-    rows = [F.struct(F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.lit(len(grams)).alias("n")) for name, grams in known.items() if grams]
-    shortest, longest = min(map(len, filter(None, known.values())), default=0), max(map(len, known.values()), default=0)
-    least_share = least / (2 - least)
+    rows, vocabulary, every = [], set(), set()
+    for name, text in templates.items():
+        words = normalised(text)
+        if len(words) > 1:
+            n, need, length, longest = bounds(words, least)
+            grams = bigrams(words)
+            vocabulary.update(words)
+            every.update(grams)
+            pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in map(str.split, grams)]
+            rows.append(
+                F.struct(
+                    F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.array(*pairs).alias("pairs"), F.lit(n).alias("n"),
+                    F.lit(need).alias("need"), F.lit(length).alias("length"), F.lit(longest).alias("longest"),
+                )
+            )
+    doc_id = F.col(id_col).cast("long").alias("doc_id")
+    if not rows:
+        nothing = {"licence": "string", "dice": "double", "first_word": "long"}
+        return docs.select(doc_id, *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()], F.lit("").alias("licences"), F.lit(0).cast("long").alias("n_licences"))
+    literal = lambda values: F.array(*map(F.lit, sorted(values)))
 
-    def best(passage: Column) -> Column:
-        """(dice, name) of the best template, null if none fits in size."""
+    def reached(words: Column) -> Column:
+        """All runs of a text that reach ``least``; null where its words rule out every template."""
 
-        def compare(grams: Column) -> Column:
-            near = F.filter(F.array(*rows), lambda t: (t["n"] >= F.size(grams) * least_share) & (F.size(grams) >= t["n"] * least_share))
-            dice = lambda t: 2.0 * F.size(F.array_intersect(grams, t["grams"])) / (F.size(grams) + t["n"])
-            return F.array_max(F.transform(near, lambda t: F.struct(dice(t).alias("dice"), t["name"].alias("name"))))
+        def compared(near: Column) -> Column:
+            def by_grams(grams: Column) -> Column:
+                fits = lambda present: F.filter(near, lambda t: F.size(F.array_intersect(t["grams"], present)) >= t["need"])
+                close = let(F.array_intersect(grams, literal(every)), fits)
+                return F.filter(F.flatten(F.transform(close, lambda t: _runs(grams, t))), lambda r: r["dice"] >= least)
 
-        # words are at least one more than distinct bigrams
-        sized = lambda w: F.when(F.size(w) > shortest * least_share, let(_bigrams(w), lambda g: F.when(F.size(g) <= longest / least_share, compare(g))))
-        return let(_words(passage), sized)
+            return F.when(F.size(near) > 0, let(_bigrams(words), by_grams))
 
-    if not rows:
-        return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("licence"), F.lit(None).cast("double").alias("dice"), F.lit(0).cast("long").alias("n_passages"))
-    found = F.filter(F.transform(passages(F.col(text_col)), best), lambda b: b["dice"] >= least)
-    scanned = docs.select(F.col(id_col).cast("long").alias("doc_id"), let(found, lambda f: F.struct(F.array_max(f).alias("top"), F.size(f).cast("long").alias("n_passages"))).alias("s"))
-    return scanned.select("doc_id", F.col("s.top.name").alias("licence"), F.col("s.top.dice").alias("dice"), F.col("s.n_passages").alias("n_passages"))
+        def by_words(present: Column) -> Column:
+            both = lambda p: F.array_contains(present, p["a"]) & F.array_contains(present, p["b"])
+            near = F.filter(F.array(*rows), lambda t: F.size(F.filter(t["pairs"], both)) >= t["need"])
+            return F.when(F.size(present) > 0, let(near, compared))
+
+        return let(F.array_intersect(words, literal(vocabulary)), by_words)
+
+    def summary(runs: Column) -> Column:
+        names = F.array_sort(F.array_distinct(F.transform(runs, lambda r: r["name"])))
+        return F.struct(F.array_max(runs).alias("top"), F.coalesce(names, F.array().cast("array<string>")).alias("names"))
+
+    found = docs.select(doc_id, let(let(_words(F.col(text_col)), reached), summary).alias("s"))
+    return found.select(
+        "doc_id", F.col("s.top.name").alias("licence"), F.col("s.top.dice").alias("dice"), (-F.col("s.top.back")).cast("long").alias("first_word"),
+        F.concat_ws(",", "s.names").alias("licences"), F.size("s.names").cast("long").alias("n_licences"),
+    )
 
 
 def oracle(least: float = 0.8) -> str:
-    rows = ", ".join(f"('{name}', '{gram}', {len(grams)})" for name, text in TEMPLATES.items() for grams in [bigrams(normalised(text))] for gram in grams)
+    known = {name: normalised(text) for name, text in TEMPLATES.items()}
+    grams = ", ".join(f"('{name}', '{gram}')" for name, words in known.items() for gram in bigrams(words))
+    sizes = ", ".join(f"('{name}', {n}, {length}), ('{name}', {n}, {longest})" for name, words in known.items() for n, _, length, longest in [bounds(words, least)])
     return f"""
-with t(name, gram, n) as (values {rows}),
-d as (select row_number() over () as r, doc_id, coalesce(text, '') as x from documents),
-p as (select r, unnest(string_split(x, chr(10))) as passage, 0 as k from d union all
-      select r, q, 1 from (select r, unnest(regexp_split_to_array(x, '\\n[ \\t\\r]*\\n')) as q from d) where contains(q, chr(10))),
-u as (select r, row_number() over () as u, regexp_extract_all(lower(passage), '[a-z0-9]+') as w from p),
-g as (select distinct r, u, unnest([w[i] || ' ' || w[i + 1] for i in range(1, len(w))]) as gram from u),
-s as (select u, count(*) as n from g group by 1),
-m as (select g.r, g.u, t.name, 2.0::double * count(*) / (any_value(s.n) + any_value(t.n)) as dice
-      from g join t using (gram) join s using (u) group by 1, 2, 3),
-b as (select r, u, max({{'dice': dice, 'name': name}}) as top from m where dice >= {least} group by 1, 2),
-c as (select r, max(top) as top, count(*) as n from b group by 1)
-select doc_id, c.top.name as licence, c.top.dice as dice, coalesce(c.n, 0) as n_passages from d left join c using (r)
+with t(name, gram) as (values {grams}),
+z(name, n, len) as (select distinct * from (values {sizes})),
+d as (select row_number() over () as r, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') as w from documents),
+g as (select r, i, w[i] || ' ' || w[i + 1] as gram from (select r, w, unnest(range(1, len(w))) as i from d)),
+h as (select r, name, i, gram from g join t using (gram)),
+p as (select h.r, h.name, h.i, z.n, z.len, max(k.i) as e, count(distinct k.gram) as c
+      from h join z using (name) join h k on k.r = h.r and k.name = h.name and k.i between h.i and h.i + z.len - 1
+      group by all having 2.0::double * count(distinct k.gram) / (count(distinct k.gram) + z.n) >= {least}),
+m as (select p.r, p.name, p.i, p.n, 2.0::double * any_value(p.c) / (count(distinct g.gram) + p.n) as dice
+      from p join g on g.r = p.r and g.i between p.i and p.e group by p.r, p.name, p.i, p.n, p.len),
+c as (select r, max({{'dice': dice, 'n': n, 'name': name, 'back': -i}}) as top, string_agg(distinct name, ',' order by name) as licences,
+      count(distinct name) as n_licences from m where dice >= {least} group by 1)
+select doc_id, c.top.name as licence, c.top.dice as dice, -c.top.back as first_word, coalesce(licences, '') as licences,
+  coalesce(n_licences, 0) as n_licences from d left join c using (r)
 """

@@ -153,19 +153,35 @@ def beside_sql(con, df, name, docs, **others):
     assert table(df.columns, [tuple(r) for r in df.collect()]) == table([d[0] for d in cursor.description], cursor.fetchall())
 
 
+def commented(text, width, mark=" * "):
+    words = text.split()
+    return "\n".join(mark + " ".join(words[k : k + width]) for k in range(0, len(words), width))
+
+
 def test_licences_beside_sql(spark, con):
-    mit, apache = licences.TEMPLATES["MIT-text"], licences.TEMPLATES["Apache-2.0-header"]
+    mit, apache, gpl, full = (licences.TEMPLATES[n] for n in ("MIT-text", "Apache-2.0-header", "GPL-3.0-notice", "MIT-full"))
     extra = [
         (101, f"before\n\n{mit[:150]}\n{mit[150:]}\n\nafter", None, None, None),
         (102, apache.upper() + "\nReleased under the MIT License.", None, None, None),
         (103, "Released under the MIT License", None, None, None),
         (104, "under the License", None, None, None),
         (105, mit[:300], None, None, None),
+        (106, "x = 1\n/*\n" + commented(gpl, 8) + "\n */\nint main() { return 0; }", None, None, None),
+        (107, f"{tables.sentence(3, 40)} {full} {tables.sentence(4, 40)}", None, None, None),
+        (108, commented(full, 11, "# ") + "\nimport os\n" + commented(apache, 9, "// ") + "\nx = 2", None, None, None),
+        (109, " ".join(full.split()[:60] + tables.sentence(5, 30).split() + full.split()[60:]), None, None, None),
+        (110, "of the software " * 400, None, None, None),
+        (111, " ".join([full] * 5), None, None, None),
     ]
     docs = tables.frame(spark, [r for r in tables.awkward() if r[0] is not None] + extra)
     got = licences.scan(docs)
     beside_sql(con, got, "op5_licences", docs.select("doc_id", "text"))
-    by_id = {r["doc_id"]: r["licence"] for r in got.collect()}
+    found = {r["doc_id"]: r for r in got.collect()}
+    by_id = {i: r["licence"] for i, r in found.items()}
+    assert (by_id[106], found[106]["dice"]) == ("GPL-3.0-notice", 1.0) and "GPL-3.0-header" in found[106]["licences"]
+    assert (by_id[107], found[107]["dice"], found[107]["first_word"]) == ("MIT-full", 1.0, 41)
+    assert by_id[108] == "MIT-full" and "Apache-2.0-header" in found[108]["licences"].split(",")
+    assert found[109]["licences"] == "MIT-full,MIT-text" and found[109]["dice"] < 1 and by_id[110] is None and by_id[111] == "MIT-full"
     assert by_id[101] == "MIT-text" and by_id[103] == "MIT" and by_id[104] is None and by_id[4] is None
     assert licences.scan(tables.frame(spark, [])).count() == 0
     assert licences.scan(docs, templates={}).where("licence is not null").count() == 0
