@@ -116,6 +116,15 @@ def bounds(words: list[str], least: float) -> tuple[int, int, int, int]:
     return n, math.ceil(n * share - 1e-9), len(words) - 1, max(len(words) - 1, math.floor(n / share + 1e-9))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _texts(values) -> str:
+    """SQL text of a constant array; one expression builds much faster than a column per value."""
+    return f"array({', '.join(map(_quoted, values))})"
+
+
 def _words(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
 
@@ -170,18 +179,16 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
             grams = bigrams(words)
             vocabulary.update(words)
             every.update(grams)
-            pairs = [F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in map(str.split, grams)]
+            halves = [gram.split() for gram in grams]
             rows.append(
-                F.struct(
-                    F.lit(name).alias("name"), F.array(*map(F.lit, grams)).alias("grams"), F.array(*pairs).alias("pairs"), F.lit(n).alias("n"),
-                    F.lit(need).alias("need"), F.lit(length).alias("length"), F.lit(longest).alias("longest"),
-                )
+                f"named_struct('name', {_quoted(name)}, 'grams', {_texts(grams)}, 'lefts', {_texts(a for a, _ in halves)}, "
+                f"'rights', {_texts(b for _, b in halves)}, 'n', {n}, 'need', {need}, 'length', {length}, 'longest', {longest})"
             )
     doc_id = F.col(id_col).cast("long").alias("doc_id")
     if not rows:
         nothing = {"licence": "string", "dice": "double", "first_word": "long"}
         return docs.select(doc_id, *[F.lit(None).cast(k).alias(c) for c, k in nothing.items()], F.lit("").alias("licences"), F.lit(0).cast("long").alias("n_licences"))
-    literal = lambda values: F.array(*map(F.lit, sorted(values)))
+    table = F.expr(f"array({', '.join(rows)})")
 
     def reached(words: Column) -> Column:
         """All runs of a text that reach ``least``; null where its words rule out every template."""
@@ -189,17 +196,17 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
         def compared(near: Column) -> Column:
             def by_grams(grams: Column) -> Column:
                 fits = lambda present: F.filter(near, lambda t: F.size(F.array_intersect(t["grams"], present)) >= t["need"])
-                close = let(F.array_intersect(grams, literal(every)), fits)
+                close = let(F.array_intersect(grams, F.expr(_texts(sorted(every)))), fits)
                 return F.filter(F.flatten(F.transform(close, lambda t: _runs(grams, t))), lambda r: r["dice"] >= least)
 
             return F.when(F.size(near) > 0, let(_bigrams(words), by_grams))
 
         def by_words(present: Column) -> Column:
-            both = lambda p: F.array_contains(present, p["a"]) & F.array_contains(present, p["b"])
-            near = F.filter(F.array(*rows), lambda t: F.size(F.filter(t["pairs"], both)) >= t["need"])
+            both = lambda t: F.zip_with(t["lefts"], t["rights"], lambda a, b: F.array_contains(present, a) & F.array_contains(present, b))
+            near = F.filter(table, lambda t: F.size(F.filter(both(t), lambda held: held)) >= t["need"])
             return F.when(F.size(present) > 0, let(near, compared))
 
-        return let(F.array_intersect(words, literal(vocabulary)), by_words)
+        return let(F.array_intersect(words, F.expr(_texts(sorted(vocabulary)))), by_words)
 
     def summary(runs: Column) -> Column:
         names = F.array_sort(F.array_distinct(F.transform(runs, lambda r: r["name"])))
