@@ -8,6 +8,7 @@ from parley.functions import text
 from parley.operators import access, analytics, rules, screening
 from parley.plans import sql_parts as sql
 from parley.plans.registry import query
+from parley.session import shared_dir
 
 # Our own reply texts
 PRESET = [
@@ -62,6 +63,34 @@ def chat_search(b):
     return search_sessions(b.sessions, b.messages, terms).select("term", "tenant_id", "session_id")
 
 
+# pieces of user messages, some with wildcards, and names, addresses and short words
+TERMS = """
+select distinct term from (
+  select case message_id % 4 when 0 then lower(substr(content, 3, 12)) when 1 then replace(substr(content, 5, 11), ' ', '_')
+    when 2 then replace(substr(content, 2, 14), ' ', '%') else substr(content, 4, 9) end as term from b_messages where sender_type = 'user'
+  union all select concat('name ', cast(s_suppkey % 75 as string)) from @{supplier}
+  union all select concat('USER', cast(s_suppkey % 75 as string), '@e') from @{supplier}
+  union all select substr(n_name, 1, 2) from @{nation}) t
+"""
+
+
+@query("chat_search_terms", f"""
+with terms as ({TERMS})
+select distinct t.term, s.tenant_id, s.session_id from terms t join b_sessions s on
+  contains(lower(coalesce(s.title, '')), lower(t.term)) or contains(cast(s.session_id as varchar), lower(t.term))
+  or contains(lower(coalesce(s.visitor_name, '')), lower(t.term)) or contains(lower(coalesce(s.visitor_email, '')), lower(t.term))
+union
+select distinct t.term, s.tenant_id, s.session_id from terms t join b_messages m on m.content ilike concat('%', t.term, '%')
+  join b_sessions s using (session_id)
+""")
+def chat_search_terms(b):
+    from parley.operators.term_index import TermIndex, search_units
+
+    index = TermIndex(b.spark, shared_dir(b.spark, "term-index"))
+    index.add(search_units(b.sessions, b.messages), "all")
+    return index.search(b.sql(TERMS)).join(b.sessions.select("session_id", "tenant_id"), "session_id").select("term", "tenant_id", "session_id")
+
+
 @query("origin_allowed", """
 select r.request_id, case when coalesce(t.cors_allowed_origins, '') = '' then true when t.cors_allowed_origins = '*' then true
   else coalesce(list_contains(list_transform(string_split(t.cors_allowed_origins, ','), lambda x: trim(x)), r.origin), false) end as allowed
