@@ -185,6 +185,16 @@ select c_custkey as seq, c_custkey % 25 as tenant_id,
   concat('New ', c_name) as name,
   case when c_custkey % 3 = 1 then concat('USER', cast(c_custkey % 50 as string), '@example.com') else concat('fresh', cast(c_custkey as string), '@example.com') end as email,
   @{ts}(2024, 5, cast(1 + c_custkey % 28 as int), cast(c_custkey % 24 as int), 0, 0) as submitted_at
+from @{customer}""",
+    # forms whose outcome depends on earlier ones: ids and e-mails come again
+    "b_form_stream": """
+select c_custkey as seq, c_custkey % 25 as tenant_id,
+  case c_custkey % 4 when 0 then concat('v', cast(c_custkey as string)) when 1 then concat('n', cast(c_custkey % 100 as string))
+    when 2 then concat(' n', cast(c_custkey % 300 as string), ' ') else concat('m', cast(c_custkey as string)) end as visitor_id,
+  concat('New ', c_name) as name,
+  case when c_custkey % 3 = 0 then concat('USER', cast(c_custkey % 50 as string), '@example.com')
+    else concat('fresh', cast(c_custkey * 7 % 40 as string), '@example.com') end as email,
+  @{ts}(2024, 5, cast(1 + c_custkey * 11 % 28 as int), cast(c_custkey % 24 as int), 0, 0) as submitted_at
 from @{customer}""",
     # older event store: sparse rows, JSON or plain text in the source column
     "b_chat_events": """
@@ -254,7 +264,8 @@ def _with_views(text: str, resolve) -> str:
     text = text.strip()
     if ctes:
         joined = ",\n".join(ctes)
-        text = f"with {joined},\n{text[5:]}" if text[:5].lower() == "with " else f"with {joined}\n{text}"
+        start = next((s for s in ("with recursive ", "with ") if text.lower().startswith(s)), None)
+        text = f"{start}{joined},\n{text[len(start):]}" if start else f"with {joined}\n{text}"
     return _TOKEN.sub(resolve, text)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from parley.functions import text
-from parley.operators import identity
+from parley.operators import identity, profiles
 from parley.plans.registry import query
 
 _KEYED = "(select *, lower(trim(email)) as email_norm from b_visitors where trim(email) <> '')"
@@ -123,6 +123,45 @@ def visitor_profile_merge(b):
     return identity.merge_profiles(b.visitors, b.profile_submissions)
 
 
+# one form of every tenant a step; the state is a list of profiles with the place of their last write
+_IN_ORDER = """
+forms as (select *, trim(visitor_id) as form_id, lower(trim(email)) as email_norm,
+  row_number() over (partition by tenant_id order by submitted_at, seq) as o from b_form_stream),
+stored as (select tenant_id, visitor_id, lower(trim(email)) as email_norm, row_number() over (partition by tenant_id order by updated_at, id) - 1000000000 as w from b_visitors),
+steps as (
+  select t.tenant_id, 0::bigint as o, coalesce((select list({'w': w, 'id': visitor_id, 'e': email_norm}) from stored s where s.tenant_id = t.tenant_id), []) as state,
+    null::bigint as seq, null::varchar as matched, null::varchar as target
+  from (select distinct tenant_id from forms) t
+  union all
+  select tenant_id, o, list_append(list_filter(state, lambda x: x.id <> target), {'w': o, 'id': target, 'e': email_norm}), seq, matched, target from (
+    select *, case when known then 'by_id' when holder is not null then 'by_email' else 'insert' end as matched,
+      case when known then form_id else coalesce(holder, form_id) end as target
+    from (select f.*, s.state, len(list_filter(s.state, lambda x: x.id = f.form_id)) > 0 as known, list_max(list_filter(s.state, lambda x: x.e = f.email_norm)).id as holder
+      from steps s join forms f on f.tenant_id = s.tenant_id and f.o = s.o + 1))),
+resolved as (select f.*, s.matched, s.target from forms f join steps s using (tenant_id, o))
+"""
+
+
+@query("visitor_profile_resolution_ordered", f"""
+with recursive {_IN_ORDER}
+select seq, tenant_id, form_id as visitor_id, name, trim(email) as email, submitted_at, o, matched, target as resolved_visitor_id from resolved
+""")
+def visitor_profile_resolution_ordered(b):
+    return profiles.resolve_in_order(b.visitors, b.form_stream)
+
+
+@query("visitor_profile_merge_ordered", f"""
+with recursive {_IN_ORDER},
+l as (select * from (select *, row_number() over (partition by tenant_id, target order by o desc) as rn from resolved) where rn = 1),
+i as (select tenant_id, target, max(submitted_at) as begun from resolved where matched = 'insert' group by 1, 2)
+select coalesce(v.tenant_id, l.tenant_id) as tenant_id, coalesce(v.visitor_id, l.target) as visitor_id, coalesce(l.name, v.name) as name,
+  coalesce(trim(l.email), v.email) as email, coalesce(v.created_at, i.begun) as created_at, coalesce(l.submitted_at, v.updated_at) as updated_at
+from b_visitors v full join l on l.tenant_id = v.tenant_id and l.target = v.visitor_id left join i on i.tenant_id = l.tenant_id and i.target = l.target
+""")
+def visitor_profile_merge_ordered(b):
+    return profiles.merge_in_order(b.visitors, b.form_stream)
+
+
 @query("feedback_merge", """
 select message_id, tenant_id, user_id, vote, created_at from (
   select *, row_number() over (partition by message_id, user_id order by created_at desc, src desc) as rn from (
