@@ -1,8 +1,8 @@
 """Search for terms given as a table, by an inverted index of short character grams.
 
 A term of many is found through its rarest grams: the index names the texts that
-hold them, and only those are tested in full.  Grams have one to three characters,
-so short terms need no scan; a term without any letter of its own (``%``) is led by
+hold them, and only those are tested in full.  Grams have one, two, three or five
+characters, so short terms need no scan; a term without any letter of its own (``%``) is led by
 the empty gram that every text has.
 """
 
@@ -19,11 +19,18 @@ from parley.operators.groups import slice_mask, spread_slices, with_slice
 #: Most grams looked up for a term, and how much more frequent than its rarest the others may be.
 PROBES = 3
 LESS_RARE = 4
+#: Least number of tasks that cut texts to grams or gather candidates, for each core.
+PER_CORE = 4
 
-_LONGEST = 3
+#: Lengths of grams; the longest that a term can fill leads to it.
+_LENGTHS = (1, 2, 3, 5)
 _STRINGS = "array<string>"
 
 
+def _tasks(spark: SparkSession) -> int:
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), PER_CORE * spark.sparkContext.defaultParallelism)
+
+
 def search_units(sessions: DataFrame, messages: DataFrame) -> DataFrame:
     """Everything a term can be found in: ``(kind, unit_id, session_id, text)``, one row per field and message.
 
@@ -56,7 +63,7 @@ def _grams(text: Column, n: int) -> Column:
 
 def postings(units: DataFrame) -> DataFrame:
     """``(kind, gram, unit_id, _slice)``: each unit once under each of its grams, and under the empty one."""
-    every = F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in range(1, _LONGEST + 1)])
+    every = F.concat(F.array(F.lit("")), *[_grams(F.col("text"), n) for n in _LENGTHS])
     return with_slice(units, "unit_id").select("kind", F.explode(F.array_distinct(every)).alias("gram"), "unit_id", "_slice")
 
 
@@ -71,16 +78,28 @@ def _literals(pattern: Column) -> Column:
     return F.transform(runs, lambda r: F.regexp_replace(r, r"(?s)\\(.)", "$1"))
 
 
+def _in_order(pattern: Column) -> Column:
+    """A pattern as a regular expression that finds its pieces one after the other, each at its first place.
+
+    The first place leaves the most text to the pieces after it, so none is ever tried
+    again (``(?>``): a text is read once, where ``like`` tries every place of every piece.
+    """
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?s)^\\(.)", "$1"), r"([\\^$.|?*+()\[\]{}])", r"\\$1")
+    marks = F.regexp_extract_all(pattern, F.lit(r"(?s)(\\.|.)"), F.lit(1))
+    parts = F.transform(marks, lambda c: F.when(c == "%", ")(?>.*?").when(c == "_", ".").otherwise(escaped(c)))
+    return F.concat(F.lit(r"(?s)\A(?>"), F.array_join(parts, ""), F.lit(r"\z)"))
+
+
 def _wanted(terms: DataFrame) -> DataFrame:
     """``(term, kind, wanted, gram)``: the longest kind of gram each term offers, for messages and for own fields."""
     lowered = F.lower(like_pattern(F.col("term")))
     ways = F.array(
-        F.struct(F.lit("message").alias("kind"), lowered.alias("wanted"), _literals(lowered).alias("pieces")),
+        F.struct(F.lit("message").alias("kind"), _in_order(lowered).alias("wanted"), _literals(lowered).alias("pieces")),
         F.struct(F.lit("own").alias("kind"), F.lower("term").alias("wanted"), F.array(F.lower("term")).alias("pieces")),
     )
     split = terms.select("term").where("term is not null").distinct().select("term", F.explode(ways).alias("w")).select("term", "w.*")
     of = lambda n: F.flatten(F.transform("pieces", lambda p: _grams(p, n)))
-    offered = [of(n) for n in range(_LONGEST, 0, -1)]
+    offered = [of(n) for n in reversed(_LENGTHS)]
     best = F.coalesce(*[F.when(F.size(g) > 0, g) for g in offered], F.array(F.lit("")))
     return split.select("term", "kind", "wanted", F.explode(F.array_distinct(best)).alias("gram"))
 
@@ -101,9 +120,11 @@ def search_terms(units: DataFrame, index: DataFrame, terms: DataFrame, probes: i
     rarest = wanted.join(counts, ["kind", "gram"], "left").groupBy("term", "kind", "wanted").agg(offered.alias("g")).where("g[0].n > 0")
     chosen = F.filter(F.slice("g", 1, probes), lambda x: x["n"] <= LESS_RARE * F.col("g")[0]["n"])
     picks = rarest.select("term", "kind", "wanted", chosen.alias("c")).select("term", "kind", "wanted", F.size("c").alias("need"), F.inline("c")).drop("n")
-    held = spread_slices(picks).join(index, ["kind", "gram", "_slice"])
+    # few bytes of terms lead to many candidates, so these are dealt out by number, not merged by size
+    tasks, key = _tasks(terms.sparkSession), ["kind", "gram", "_slice"]
+    held = spread_slices(picks).repartition(tasks, *key).join(index.repartition(tasks, *key), key)
     candidates = held.groupBy("term", "kind", "wanted", "need", "unit_id").count().where("count = need")
-    fits = F.when(F.col("kind") == "message", F.expr("text like wanted")).otherwise(F.contains("text", "wanted"))
+    fits = F.when(F.col("kind") == "message", F.rlike("text", F.col("wanted"))).otherwise(F.contains("text", "wanted"))
     return candidates.join(units, ["kind", "unit_id"]).where(fits).select("term", "session_id").distinct()
 
 
@@ -119,7 +140,7 @@ class TermIndex:
 
     def add(self, units: DataFrame, batch: str) -> None:
         """Index ``units`` as ``batch``; postings are stored by kind and near each other by gram."""
-        units.write.mode("overwrite").parquet(f"{self.path}/units/batch={batch}")
+        units.repartition(_tasks(self.spark)).write.mode("overwrite").parquet(f"{self.path}/units/batch={batch}")
         stored = self.spark.read.schema(units.schema).parquet(f"{self.path}/units/batch={batch}")
         postings(stored).sortWithinPartitions("kind", "gram").write.mode("overwrite").parquet(f"{self.path}/postings/batch={batch}")
 

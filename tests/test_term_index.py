@@ -80,6 +80,16 @@ def test_no_match_is_lost(spark, seed):
         assert pairs(term_index.search_terms(units, term_index.postings(units), t, probes)) == want
 
 
+def test_pieces_are_not_tried_again(spark):
+    """Every piece occurs a thousand times but the last, which comes first: trying all places of each would never end."""
+    messages = [(1, 1, "c" + "ab " * 1000), (2, 2, "ab " * 1000 + "c"), (3, 3, "x(a)b.c")]
+    terms = ["a%a%a%a%b%c", "a%b%a%b%_", "(a)%.c", "a_b.", "%.c\\"]
+    s, m, t = frames(spark, [(i, None, None, None) for i in (1, 2, 3)], messages, terms)
+    units = term_index.search_units(s, m)
+    got = pairs(term_index.search_terms(units, term_index.postings(units), t))
+    assert got == {(terms[0], 2), (terms[1], 1), (terms[1], 2), ("(a)%.c", 3), ("a_b.", 3)}
+
+
 def test_batches_are_added_and_replaced(spark, tmp_path):
     s, m, t = frames(spark, AWKWARD_SESSIONS, AWKWARD_MESSAGES, ["hello", "needle", "50"])
     index = term_index.TermIndex(spark, str(tmp_path / "terms"))
