@@ -7,12 +7,13 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.functions import text
+from parley.functions.arrow import slices
 from parley.operators import documents as docs
 from parley.operators.analytics import ingest_summary
 from parley.session import materialize
@@ -23,7 +24,7 @@ RETRIES = 3
 #: Fixed value: the usage type of indexing.
 INDEX_USAGE = "index_embedding"
 
-#: Texts in, (vectors or None, token counts) out; called once per Arrow batch.
+#: Texts in, (vectors or None, token counts) out; called for up to ``arrow.SLICE_ROWS`` texts.
 EmbedFn = Callable[[list[str]], tuple[list, list[int]]]
 
 _DOC_COLUMNS = ["tenant_id", "seq", "point_id", "title", "content", "url", "source", "source_type", "type", "date", "description"]
@@ -87,9 +88,9 @@ def embed(documents: DataFrame, fn: EmbedFn | None = None, retries: int = RETRIE
                 continue
         return None, 0
 
-    def batches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            bodies = frame["_body"].fillna("").tolist()
+    def batches(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for frame in slices(frames):
+            bodies = [body or "" for body in frame.column("_body").to_pylist()]
             for _ in range(retries):
                 try:
                     vectors, tokens = fn(bodies)
@@ -99,13 +100,13 @@ def embed(documents: DataFrame, fn: EmbedFn | None = None, retries: int = RETRIE
             else:
                 pairs = [one(body) for body in bodies]
                 vectors, tokens = [p[0] for p in pairs], [p[1] for p in pairs]
-            out = frame.drop(columns=["_body"])
-            out["embedding"] = pd.Series(list(vectors), index=out.index, dtype=object)
-            out["prompt_tokens"] = pd.Series([int(t or 0) for t in tokens], index=out.index, dtype="int32")
-            yield out
+            out = frame.drop_columns(["_body"])
+            vectors = [None if v is None else np.asarray(v, dtype=np.float32) for v in vectors]
+            added = [pa.array(vectors, pa.list_(pa.float32())), pa.array([int(t or 0) for t in tokens], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*out.columns, *added], names=[*out.schema.names, "embedding", "prompt_tokens"])
 
     status = F.when(F.col("embedding").isNull(), FAILED).otherwise(SUCCEEDED)
-    return documents.withColumn("_body", body).mapInPandas(batches, schema).withColumn("status", status)
+    return documents.withColumn("_body", body).mapInArrow(batches, schema).withColumn("status", status)
 
 
 def pending(documents: DataFrame, done: DataFrame) -> DataFrame:
