@@ -1,8 +1,8 @@
 """Search for terms given as a table, by an inverted index of short character grams.
 
 A term of many is found through its rarest grams: the index names the texts that
-hold them, and only those are tested in full.  Grams have one, two, three or five
-characters, so short terms need no scan; a term without any letter of its own (``%``) is led by
+hold them, and only those are tested in full.  Grams have one to three characters,
+so short terms need no scan; a term without any letter of its own (``%``) is led by
 the empty gram that every text has.
 """
 
@@ -23,7 +23,7 @@ LESS_RARE = 4
 PER_CORE = 4
 
 #: Lengths of grams; the longest that a term can fill leads to it.
-_LENGTHS = (1, 2, 3, 5)
+_LENGTHS = (1, 2, 3)
 _STRINGS = "array<string>"
 
 
