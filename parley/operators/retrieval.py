@@ -28,11 +28,15 @@ SITE_CLAUSE = " Official website (for grounding references only): {site}."
 
 #: Rows of one block of the product; 8192 x 1024 doubles are 64 MB.
 VECTOR_BLOCK = 8_192
-QUERY_BLOCK = 1_024
+QUERY_BLOCK = 8_192
+#: Queries multiplied at a time, columns that share a maximum, and numbers of vectors compared exactly at a time.
+_TILE = 256
+_GROUP = 64
+_EXACT = 1 << 21
 #: What a point is known by; ids repeat over tenants and source types.
 POINT = ["tenant_id", "source_type", "vec_id"]
-#: The matrix product may differ from the exact cosine by so much.
-_PRODUCT_ERROR = 1e-9
+#: A product of unit vectors in single precision may differ from the exact cosine by so much for each dimension.
+_PRODUCT_ERROR = 1.2e-7
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -40,6 +44,39 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return np.ascontiguousarray(flat.astype(np.float64).reshape(len(column), -1))
 
 
+def _directed(matrix: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows that have a direction, their lengths and numbers; zero vectors and those with non-finite components have none."""
+    norm = np.sqrt((matrix * matrix).sum(axis=1))
+    kept = np.flatnonzero((norm > 0) & np.isfinite(norm))
+    return matrix[kept], norm[kept], kept
+
+
+def _near(left: np.ndarray, left_norm: np.ndarray, right: np.ndarray, right_norm: np.ndarray, k: int):
+    """Tiles ``(first row, rows, columns)`` of all pairs that may be among the ``k`` best of their row.
+
+    Columns are taken in groups: the ``k``-th best of the groups' maxima is no more than
+    the ``k``-th best cosine, so only groups that reach it are looked at column by column.
+    """
+    n, slack = len(right), _PRODUCT_ERROR * (left.shape[1] + 4)
+    groups = -(-n // _GROUP)
+    ours, theirs = (left / left_norm[:, None]).astype(np.float32), np.zeros((groups * _GROUP, right.shape[1]), dtype=np.float32)
+    theirs[:n] = right / right_norm[:, None]
+    for at in range(0, len(ours) if n else 0, _TILE):
+        rough = ours[at : at + _TILE] @ theirs.T
+        rough[:, n:] = -np.inf
+        if groups <= k:
+            i, j = np.divmod(np.arange(len(rough) * n), n)
+        else:
+            most = rough.reshape(len(rough), _GROUP, groups).max(axis=1)
+            least = np.partition(most, groups - k, axis=1)[:, groups - k] - np.float32(slack)
+            i, group = np.nonzero(most >= least[:, None])
+            j = group[:, None] + groups * np.arange(_GROUP)[None, :]
+            i, j = np.repeat(i, _GROUP), j.ravel()
+            reached = rough[i, j] >= least[i]
+            i, j = i[reached], j[reached]
+        yield at, i + at, j
+
+
 def _block_topk(k: int, floor: float | None):
     """Top ``k`` of a block of vectors for each query of a block, as an Arrow function of one grid cell."""
 
@@ -48,25 +85,24 @@ def _block_topk(k: int, floor: float | None):
             return pa.table({n: pa.array([], t) for n, t in (("query_id", queries["query_id"].type), ("vec_id", vectors["vec_id"].type), ("score", pa.float64()))}).append_column(
                 "tenant_id", pa.array([], queries["q_tenant_id"].type)
             ).append_column("source_type", pa.array([], pa.string())).select(["query_id", *POINT, "score"])
+        vectors = vectors.take(pa.array(np.argsort(vectors["vec_id"].to_numpy(), kind="stable")))  # the lower column wins a tie
         left, right = _matrix(queries["qe"]), _matrix(vectors["embedding"])
-        left_norm, right_norm = np.sqrt((left * left).sum(axis=1)), np.sqrt((right * right).sum(axis=1))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            rough = (left @ right.T) / (left_norm[:, None] * right_norm[None, :])
-        rough = np.where((left_norm[:, None] > 0) & (right_norm[None, :] > 0), rough, -np.inf)  # a zero vector has no direction
-        by_id = np.empty(len(right), dtype=np.int64)
-        by_id[np.argsort(vectors["vec_id"].to_numpy(), kind="stable")] = np.arange(len(right))
-        rows, cols, scores = [], [], []
-        for i in range(len(left)):
-            kth = np.partition(rough[i], -k)[-k] if len(right) > k else -np.inf
-            near = np.flatnonzero((rough[i] >= kth - _PRODUCT_ERROR) & np.isfinite(rough[i]))
+        (left, left_norm, asked), (right, right_norm, points) = _directed(left), _directed(right)
+        rows, cols, scores = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.int64)], [np.empty(0)]
+        for at, i, j in _near(left, left_norm, right, right_norm, k):
             # pair by pair, so that equal vectors get equal scores
-            exact = (right[near] * left[i]).sum(axis=1) / (left_norm[i] * right_norm[near])
-            best = np.lexsort((by_id[near], -exact))[:k]
+            step = max(_EXACT // left.shape[1], 1)
+            exact = [(right[j[x : x + step]] * left[i[x : x + step]]).sum(axis=1) / (left_norm[i[x : x + step]] * right_norm[j[x : x + step]]) for x in range(0, len(i), step)]
+            exact = np.concatenate([np.empty(0), *exact])
+            best = np.lexsort((j, -exact, i))
+            i, j, exact = i[best], j[best], exact[best]
+            first = np.searchsorted(i, np.arange(at, at + _TILE))
+            keep = np.arange(len(i)) - first[i - at] < k
             if floor is not None:
-                best = best[exact[best] >= floor]
-            rows.append(np.full(len(best), i))
-            cols.append(near[best])
-            scores.append(exact[best])
+                keep &= exact >= floor
+            rows.append(asked[i[keep]])
+            cols.append(points[j[keep]])
+            scores.append(exact[keep])
         rows, cols = pa.array(np.concatenate(rows)), pa.array(np.concatenate(cols))
         return pa.table(
             {

@@ -61,6 +61,20 @@ def test_bucket_topk(spark, data, monkeypatch, blocks, floor):
     assert all(abs(got[k][1] - want[k][1]) < 1e-12 for k in want)
 
 
+def test_few_pairs_of_a_block_are_compared_exactly():
+    """All best pairs are among those looked at, which are few beside all, however many vectors are equal or have no direction."""
+    rng = np.random.default_rng(5)
+    left, right = rng.normal(size=(600, 16)), rng.normal(size=(5000, 16))
+    right[100:110], right[7] = right[100], 0
+    (left, a, asked), (right, b, points) = rt._directed(left), rt._directed(right)
+    assert len(asked) == 600 and 7 not in points and len(points) == 4999
+    tiles = [(i, j) for _, i, j in rt._near(left, a, right, b, 3)]
+    seen = set(zip(np.concatenate([i for i, _ in tiles]).tolist(), np.concatenate([j for _, j in tiles]).tolist()))
+    best = np.argsort(-(left @ right.T) / (a[:, None] * b[None, :]), axis=1, kind="stable")[:, :3]
+    assert {(i, j) for i in range(600) for j in best[i].tolist()} <= seen
+    assert len(seen) < 600 * 20
+
+
 def test_two_bucket(spark, data):
     queries, vectors = frames(spark, data)
     got = {}
