@@ -88,7 +88,7 @@ def chat_search_terms(b):
 
     index = TermIndex(b.spark, shared_dir(b.spark, "term-index"))
     index.add(search_units(b.sessions, b.messages), "all")
-    return index.search(b.sql(TERMS)).join(b.sessions.select("session_id", "tenant_id"), "session_id").select("term", "tenant_id", "session_id")
+    return index.search(b.sql(TERMS), beside=b.sessions.select("session_id", "tenant_id")).select("term", "tenant_id", "session_id")
 
 
 @query("origin_allowed", """

@@ -120,3 +120,39 @@ def test_few_candidates_are_tested(bindings):
     counts = index.where("kind = 'message'").groupBy("gram").count()
     least = grams.join(counts, "gram").groupBy("term").agg(F.min("count").alias("n")).agg(F.sum("n")).first()[0]
     assert least * 4 < terms.count() * units.where("kind = 'message'").count()
+
+
+def test_finds_are_not_shuffled(spark):
+    """Nor candidates: terms of short pieces fit many texts, so nothing of that number may be dealt out."""
+    s, m, t = frames(spark, AWKWARD_SESSIONS, AWKWARD_MESSAGES, AWKWARD_TERMS)
+    units = term_index.search_units(s, m)
+    found = term_index.search_terms(units, term_index.postings(units), t)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+
+
+def test_columns_of_sessions_come_along(spark):
+    s, m, t = frames(spark, AWKWARD_SESSIONS, AWKWARD_MESSAGES, AWKWARD_TERMS)
+    units = term_index.search_units(s, m)
+    tenants = spark.createDataFrame([(1, 7), (2, None), (2, 9), (12, 7)], "session_id bigint, tenant_id bigint")
+    got = [tuple(r) for r in term_index.search_terms(units, term_index.postings(units), t, beside=tenants).select("term", "session_id", "tenant_id").collect()]
+    want = [(t, x, y) for t, x in model(AWKWARD_SESSIONS, AWKWARD_MESSAGES, AWKWARD_TERMS) for z, y in ((1, 7), (2, None), (2, 9), (12, 7)) if x == z]
+    assert sorted(got, key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("chars, block, together", [(20, 1 << 16, 3), (1 << 22, 4, 1), (40, 8, 1024)])
+def test_long_sessions_and_many_blocks(spark, monkeypatch, chars, block, together):
+    """Sessions of much text are dealt out by unit, terms in blocks, and a session may be read in several batches."""
+    for name, value in (("SESSION_CHARS", chars), ("TERM_BLOCK", block), ("_TEXTS", together)):
+        monkeypatch.setattr(term_index, name, value)
+    s, m, t = frames(spark, AWKWARD_SESSIONS, AWKWARD_MESSAGES, AWKWARD_TERMS)
+    units = term_index.search_units(s, m).cache()
+    assert pairs(term_index.search_terms(units, term_index.postings(units), t)) == model(AWKWARD_SESSIONS, AWKWARD_MESSAGES, AWKWARD_TERMS)
+
+
+def test_other_messages_of_sessions_with_repeated_ids(spark):
+    """Messages that share an id, or have none, are led by their id as one; the others of their sessions are found as ever."""
+    messages = [(None, 1, "apple pie"), (None, 2, "pear pie"), (3, 1, "plum pie"), (4, 2, "plum jam"), (5, None, "plum tart"), (6, None, "plum tart")]
+    s, m, t = frames(spark, [(1, "one", None, None), (2, "two", None, None)], messages, ["plum", "appl", "plum%pie", "two", "zzz"])
+    units = term_index.search_units(s, m)
+    got = pairs(term_index.search_terms(units, term_index.postings(units), t))
+    assert got == {("plum", 1), ("plum", 2), ("plum", None), ("appl", 1), ("plum%pie", 1), ("two", 2)}
